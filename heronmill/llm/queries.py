@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronmill.llm import line_dedup, sql
+from heronmill.llm import decontaminate, language_id, line_dedup, quality, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,9 +16,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_decontaminate"] = op5_decontaminate
+QUERIES["op6_toxicity"] = op6_toxicity
+QUERIES["op8_language_id"] = op8_language_id
 QUERIES["op7_line_dedup"] = op7_line_dedup
+QUERIES["op10_quality"] = op10_quality
+ORACLES["op5_decontaminate"] = sql.DECONTAMINATE
 ORACLES["op7_line_dedup"] = sql.LINE_DEDUP
