@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronmill.llm import decontaminate, language_id, line_dedup, quality, sql, toxicity
+import public_tokenizers
+
+from heronmill.llm import byte_bpe, decontaminate, language_id, line_dedup, quality, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    vocab = byte_bpe.Vocabulary.load(path, public_tokenizers.PATTERN)
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"), vocab)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
 
+QUERIES["op1_byte_bpe"] = op1_byte_bpe
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_toxicity"] = op6_toxicity
 QUERIES["op8_language_id"] = op8_language_id
