@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -72,3 +74,140 @@ ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 def ascii_lower(s: str) -> str:
     return s.lower() if s.isascii() else s.translate(ASCII_LOWER)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that never cut a group, from rows sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+
+    def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+        return all(a.column(k)[i].equals(b.column(k)[j]) for k in keys)
+
+    count = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and count >= rows:
+            cut = next((i for i in range(len(batch)) if not same(batch, i, held[-1], len(held[-1]) - 1)), len(batch))
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut < len(batch):
+                yield pa.Table.from_batches(held)
+                held, count, batch = [], 0, batch.slice(cut)
+            else:
+                continue
+        # The last group of a batch may go on in the next one: it waits there.
+        held.append(batch)
+        count += len(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups of equal keys begin, and the table's length at the end."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for k in keys:
+        values = table.column(k).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.r_[np.flatnonzero(new), len(table)]
+
+
+def pairs_within(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in the same group, some thousands of groups at a time.
+
+    Groups are as small as ``block_tasks`` makes them, so this is bounded.
+    """
+    sizes = np.diff(starts)
+    per_row = np.repeat(starts[1:], sizes) - np.arange(starts[-1]) - 1
+    ends = np.cumsum(per_row)
+    done = 0
+    while done < len(per_row):
+        base = ends[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, base + 2_000_000, "right")))
+        n = per_row[done:upto]
+        left = np.repeat(np.arange(done, upto), n)
+        step = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        yield left, left + 1 + step
+        done = upto
+
+
+def linked(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the graph of these ids: its other ids and its smallest."""
+    ids, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = at[: len(left)], at[len(left) :]
+    root = np.arange(len(ids))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    rest = root != np.arange(len(ids))
+    return ids[rest], ids[root[rest]]
+
+
+def block_tasks(members: DataFrame, key: str, ident: str, block: int) -> DataFrame:
+    """``members`` dealt to tasks so that every two members of a key meet in one.
+
+    Keys with one member go. A key of more than ``block`` members is split into
+    blocks by a hash of the id; each pair of blocks is a task, so no task grows
+    with a key. Adds ``lo`` and ``hi``, the task's blocks, and ``own``, the row's.
+    """
+    sizes = members.groupBy(key).count().where("count > 1")
+    counts = stored(sizes.select(F.col(key).alias("_key"), F.ceil(F.col("count") / block).cast("int").alias("_n")), "sizes")
+    own = F.pmod(F.xxhash64(ident), F.col("_n")).cast("int")
+    return (
+        members.join(counts, F.col(key) == F.col("_key"))
+        .withColumn("own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        .withColumn("lo", F.least("own", "_other"))
+        .withColumn("hi", F.greatest("own", "_other"))
+        .drop("_key", "_n", "_other")
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) for every id of the edges (a, b); the root is the component's smallest id.
+
+    Every round each id goes to its first neighbour in the round's order of ids and
+    the edges between the places reached stay, until none are left. The order is
+    that of the ids at first, which ends stars at once, and then a new random one
+    for each round, under which any component shrinks geometrically.
+    """
+    left = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        turn = len(moves)
+
+        def order(c: str) -> Column:
+            rank = F.col(c) if turn == 0 else F.xxhash64(F.col(c), F.lit(turn))
+            return F.struct(rank.alias("rank"), F.col(c).alias("node"))
+
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(order("b")).alias("best"))
+        to = F.when(F.col("best") < order("a"), F.col("best.node")).otherwise(F.col("a"))
+        move = stored(first.select(F.col("a").alias("at"), to.alias("to")), "moves")
+        moves.append(move)
+        left = stored(
+            left.join(move, left["a"] == move["at"])
+            .select(F.col("to").alias("a"), "b")
+            .join(move.withColumnRenamed("to", "to_b"), F.col("b") == F.col("at"))
+            .select("a", F.col("to_b").alias("b"))
+            .where("a <> b")
+            .distinct(),
+            "edges",
+        )
+    if not moves:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    places = moves[0].select(F.col("at").alias("id"), F.col("to").alias("place"))
+    for move in moves[1:]:
+        places = places.join(move, F.col("place") == F.col("at"), "left").select(
+            "id", F.coalesce("to", "place").alias("place")
+        )
+    places = stored(places, "places")
+    least = stored(places.groupBy("place").agg(F.min("id").alias("root")), "roots")
+    return places.join(least, "place").select("id", "root")

@@ -49,3 +49,24 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.
   sha256(coalesce(o.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN own o USING (doc_id)
 """
+
+EMBEDDING_DEDUP = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT a AS id, a AS other FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.other = l.a
+), root AS (
+  SELECT id, min(other) AS root FROM reach GROUP BY id
+), n AS (
+  SELECT a AS id, count(DISTINCT b) AS n FROM link GROUP BY a
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(r.root, e.vec_id) AS component_id,
+  e.vec_id = coalesce(r.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.id LEFT JOIN root r ON e.vec_id = r.id
+"""
