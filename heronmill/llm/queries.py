@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, language_id, line_dedup, quality, sql, toxicity
+from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sql, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), vocab)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.digest(_table(spark, sf_dir, "embeddings"))
 
@@ -49,12 +53,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
+QUERIES["op2_jaccard_join"] = op2_jaccard_join
 QUERIES["op3_embedding_dedup"] = op3_embedding_dedup
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_toxicity"] = op6_toxicity
 QUERIES["op8_language_id"] = op8_language_id
 QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op10_quality"] = op10_quality
+ORACLES["op2_jaccard_join"] = sql.JACCARD_JOIN
 ORACLES["op3_embedding_dedup"] = sql.EMBEDDING_DEDUP
 ORACLES["op5_decontaminate"] = sql.DECONTAMINATE
 ORACLES["op7_line_dedup"] = sql.LINE_DEDUP

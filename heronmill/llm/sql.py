@@ -70,3 +70,31 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(r.root, e.vec_id) AS comp
   e.vec_id = coalesce(r.root, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.id LEFT JOIN root r ON e.vec_id = r.id
 """
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM (SELECT *, least(5, len(w)) AS n FROM d) WHERE n > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT p.a, p.b, p.n = x.n AND p.n = y.n AS same
+  FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS n FROM s l JOIN s r USING (shingle)
+        WHERE l.doc_id <> r.doc_id GROUP BY ALL) p
+  JOIN size x ON x.doc_id = p.a JOIN size y ON y.doc_id = p.b
+  WHERE p.n >= 0.8 * (x.n + y.n - p.n) - 1e-9
+), reach AS (
+  SELECT a AS id, a AS other FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.other = l.a
+), root AS (
+  SELECT id, min(other) AS root FROM reach GROUP BY id
+), n AS (
+  SELECT a AS id, count(*) AS n, min(b) FILTER (same) AS twin FROM link GROUP BY a
+)
+SELECT e.doc_id, least(e.doc_id, coalesce(n.twin, e.doc_id)) AS class_id, coalesce(n.n, 0) AS n_links,
+  coalesce(r.root, e.doc_id) AS component_id, e.doc_id = coalesce(r.root, e.doc_id) AS kept
+FROM documents e LEFT JOIN n ON e.doc_id = n.id LEFT JOIN root r ON e.doc_id = r.id
+"""
