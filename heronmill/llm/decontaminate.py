@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronmill.llm.shared import arrow_pass, ascii_lower, stored
+from heronmill.llm.shared import arrow_pass, ascii_lower, bit_filter, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -97,21 +97,6 @@ def windows(items: DataFrame, id_col: str, text_col: str, window: int, shingle:
     return arrow_pass(rows, "item string, words string, n int, hashes array<long>", cut)
 
 
-def shingle_filter(shingles: DataFrame, bits: int) -> bytes:
-    """One-probe Bloom filter of the column ``h``, ``2 ** bits / 8`` bytes."""
-    mask = (1 << bits) - 1
-    place = F.col("h").bitwiseAND(F.lit(mask))
-    parts = (
-        shingles.select(F.shiftright(place, 12).alias("part"), place.bitwiseAND(F.lit(4095)).cast("short").alias("bit"))
-        .groupBy("part")
-        .agg(F.collect_set("bit").alias("set"))  # 4096 values at most
-    )
-    out = np.zeros(1 << bits, bool)
-    for row in parts.toLocalIterator():
-        out[np.array(row.set, np.int64) + (row.part << 12)] = True
-    return np.packbits(out, bitorder="little").tobytes()
-
-
 def postings(
     docs: DataFrame, id_col: str, text_col: str, widths: list[int], bitmap: bytes, bits: int, window: int
 ) -> DataFrame:
@@ -167,9 +152,8 @@ def occurrences(
     wins = stored(windows(items, item_id, item_text, window, shingle), "item-windows")
     shingles = wins.select(F.explode("hashes").alias("h")).distinct()
     widths = sorted({min(shingle, r.n) for r in wins.select("n").distinct().collect()})  # window values at most
-    found = stored(
-        postings(docs, id_col, text_col, widths, shingle_filter(shingles, bits), bits, window), "shingle-postings"
-    )
+    bitmap = bit_filter(shingles.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits)
+    found = stored(postings(docs, id_col, text_col, widths, bitmap, bits, window), "shingle-postings")
     posts = found.where("doc IS NOT NULL AND size(posts) > 0").select("doc", F.explode("posts").alias("p"))
     posts = posts.select("doc", "p.h", "p.at", "p.first", "p.around")
 

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronmill.llm.decontaminate import WordHashes, shingle_hashes, words_of
 from heronmill.llm.shared import (
     arrow_pass,
+    bit_filter,
     block_tasks,
     components,
     group_starts,
@@ -128,36 +129,26 @@ def clusters(tasks: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return arrow_pass(rows.repartition(*keys).sortWithinPartitions(*keys), "a long, b long", verify)
 
 
-def id_filter(ids: DataFrame, bits: int) -> bytes:
-    """One-probe Bloom filter of the column ``rep``, ``2 ** bits / 8`` bytes."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << bits))
-    parts = (
-        ids.select(F.shiftright(place, 12).alias("part"), place.bitwiseAND(F.lit(4095)).cast("short").alias("bit"))
-        .groupBy("part")
-        .agg(F.collect_set("bit").alias("set"))  # 4096 values at most
-    )
-    out = np.zeros(1 << bits, bool)
-    for row in parts.toLocalIterator():
-        out[np.array(row.set, np.int64) + (row.part << 12)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+def place(ident: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(ident), F.lit(1 << bits)).alias("place")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wanted: DataFrame, bits: int) -> DataFrame:
     """(doc, shingles) of rows whose id passes the filter of ``wanted``."""
-    sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, bits))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(place("rep", bits)), bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, bitmap = WordHashes(), np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            hit = np.flatnonzero((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            at = batch.column("place").to_numpy()
+            hit = np.flatnonzero((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             for s in range(0, len(hit), 256):
                 some = hit[s : s + 256]
                 sets = [shingle_set(batch.column("text")[i].as_py(), shingle, known).tobytes() for i in some]
                 yield {"doc": batch.column("doc").to_numpy()[some], "shingles": sets}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(1 << bits)))
+    rows = rows.select("*", place("doc", bits))
     return arrow_pass(rows, "doc long, shingles binary", scan)
 
 

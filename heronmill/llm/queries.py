@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sql, toxicity
+from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sql, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_toxicity"] = op6_toxicity
 QUERIES["op8_language_id"] = op8_language_id
 QUERIES["op7_line_dedup"] = op7_line_dedup
+QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 QUERIES["op10_quality"] = op10_quality
 ORACLES["op2_jaccard_join"] = sql.JACCARD_JOIN
 ORACLES["op3_embedding_dedup"] = sql.EMBEDDING_DEDUP

@@ -211,3 +211,18 @@ def components(edges: DataFrame) -> DataFrame:
     places = stored(places, "places")
     least = stored(places.groupBy("place").agg(F.min("id").alias("root")), "roots")
     return places.join(least, "place").select("id", "root")
+
+
+def bit_filter(places: DataFrame, bits: int) -> bytes:
+    """One-probe Bloom filter of the column ``place``, from 0 to ``2 ** bits``: ``2 ** bits / 8`` bytes."""
+    parts = (
+        places.select(
+            F.shiftright("place", 12).alias("part"), F.col("place").bitwiseAND(F.lit(4095)).cast("short").alias("bit")
+        )
+        .groupBy("part")
+        .agg(F.collect_set("bit").alias("set"))  # 4096 values at most
+    )
+    out = np.zeros(1 << bits, bool)
+    for row in parts.toLocalIterator():
+        out[np.array(row.set, np.int64) + (row.part << 12)] = True
+    return np.packbits(out, bitorder="little").tobytes()
