@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sql, suffix_dedup, toxicity
+from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sql, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(_table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
 QUERIES["op2_jaccard_join"] = op2_jaccard_join
 QUERIES["op3_embedding_dedup"] = op3_embedding_dedup
+QUERIES["op4_url_filter"] = op4_url_filter
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_toxicity"] = op6_toxicity
 QUERIES["op8_language_id"] = op8_language_id
