@@ -30,7 +30,6 @@ not touched.
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
@@ -251,21 +250,30 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_words: int) ->
     often = counts.where(F.char_length("word") <= MEMO_CHARS).orderBy(F.desc("count"), "word").limit(memo_words)
     ids = Bound.within(vocab, lambda bound: encode_word(F.col("word"), bound))
     spread = often.select("word").repartition(32, "word")
-    rows = spread.select(F.pmod(F.xxhash64("word"), F.lit(memo_words)).alias("at"), "word", ids.alias("ids")).collect()
-    buckets: list[list] = [[] for _ in range(memo_words)]
-    for row in rows:  # memo_words at most
-        buckets[row.at].append({"w": row.word, "i": row.ids})
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<array<struct<w:string,i:array<bigint>>>>")
+    at = F.pmod(F.xxhash64("word"), F.lit(buckets_of(memo_words))).cast("int").alias("at")
+    rows = (
+        spread.select(at, F.struct(F.col("word").alias("w"), ids.alias("i")).alias("entry"))
+        .groupBy("at")
+        .agg(F.to_json(F.collect_list("entry")).alias("bucket"))  # two words on average
+    )
+    table = ["[]"] * buckets_of(memo_words)
+    for row in rows.toLocalIterator():  # memo_words at most, in all
+        table[row.at] = row.bucket
+    return F.from_json(F.lit("[" + ",".join(table) + "]"), "array<array<struct<w:string,i:array<bigint>>>>")
+
+
+def buckets_of(memo_words: int) -> int:
+    return memo_words // 2 + 1
 
 
 def encode(
-    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_words: int = 1 << 18
+    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_words: int = 1 << 17
 ) -> DataFrame:
     """``docs`` with the token ids of each whole text in column ``out``."""
     known = memo(docs, text_col, vocab, memo_words)
 
     def ids_of(word: Column, table: Column, bound: Bound) -> Column:
-        bucket = F.get(table, F.pmod(F.xxhash64(word), F.lit(memo_words)))
+        bucket = F.get(table, F.pmod(F.xxhash64(word), F.lit(buckets_of(memo_words))))
         found = F.get(F.filter(bucket, lambda e: e["w"] == word), F.lit(0))["i"]
         return F.coalesce(found, encode_word(word, bound))
 
