@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval",)
 
 
 def load_plans() -> None:
