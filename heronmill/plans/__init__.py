@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ("retrieval", "relational")
+MODULES: tuple[str, ...] = ("retrieval", "relational", "texts")
 
 
 def load_plans() -> None:
