@@ -1,0 +1,206 @@
+"""Structural chunking of Markdown: sections first, sentences where they are too long.
+
+``chunks_of`` handles one text and is pure; ``chunk_documents`` runs it on Arrow
+batches, one document at a time, so a task holds no more than a batch.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heronmill.functions.text import SENTENCE_ENDS
+
+MOST, LEAST, OVERLAP = 800, 120, 120
+MOST_CHUNKS = 600
+HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
+RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+SENTENCE = re.compile(f"[^{re.escape(SENTENCE_ENDS)}]*[{re.escape(SENTENCE_ENDS)}]|[^{re.escape(SENTENCE_ENDS)}]+$")
+
+
+@dataclass
+class Limits:
+    """Sizes in characters, made consistent."""
+
+    most: int = MOST
+    least: int = LEAST
+    overlap: int = OVERLAP
+
+    def __post_init__(self):
+        self.most = self.most if self.most > 0 else MOST
+        self.least = min(self.least if self.least > 0 else LEAST, self.most)
+        self.overlap = min(self.overlap if self.overlap > 0 else OVERLAP, self.most // 2)
+
+    @property
+    def fill(self) -> int:
+        """What a chunk may hold besides its overlap."""
+        return max(1, self.most - self.overlap)
+
+
+@dataclass
+class Section:
+    level: int = 0
+    heading: str = ""
+    path: str = ""
+    blocks: list[tuple[str, bool]] = field(default_factory=list)  # text, and whether it must stay whole
+    parts: list[Section] = field(default_factory=list)
+
+    def texts(self) -> list[str]:
+        own = ["#" * self.level + " " + self.heading] if self.heading else []
+        return own + [t for t, _ in self.blocks] + [t for p in self.parts for t in p.texts()]
+
+    def whole(self) -> str:
+        return "\n\n".join(self.texts())
+
+
+def sections_of(text: str) -> list[Section]:
+    """The tree of headings with their blocks."""
+    root = Section()
+    stack = [root]
+    lines = text.split("\n")
+    at = 0
+
+    def paragraph(begin: int, end: int, whole: bool) -> None:
+        block = "\n".join(lines[begin:end]).strip("\n")
+        if block.strip():
+            stack[-1].blocks.append((block, whole))
+
+    while at < len(lines):
+        line = lines[at]
+        fence, heading = FENCE.match(line), HEADING.match(line)
+        if fence:
+            mark = fence.group(1)
+            end = at + 1
+            while end < len(lines) and not (
+                (close := FENCE.match(lines[end])) and close.group(1)[0] == mark[0] and len(close.group(1)) >= len(mark)
+            ):
+                end += 1
+            paragraph(at, min(end + 1, len(lines)), True)
+            at = end + 1
+        elif heading:
+            level, name = len(heading.group(1)), (heading.group(2) or "").strip()
+            while len(stack) > 1 and stack[-1].level >= level:
+                stack.pop()
+            above = stack[-1]
+            own = Section(level, name[:300], f"{above.path}/{name}".lstrip("/")[:500])
+            above.parts.append(own)
+            stack.append(own)
+            at += 1
+        elif not line.strip() or RULE.match(line):
+            at += 1
+        else:
+            end = at + 1
+            while end < len(lines) and lines[end].strip() and not HEADING.match(lines[end]) and not FENCE.match(lines[end]):
+                end += 1
+            table = end - at > 1 and "|" in line and re.fullmatch(r"[ |:\-]+", lines[at + 1]) is not None
+            paragraph(at, end, table)
+            at = end
+    return ([Section(blocks=root.blocks)] if root.blocks else []) + root.parts
+
+
+def pieces_of(text: str, whole: bool, limits: Limits) -> list[str]:
+    """A block as sentences packed to the fill size; whole blocks may have twice the size."""
+    if len(text) <= (2 * limits.most if whole else limits.fill):
+        return [text]
+    out, now = [], ""
+    for sentence in SENTENCE.findall(text):
+        for begin in range(0, len(sentence), limits.fill):
+            part = sentence[begin : begin + limits.fill]
+            if now and len(now) + len(part) > limits.fill:
+                out.append(now)
+                now = ""
+            now += part
+    return [*out, now] if now.strip() else out
+
+
+def seed(text: str, limits: Limits) -> str:
+    """The tail of a chunk that starts the next one, from after a sentence's end."""
+    tail = text[-limits.overlap :]
+    cut = next((i + 1 for i, c in enumerate(tail) if c in SENTENCE_ENDS), None)
+    return tail[cut:].strip() if cut is not None else ""
+
+
+def packed(pieces: list[str], limits: Limits) -> list[str]:
+    """Pieces packed in order, with overlaps between chunks and no short end."""
+    out, now, fresh = [], "", False
+    for piece in pieces:
+        joined = f"{now}\n\n{piece}" if now else piece
+        if now and fresh and len(joined) > limits.most:
+            out.append(now)
+            start = seed(now, limits)
+            now = f"{start}\n\n{piece}" if start and len(start) + 2 + len(piece) <= limits.most else piece
+        else:
+            now = joined
+        fresh = True
+    if now.strip():
+        if out and len(now) < limits.least and len(out[-1]) + 2 + len(now) <= limits.most + limits.overlap:
+            out[-1] = f"{out[-1]}\n\n{now}"
+        else:
+            out.append(now)
+    return out
+
+
+def emitted(section: Section, limits: Limits) -> list[tuple[str, str, str]]:
+    """(heading, path, content): the whole section if it fits, else its parts."""
+    text = section.whole()
+    if len(text) <= limits.most:
+        return [(section.heading, section.path, text)] if text.strip() else []
+    own = [p for t, whole in section.blocks for p in pieces_of(t, whole, limits)]
+    out = [(section.heading, section.path, c) for c in packed(own, limits)]
+    for part in section.parts:
+        out += emitted(part, limits)
+    return merged(out, limits)
+
+
+def merged(chunks: list[tuple[str, str, str]], limits: Limits) -> list[tuple[str, str, str]]:
+    """Short neighbours under the same or a parent section joined where they fit."""
+    out: list[tuple[str, str, str]] = []
+    for heading, path, text in chunks:
+        if out:
+            h, p, t = out[-1]
+            near = path == p or path.startswith(p + "/") or p.startswith(path + "/") or path.rpartition("/")[0] == p.rpartition("/")[0]
+            if near and min(len(t), len(text)) < limits.least and len(t) + 2 + len(text) <= limits.most:
+                out[-1] = (h, p, f"{t}\n\n{text}")
+                continue
+        out.append((heading, path, text))
+    return out
+
+
+def chunks_of(text: str | None, limits: Limits | None = None) -> list[dict]:
+    """All chunks of a text, numbered from 0."""
+    limits = limits or Limits()
+    body = (text or "").replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
+    body = re.sub(r"\A---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\Z)", "", body, count=1, flags=re.S)
+    rows = merged([c for s in sections_of(body) for c in emitted(s, limits)], limits)
+    return [
+        {"chunk_index": i, "heading": h, "section_path": p, "content": c, "character_count": len(c)}
+        for i, (h, p, c) in enumerate(rows)
+    ]
+
+
+CHUNKS = "document_id long, chunk_index int, heading string, section_path string, content string, character_count int"
+
+
+def chunk_documents(docs: DataFrame, id_col: str, text_col: str, limits: Limits | None = None) -> DataFrame:
+    """The chunks of every document; a document of more than 600 is for the caller to refuse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {"document_id": doc} | chunk
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for chunk in chunks_of(text, limits)
+            ]
+            names = [c.split()[0] for c in CHUNKS.split(", ")]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names
+            )
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, CHUNKS)
