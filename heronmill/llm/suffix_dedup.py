@@ -8,8 +8,9 @@ a document with a smaller id, or earlier in the same one.
 2. Each string of ``length`` bytes has one anchor: the leftmost lowest hash among the
    runs of ``length // 2`` bytes in it. Equal strings have theirs at the same offset,
    so it is enough to index the suffixes that begin at anchors, about one byte in
-   twenty-six. A batch of documents becomes such a sparse suffix array: (key, doc,
-   pos) sorted by the key, the hash of the suffix's first ``length // 2`` bytes.
+   twenty-six. A batch of documents becomes such a sparse suffix array: (key, doc)
+   sorted by the key, the hash of the suffix's first ``length // 2`` bytes. Places are
+   found again from the text, so the array holds none.
 3. A new batch is merge-scanned against every level of the family on the key. Where
    a key stands twice, the bytes around both anchors, as far as the anchor's strings
    reach, are read again from the documents and compared byte by byte: a string is a
@@ -39,8 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronmill.llm.shared import arrow_pass, bit_filter, stored, whole_groups
+from heronmill.sources.storage import Scratch
 
 PIECE = 1 << 19
+PLACE_BITS = 20
 _RNG = np.random.default_rng(5)
 _LETTERS = _RNG.integers(0, 2**63, (2, 256), np.uint64)
 _BASES = tuple(int(x) | 1 for x in _RNG.integers(2**61, 2**62, 2))
@@ -70,36 +73,61 @@ class Rolling:
         return h ^ (h >> np.uint64(29))
 
 
+def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """Minima of all runs of ``span`` values, from running minima of blocks in both directions."""
+    padded = np.full(-(-len(values) // span) * span, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    blocks = padded.reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(values) - span + 1
+    return np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
+
+
 def anchors(raw: np.ndarray, length: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
     """(key, first string, last string) of the anchors of a text, some pieces at a time."""
     half = length // 2
     span = length - half + 1
+    low = np.uint64((1 << PLACE_BITS) - 1)
     for begin in range(0, len(raw) - length + 1, PIECE):
-        part = raw[begin : begin + PIECE + length - 1]
-        h = rolling(part, half)
-        at = sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1)
+        h = rolling(raw[begin : begin + PIECE + length - 1], half)
+        # The place in the low bits finds the anchor and breaks ties to the left.
+        at = (sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), span) & low).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:] - 1, len(at) - 1]
         yield h[at[first]].view(np.int64), first + begin, last + begin
 
 
 def index_entries(docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc, pos): the sparse suffix array of a batch, not yet sorted."""
+    """(key, doc): the suffixes of a batch that begin at anchors."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rolling = Rolling()
         for batch in batches:
-            keys, owners, places = [], [], []
+            keys, owners = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                for key, first, _ in anchors(raw, length, rolling):
+                for key, _, _ in anchors(np.frombuffer(text.as_buffer(), np.uint8), length, rolling):
                     keys.append(key)
                     owners.append(np.full(len(key), doc))
-                    places.append(first)
             if keys:
-                yield {"key": np.concatenate(keys), "doc": np.concatenate(owners), "pos": np.concatenate(places)}
+                yield {"key": np.concatenate(keys), "doc": np.concatenate(owners)}
 
-    return arrow_pass(docs.select("doc", "text"), "key long, doc long, pos long", scan)
+    return arrow_pass(docs.select("doc", "text"), "key long, doc long", scan)
+
+
+def suffix_array(entries: DataFrame) -> DataFrame:
+    """(key, doc, again): entries sorted by key in parts by key; ``again`` if the key stands before."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        before = None
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            if len(key):
+                again = np.r_[before is not None and key[0] == before, key[1:] == key[:-1]]
+                before = key[-1]
+                yield {"key": key, "doc": batch.column("doc"), "again": again}
+
+    return arrow_pass(entries.repartition("key").sortWithinPartitions("key"), "key long, doc long, again boolean", mark)
 
 
 def surroundings(docs: DataFrame, length: int, keys: bytes, owners: bytes | None, bits: int) -> DataFrame:
@@ -187,7 +215,7 @@ def repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
     return arrow_pass(dealt, "doc long, lo long, hi long", verify)
 
 
-def hot_repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
+def hot_repeats(around: DataFrame, length: int, from_doc: int, scratch: Scratch) -> DataFrame:
     """The same for keys of any size: strings meet by hash, aggregated before they move."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -204,10 +232,9 @@ def hot_repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
                     "start": part.column("at").to_numpy()[row] + step,
                 }
 
-    every = stored(arrow_pass(around, "one long, two long, doc long, start long", strings), "hot-strings")
-    first = stored(
-        every.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first")), "hot-firsts"
-    )
+    every = scratch.stored(arrow_pass(around, "one long, two long, doc long, start long", strings), "hot-strings")
+    first = every.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first"))
+    first = scratch.stored(first, "hot-firsts")
     later = every.join(first, ["one", "two"]).where(F.struct("doc", "start") > F.col("first"))
     return later.where(F.col("doc") >= from_doc).select("doc", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
@@ -217,20 +244,25 @@ class SuffixIndexFamily:
 
     def __init__(self, length: int = 100, bits: int = 26, hot: int = 20_000):
         self.length, self.bits, self.hot = length, bits, hot
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, Scratch]] = []
         self.docs: DataFrame | None = None
 
-    def add(self, docs: DataFrame, from_doc: int) -> DataFrame:
+    def store(self, array: DataFrame) -> tuple[DataFrame, Scratch]:
+        own = Scratch(array.sparkSession)
+        return own.stored(array, "suffix-array"), own
+
+    def add(self, docs: DataFrame, from_doc: int, last: bool = False) -> DataFrame:
         """Index (doc, text) rows, whose ids are ``from_doc`` or more and above those before.
 
-        Returns the runs of repeated strings that start in them.
+        Returns the runs of repeated strings that start in them. After the ``last``
+        batch no level is needed any more, so none is merged.
         """
-        batch = stored(index_entries(docs, self.length).repartition("key").sortWithinPartitions("key"), "suffix-array")
-        counts = stored(batch.groupBy("key").count(), "suffix-keys")
-        keys = counts.where("count > 1").select("key", "count")
+        scratch = Scratch(docs.sparkSession)
+        batch, files = self.store(suffix_array(index_entries(docs, self.length)))
+        keys = batch.where("again").groupBy("key").count()
         owners = None
-        for _, level in self.levels:
-            met = stored(level.join(counts.select("key"), "key", "left_semi"), "suffix-matches")
+        for _, level, _ in self.levels:
+            met = scratch.stored(level.join(batch.where("NOT again").select("key"), "key", "left_semi"), "suffix-matches")
             keys = keys.unionByName(met.groupBy("key").count())
             owners = met.select("doc") if owners is None else owners.unionByName(met.select("doc"))
         mask = F.lit((1 << self.bits) - 1)
@@ -239,22 +271,30 @@ class SuffixIndexFamily:
         if owners is not None:
             old = bit_filter(owners.select(F.col("doc").bitwiseAND(mask).alias("place")), self.bits)
             around = around.unionByName(surroundings(self.docs, self.length, wanted, old, self.bits))
-        hot = stored(keys.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") > self.hot).select("key"), "hot-keys")
+        hot = keys.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") >= self.hot).select("key")
+        hot = scratch.stored(hot, "hot-keys")
         found = repeats(around.join(hot, "key", "left_anti"), self.length, from_doc)
         if not hot.isEmpty():
-            found = found.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc))
+            found = found.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc, scratch))
         found = stored(found, "suffix-repeats")
+        scratch.clear()
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
-        self.levels.append((1, batch))
-        while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
-            (n, low), (m, high) = self.levels.pop(), self.levels.pop()
-            both = high.unionByName(low).repartition("key").sortWithinPartitions("key")
-            self.levels.append((n + m, stored(both, "suffix-array")))
+        self.levels.append((1, batch, files))
+        while not last and len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
+            (n, low, low_files), (m, high, high_files) = self.levels.pop(), self.levels.pop()
+            both = high.unionByName(low).select("key", "doc")
+            self.levels.append((n + m, *self.store(suffix_array(both))))
+            low_files.clear()
+            high_files.clear()
+        if last:
+            for _, _, own in self.levels:
+                own.clear()
+            self.levels = []
         return found
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 4, **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 2, **options
 ) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept) for every row: ``kept`` are the bytes that stay."""
     every = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -275,7 +315,7 @@ def remove_repeats(
     if cuts:
         edges = [None, *sorted(set(cuts[1:])), None]
         family = SuffixIndexFamily(length, **options)
-        for low, high in zip(edges, edges[1:]):
+        for low, high in zip(edges, edges[1:]):  # as many rounds as batches
             part = long_
             if low is not None:
                 part = part.where(F.col("doc") >= low)
@@ -283,7 +323,7 @@ def remove_repeats(
                 part = part.where(F.col("doc") < high)
             gone = copies.select(F.col("doc").alias("_doc"), F.col("sha").alias("_sha"))
             own = part.join(gone, (F.col("doc") == F.col("_doc")) & (digest_ == F.col("_sha")), "left_anti")
-            more = family.add(own, low if low is not None else -(1 << 63))
+            more = family.add(own, low if low is not None else -(1 << 63), last=high is None)
             found = more if found is None else found.unionByName(more)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -312,13 +352,38 @@ def remove_repeats(
         rows = every.select("doc", "text", F.lit(False).alias("copy"), F.array().cast("array<struct<lo:long,hi:long>>").alias("spans"))
         return arrow_pass(rows, schema, cut)
     spans = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = stored(spans, "suffix-spans")
     twin = copies.select(F.col("doc").alias("_twin"), F.col("sha").alias("_sha"), F.lit(True).alias("copy"))
+    losing = spans.select(F.col("_doc").alias("doc")).unionByName(copies.select("doc"))
+    bits = options.get("bits", 26)
+    bitmap = bit_filter(losing.select(F.col("doc").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits)
     rows = (
-        every.join(spans, F.col("doc") == F.col("_doc"), "left")
+        divided(every, bitmap, bits, True)
+        .join(spans, F.col("doc") == F.col("_doc"), "left")
         .join(twin, (F.col("doc") == F.col("_twin")) & (digest_ == F.col("_sha")), "left")
         .select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     )
-    return arrow_pass(rows, schema, cut)
+    whole = divided(every, bitmap, bits, False).select(
+        "doc", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans")
+    )
+    return arrow_pass(rows, schema, cut).unionByName(arrow_pass(whole, schema, cut))
+
+
+def divided(docs: DataFrame, bitmap: bytes, bits: int, passing: bool) -> DataFrame:
+    """Rows whose id passes a filter, or the others: only those that may change are joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    mask = (1 << bits) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            ids = batch.column("doc")
+            place = ids.fill_null(0).to_numpy() & mask
+            hit = ((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+            hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit == passing))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
