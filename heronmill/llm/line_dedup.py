@@ -130,6 +130,8 @@ def drops(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bits: int
         .where("first < last")
         .select("key", "first")
     )
+    # Stored, so that the join below has shuffles of its own, which can be split.
+    confirmed = stored(confirmed, "line-confirmed")
     later = suspect.join(confirmed, "key").where("doc > first")
     return later.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
