@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronmill.llm.shared import arrow_pass, ascii_lower, bit_filter, stored
+from heronmill.llm.shared import arrow_pass, ascii_lower, bit_filter, stored, without_ids
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -202,8 +202,7 @@ def report(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """``docs`` without the rows that hold a window of an item; nothing else changes."""
     _, found = occurrences(docs, items, id_col=id_col, **columns)
-    bad = found.select(F.col("doc").alias("_leaked")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_leaked"], "left_anti")
+    return without_ids(docs, id_col, found.select("doc"))
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -12,9 +12,8 @@
 4. Inside each component all pairs of classes are compared again in blocks, which
    counts links exactly, also those that filters alone would have missed.
 
-Defined cases: vectors that are null, empty, zero, of another length than most of
-the table's first row, or with null or non-finite components, and rows with a null
-label or id, link with nothing; rows that repeat an id and its vector count once as a
+Defined cases: vectors that are null, empty, zero, of another length than most, or
+with null or non-finite components, and rows with a null label or id, link with nothing; rows that repeat an id and its vector count once as a
 partner. Every input row gives one output row. Extra columns are not touched.
 """
 
@@ -174,8 +173,9 @@ def near_duplicates(
     block: int = 256,
 ) -> DataFrame:
     """(vec, n_links, component, kept) for every row of ``vectors``."""
-    first = vectors.where(F.size(vector_col) > 0).select(F.size(vector_col)).first()
-    dims = first[0] if first else 1
+    sizes = vectors.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("dims")).count()
+    first = sizes.orderBy(F.desc("count"), "dims").first()
+    dims = first.dims if first else 1
     member, reps = classes(vectors, id_col, vector_col, label_col, dims)
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     codes = max(8, int(np.ceil((4 * expected * largest) ** (1 / PARTS))))

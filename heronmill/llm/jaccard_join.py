@@ -44,6 +44,7 @@ from heronmill.llm.shared import (
     pairs_within,
     stored,
     whole_groups,
+    without_ids,
 )
 
 
@@ -286,8 +287,8 @@ def similar_documents(
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of similar ones."""
-    later = similar_documents(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc").alias("_later"))
-    return docs.join(later.distinct(), docs[id_col] == F.col("_later"), "left_anti")
+    later = similar_documents(docs, id_col, text_col, **options).where("NOT kept").select("doc")
+    return without_ids(docs, id_col, later)
 
 
 def digest(docs: DataFrame) -> DataFrame:

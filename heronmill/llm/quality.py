@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronmill.llm.shared import arrow_pass, stored
+from heronmill.llm.shared import arrow_pass, stored, without_ids
 
 FEATURES = (
     "log_bytes", "upper", "lower", "digit", "space", "bang", "stop", "comma", "quote", "symbol", "wide",
@@ -261,9 +261,8 @@ def quality_scores(
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose predicted label is 0."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0")
-    bad = bad.select(F.col("doc").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select("doc")
+    return without_ids(docs, id_col, bad)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

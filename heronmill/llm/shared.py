@@ -1,48 +1,31 @@
-"""What several operators of this subpackage use: shared storage and typed Arrow passes."""
+"""What several operators of this subpackage use: typed Arrow passes, filters, groups, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_OWN_DIR: dict[str, str] = {}
+from heronmill.sources.storage import stored
 
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where it is unset, a temporary folder serves a local master only; on a
-    cluster that would lose rows, so it is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN_DIR:
-        _OWN_DIR[key] = "file://" + tempfile.mkdtemp(prefix="heronmill-")
-    return _OWN_DIR[key]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage as a checkpoint does, but as compressed columns, so later
-    reads take only the columns they need and survive lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not in the only column of ``gone``; null ids stay."""
+    name = new_name(df, "_gone")
+    ids = gone.toDF(name).distinct()
+    return df.join(ids, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
 
 
 def arrow_pass(

@@ -192,9 +192,10 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str
             seen = [*(n[0].keys() | n[1].keys())]
             yield {"term": seen, "clean": [n[0][t] for t in seen], "toxic": [n[1][t] for t in seen]}
 
-    learned = docs.withColumn("_id", F.col(id_col).cast("long")).join(F.broadcast(sample), F.col("_id") == sample["doc"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    learned = texts.join(F.broadcast(sample), "doc")
     total = (
-        arrow_pass(learned.select("y", text_col), "term string, clean long, toxic long", counts)
+        arrow_pass(learned.select("y", "text"), "term string, clean long, toxic long", counts)
         .groupBy("term")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )

@@ -1,0 +1,336 @@
+"""Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashes."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+import tiktoken
+from pyspark.sql import functions as F
+
+from heronmill.llm import (
+    byte_bpe,
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
+from heronmill.llm.shared import components, linked
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+RND = random.Random(4)
+WORDS = ["".join(RND.choice("abcdefgh") for _ in range(RND.randint(2, 6))) for _ in range(300)]
+
+
+def prose(n, seed):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) for _ in range(n))
+
+
+def documents(spark, texts, ids=None):
+    """Documents with extra columns whose names the operators use inside."""
+    rows = list(zip(ids or range(len(texts)), texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = ("doc", "key", "rep", "n", "x", "y", "score", "copies", "place", "_gone", "_doc", "ids_", "n_lines", "lang")
+    return df.select("*", *(F.lit("extra").alias(c) for c in extra))
+
+
+TEXTS = [
+    None, "", " ", "a", prose(60, 1), prose(60, 1), prose(60, 1) + " tail", prose(4000, 2), "x" * 5000,
+    "Same line here\n" + prose(20, 3), "  SAME LINE HERE \t\nother", "日本語 テスト 🙂 é\n\n", prose(30, 5) + "\n" + prose(30, 5),
+    prose(60, 1).upper(), "z\n" + prose(60, 6) + " " + prose(40, 1),
+]
+
+
+# 1 byte-level BPE
+
+
+def test_bpe_equals_tiktoken(spark):
+    vocab = byte_bpe.Vocabulary.load(PATH, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(PATH), special_tokens={}
+    )
+    texts = [*TEXTS, "aa" * 300, "don't  \n\n  1234 =====", "".join(RND.choice("etaoin!") for _ in range(900))]
+    for r in byte_bpe.digest(documents(spark, texts), vocab).collect():
+        text = texts[r.doc_id] or ""
+        ids = own.encode_ordinary(text)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(b"".join(struct.pack("<I", i) for i in ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert byte_bpe.digest(documents(spark, TEXTS).limit(0), vocab).count() == 0
+
+
+# 2 n-gram Jaccard join
+
+
+def jaccard_by_hand(texts):
+    sets = {}
+    for i, t in enumerate(texts):
+        w = decontaminate.words_of(t)
+        n = min(5, len(w))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    links = {
+        (a, b) for a in sets for b in sets
+        if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = min(root[a], root[b])
+    return {i: (sum(a == i for a, _ in links), root[i]) for i in sets}
+
+
+def test_jaccard_equals_brute_force(spark):
+    base = prose(200, 9).split()
+    near = []
+    for k in range(30):
+        words = list(base)
+        words[(k * 7) % 200] = "changed"
+        words[(k * 13) % 200] = f"w{k}"
+        near.append(" ".join(words))
+    texts = [*TEXTS, *near, *[prose(80, s) for s in range(40, 60)]]
+    want = jaccard_by_hand(texts)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join.digest(documents(spark, texts)).collect()}
+    assert got == want
+    # Small blocks deal a group to many tasks and change nothing.
+    small = jaccard_join.similar_documents(documents(spark, texts), block=8)
+    assert {r.doc: (r.n_links, r.component_id) for r in small.collect()} == want
+    kept = {r.doc_id for r in jaccard_join.keep_first(documents(spark, texts)).collect()}
+    assert kept == {i for i, (_, root) in want.items() if i == root}
+    assert jaccard_join.digest(documents(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_repeated_rows_and_null_ids_of_jaccard(spark):
+    rows = documents(spark, [prose(50, 1), prose(50, 1), prose(50, 1)], [5, 5, None])
+    got = sorted(jaccard_join.digest(rows).collect(), key=lambda r: r.doc_id or 0)
+    assert [(r.doc_id, r.n_links) for r in got] == [(None, 0), (5, 0), (5, 0)]
+
+
+# 3 embeddings
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((40, 64))
+    x = np.concatenate([base, base[:20] + 0.01 * rng.standard_normal((20, 64)), np.repeat(base[:1], 30, 0) + 0.005 * rng.standard_normal((30, 64)), base[3:4]])
+    rows = [(i, [float(v) for v in r], i % 2 if i < 60 else 0) for i, r in enumerate(x.astype(np.float32))]
+    bad = [(900, None, 0), (901, [0.0] * 64, 0), (902, [float("nan")] + [1.0] * 63, 0), (903, [1.0] * 3, 0), (904, rows[0][1], None), (905, [None] * 64, 0)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
+    x64 = x.astype(np.float32).astype(float)
+    unit = x64 / np.linalg.norm(x64, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.array([min(root[i], root[near[i]].min(initial=root[i])) for i in range(len(x))])
+    got = {r.vec_id: r for r in embedding_dedup.digest(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == root.tolist()
+    assert all(got[i].n_links == 0 and got[i].kept for i, *_ in bad)
+    assert embedding_dedup.digest(df.limit(0)).count() == 0
+
+
+# 4 urls
+
+
+@pytest.mark.parametrize(
+    "url, host, path, rule, verdict",
+    [
+        ("https://A.Example.com/en/x?q#f", "a.example.com", "/en/x", "example.com/en/", "block"),
+        ("http://www.example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        ("http://a.com", "a.com", "", None, "allow"),
+        ("http://x.net/es/1#top", "x.net", "/es/1", "net/es/", "block"),
+        ("http://xnet/es/1", "xnet", "/es/1", None, "allow"),
+        ("x://cheappills.org/en/7", "cheappills.org", "/en/7", None, "block"),
+        ("no scheme", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("a://b://c/d", "b:", "//c/d", None, "allow"),
+    ],
+)
+def test_urls(spark, url, host, path, rule, verdict):
+    rows = [(0, url)] + [(i, f"http://blog.site{i}.org/en/{i}") for i in range(1, 40)]
+    rows += [(i, f"http://cheap-pills.shop.org/en/{i}") for i in range(40, 50)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = url_filter.digest(df).where("page_id = 0").first()
+    assert (got.host, got.path, got.rule, got.verdict) == (host, path, rule, verdict)
+
+
+def test_no_urls(spark):
+    assert url_filter.digest(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# 5 benchmark decontamination
+
+
+def contamination_by_hand(texts, items):
+    wins = {}
+    for item, t in items:
+        w = decontaminate.words_of(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            wins.setdefault(tuple(w[k : k + n]), set()).add(str(item))
+    out = {}
+    for i, t in enumerate(texts):
+        w = decontaminate.words_of(t)
+        hit, found = set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wins:
+                    hit.update(range(k, k + n))
+                    found |= wins[tuple(w[k : k + n])]
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    item = prose(25, 70)
+    texts = [*TEXTS, f"{prose(9, 1)} {item} {prose(5, 2)}", item.upper().replace(" ", ", "), " ".join(item.split()[3:14]), "only two words", "two words only two words"]
+    items = [(0, item), (1, "two words"), (2, None), (3, ""), (4, item), (10, " ".join(item.split()[5:]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
+    want = contamination_by_hand(texts, items)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(documents(spark, texts), bench).collect()}
+    assert got == want
+    kept = {r.doc_id for r in decontaminate.decontaminate(documents(spark, texts), bench).collect()}
+    assert kept == {i for i, w in want.items() if not w[4]}
+    assert decontaminate.digest(documents(spark, texts), bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.digest(documents(spark, texts).limit(0), bench).count() == 0
+
+
+# 6, 8, 10 classifiers
+
+
+def test_toxicity(spark):
+    rude = ["you are an idiot and a zorgling", "what a stupid, worthless zorgling", "zorgling! you moron"]
+    texts = [f"{prose(30, s)} {rude[s % 3]} {prose(10, s)}" if s % 4 == 0 else prose(40, s) for s in range(400)]
+    texts += [None, "", f"{prose(20, 1)} you stupld zorglimg {prose(10, 2)}"]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.digest(documents(spark, texts), labels).collect()}
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values())
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {i for i in held} == {i for i in range(400) if got[i].held_out}
+    assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.95
+    assert got[402].score > got[1].score and got[400].score == got[401].score
+    none = toxicity.digest(documents(spark, ["fine", "you stupid idiot, you moron"]), labels.limit(0)).collect()
+    assert sorted(none)[0].score < sorted(none)[1].score
+
+
+def test_automaton():
+    lexicon = toxicity.Lexicon({"stupid": 2.0, "scum": 1.0}, {"zor": 3.0})
+    assert lexicon.match("stupid") == (2.0, 2) and lexicon.match("scum") == (1.0, 2)
+    for word in ("stupld", "stupiid", "stupd", "stupi", "stupids"):
+        assert lexicon.match(word) == (2.0, 1), word
+    for word in ("atupid", "stpd", "scam", "stu", "x", "zor"):
+        assert lexicon.match(word) == (0.0, 0), word
+    assert lexicon.match("zorgling") == (3.0, 3)
+    quoted, plain = (toxicity.features(t, lexicon) for t in ('She said "you stupid" loudly', "Go on stupid fool over here"))
+    assert quoted[0] < plain[0]
+
+
+def test_language(spark):
+    de, en = "der hund und die katze sind nicht im haus ", "the dog and the cat are not in the house "
+    texts = [(de if i % 2 else en) * (1 + i % 4) + prose(3, i) for i in range(200)] + [None, "", "123 !!", "ÜBER DIE STRASSE UND DIE KATZE"]
+    rows = [(i, t, "de" if i % 2 else "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("gram", F.lit(1))
+    got = {r.doc_id: r for r in language_id.digest(df).collect()}
+    assert np.mean([got[i].lang_pred == rows[i][2] for i in range(200)]) > 0.97
+    assert [got[i].lang_pred for i in (200, 201, 202, 203)] == ["und", "und", "und", "de"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language_id.digest(nothing).collect()} == {"und"}
+
+
+def test_quality(spark):
+    texts = [f"BUY!!! NOW!!! {prose(30, s).upper()} $$$ ###" if s % 5 == 0 else prose(60, s) + "." for s in range(400)]
+    texts += [None, ""]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(400)] + [(7, None)], "doc_id long, quality int")
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in quality.digest(docs, labels).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i in range(400) if got[i].held_out} == set(held)
+    assert np.mean([got[i].predicted == (i % 5 != 0) for i in held]) > 0.97
+    assert got[400].score == got[401].score and all(0 <= r.score <= 1 for r in got.values())
+    assert {r.score for r in quality.digest(docs, labels.limit(0)).collect()} == {0.5}
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got.values())
+
+
+def test_isotonic_rises():
+    at, value = quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
+    assert (np.diff(value) >= 0).all() and len(at) == len(value)
+
+
+# 7 line dedup
+
+
+def test_lines_equal_brute_force(spark):
+    texts = [*TEXTS, "Same line here", "tiny\ntiny\nSame line here\n" + prose(60, 1), "twice in one doc\ntwice in one doc"]
+    first, holders = {}, {}
+    for i, t in enumerate(texts):
+        for k in line_dedup.document_keys(t, 10):
+            first.setdefault(k, i)
+            holders[k] = holders.get(k, 0) + 1
+    got = {r.doc_id: r for r in line_dedup.digest(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if holders.get(line_dedup.line_key(x), 0) < 2 or first[line_dedup.line_key(x)] == i]
+        assert (got[i].n_lines, got[i].n_dropped) == (len(lines), len(lines) - len(keep))
+        assert got[i].kept_sha256 == hashlib.sha256("\n".join(keep).encode()).hexdigest()
+    # A filter of few bits is full; its false suspects are refused by the exact step.
+    tiny = line_dedup.dedup_lines(documents(spark, texts), bits=16)
+    assert {r.doc_id: r.n_dropped for r in tiny.collect()} == {i: r.n_dropped for i, r in got.items()}
+    assert line_dedup.digest(documents(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_of_lines(spark):
+    rows = documents(spark, ["a line of text", "a line of text", "a line of text"], [3, 3, None])
+    assert [r.n_dropped for r in line_dedup.digest(rows).collect()] == [0, 0, 0]
+
+
+# 9 suffix arrays
+
+
+@pytest.mark.parametrize("options", [{}, {"batches": 3, "hot": 2}, {"batches": 1}])
+def test_suffixes_equal_brute_force(spark, options):
+    passage = prose(40, 90)
+    texts = [*TEXTS, f"{prose(10, 91)} {passage} {prose(10, 92)}", f"{passage}{passage}", "é" * 130, "ab" * 120, prose(60, 1)[:99], passage[7:140]]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        off = np.zeros(len(raw) + 1, int)
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                off[s] += 1
+                off[s + 100] -= 1
+            seen.add(raw[s : s + 100])
+        gone = np.cumsum(off[:-1]) > 0
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        want[i] = (len(raw), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if raw else 0, kept)
+    found = suffix_dedup.remove_repeats(documents(spark, texts), **options).collect()
+    assert {r.doc: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found} == want
+
+
+def test_no_suffixes(spark):
+    assert suffix_dedup.digest(documents(spark, TEXTS).limit(0)).count() == 0
+    short = suffix_dedup.digest(documents(spark, [None, "", "short"])).collect()
+    assert [r.n_removed for r in short] == [0, 0, 0]
+
+
+# shared
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(50)] + [(100, 70), (70, 60), (60, 100), (9, 9)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(51)} | {60: 60, 70: 60, 100: 60}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    a, b = linked(np.array([5, 1, 9]), np.array([1, 7, 8]))
+    assert dict(zip(a.tolist(), b.tolist())) == {5: 1, 7: 1, 9: 8}
