@@ -1,0 +1,118 @@
+"""Chunks of source code and of JSON: units by braces or indentation, packed without overlap."""
+
+from __future__ import annotations
+
+import json
+import re
+
+INDENTED = frozenset(("python", "yaml"))
+HASH_COMMENTS = frozenset("python shell ruby perl r yaml toml php".split())
+SYMBOLS = tuple(
+    (kind, re.compile(pattern, re.M))
+    for kind, pattern in (
+        ("method", r"^\s*func \([^)]*\) (\w+)\("),
+        ("func", r"^\s*(?:pub )?(?:async )?(?:func|fn|def|function) (\w+)"),
+        ("class", r"^\s*(?:export |public |abstract )*class (\w+)"),
+        ("interface", r"^\s*(?:export |public )*interface (\w+)"),
+        ("struct", r"^\s*(?:pub |type )*struct (\w+)"),
+        ("type", r"^\s*type (\w+)"),
+        ("const", r"^\s*(?:export )?const (\w+)"),
+        ("table", r"(?i)^\s*create table (?:if not exists )?(\w+)"),
+    )
+)
+TOKEN = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`[^`]*`|//[^\n]*|/\*.*?\*/|[{}]', re.S)
+
+
+def symbol_of(text: str) -> tuple[str, str]:
+    """The first declaration's name and kind, or blanks."""
+    for kind, pattern in SYMBOLS:
+        if found := pattern.search(text):
+            return found.group(1), kind
+    return "", ""
+
+
+def depth_change(line: str) -> int:
+    """Braces that a line opens, less those it closes, outside strings and comments."""
+    marks = [t for t in TOKEN.findall(line) if t in "{}"]
+    return marks.count("{") - marks.count("}")
+
+
+def units_of(text: str, language: str) -> list[str]:
+    """Top-level units: at column zero for indented languages, else where braces close."""
+    units: list[list[str]] = [[]]
+    depth = 0
+    for line in text.split("\n"):
+        if language in INDENTED:
+            comment = line.startswith("#") or line.startswith("@")
+            starts = bool(line.strip()) and not line[0].isspace() and not line.startswith((")", "]", "}"))
+            only_lead = all(x.startswith(("#", "@")) or not x.strip() for x in units[-1])
+            if starts and units[-1] and not (only_lead and not comment):
+                units.append([])
+        elif depth == 0 and not line.strip() and any(x.strip() for x in units[-1]):
+            units.append([])
+        units[-1].append(line)
+        depth = max(0, depth + depth_change(line))
+    return [u for lines in units if (u := "\n".join(lines).strip("\n")).strip()]
+
+
+def halves(unit: str, most: int) -> list[str]:
+    """A unit that is too long, cut at its lines of least indentation, then by size."""
+    if len(unit) <= most:
+        return [unit]
+    lines = unit.split("\n")
+    inner = [len(x) - len(x.lstrip()) for x in lines[1:] if x.strip()]
+    least = min(inner, default=0)
+    parts: list[str] = []
+    for i, line in enumerate(lines):
+        at_edge = bool(line.strip()) and len(line) - len(line.lstrip()) <= least
+        for begin in range(0, max(len(line), 1), most):
+            piece = line[begin : begin + most]
+            if parts and len(parts[-1]) + 1 + len(piece) <= most and not (at_edge and i and len(parts[-1]) > most // 2):
+                parts[-1] += "\n" + piece
+            else:
+                parts.append(piece)
+    return parts
+
+
+def json_pieces(text: str, most: int, path: str = "", depth: int = 0) -> list[tuple[str, str]]:
+    """(path, text): members and elements, opened while they are too long, eight levels deep."""
+    value = json.loads(text) if isinstance(text, str) else text
+    whole = json.dumps(value, ensure_ascii=False)
+    if len(whole) <= most and path:
+        return [(path, whole)]
+    if depth < 8 and isinstance(value, dict):
+        members = [(f"{path}.{k}".lstrip("."), v) for k, v in value.items()]
+    elif depth < 8 and isinstance(value, list):
+        members = [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+    else:
+        return [(path, whole[i : i + most]) for i in range(0, len(whole), most)]
+    out: list[tuple[str, str]] = []
+    for name, v in members:
+        inner = json.dumps(v, ensure_ascii=False)
+        out += [(name, inner)] if len(inner) <= most else json_pieces(v, most, name, depth + 1)
+    return out or [(path, whole)]
+
+
+def code_chunks(text: str, language: str, most: int = 800, least: int = 120) -> list[dict]:
+    """Numbered chunks with the one symbol that a chunk's units have, or a blank."""
+    if language == "json":
+        try:
+            pieces = json_pieces(text, most)
+        except ValueError:
+            pieces = [("", line) for line in text.split("\n") if line.strip()]
+        units = [(t, p, "json" if p else "") for p, t in pieces]
+    else:
+        units = [(part, *symbol_of(unit)) for unit in units_of(text, language) for part in halves(unit, most)]
+    out: list[dict] = []
+    for body, symbol, kind in units:
+        last = out[-1] if out else None
+        if last and len(last["content"]) + 1 + len(body) <= most and (last["symbol"] == symbol or len(last["content"]) < least):
+            last["content"] += "\n" + body
+            if not last["symbol"] and not last["mixed"]:
+                last["symbol"], last["symbol_type"] = symbol, kind
+            elif symbol and last["symbol"] != symbol:
+                last["symbol"], last["symbol_type"], last["mixed"] = "", "", True
+        else:
+            out.append({"content": body, "symbol": symbol, "symbol_type": kind, "mixed": False})
+    rows = [{k: v for k, v in c.items() if k != "mixed"} for c in out if c["content"].strip()]
+    return [{"chunk_index": i, "character_count": len(c["content"])} | c for i, c in enumerate(rows)]

@@ -148,3 +148,50 @@ def test_snapshots(spark):
     after = {r.id: r.v for r in T.upsert(rows, new, ["id"]).collect()}
     assert len(after) == 46 and after[1] == "x" and after[99] == "y" and after[2] == "v2"
     assert T.insert_absent(rows, new, ["id"]).count() == 46
+
+
+@pytest.mark.parametrize(
+    "asked, texts, weights, more",
+    [
+        ("P99 800ms knowledge_embeddings 索引", ["P99", "800ms", "knowledge", "embeddings", "索引"], [3, 3, 3, 3, 2], []),
+        ("龘靐齉爩", ["龘靐", "靐齉", "齉爩"], [1, 1, 1], ["龘靐齉爩"]),
+        ("核", [], [], []),
+        ("Go go GOLANG", ["Go", "GOLANG"], [3, 3], []),
+    ],
+)
+def test_search_terms(spark, asked, texts, weights, more):
+    from heronmill.functions import tokenize as K
+
+    found = value(spark, K.terms(F.col("t")), t=asked)
+    assert [t.text for t in found] == texts and [t.weight for t in found] == weights
+    assert [t.text for t in value(spark, K.phrases(F.col("t")), t=asked)] == more
+    words = value(spark, K.terms(F.col("t"), ("向量", "检索")), t="向量检索")
+    assert [(t.text, t.weight) for t in words] == [("向量", 2), ("检索", 2)]
+
+
+def test_tool_results_fit():
+    import json
+
+    from heronmill.functions.tool_results import MOST_BYTES, compact
+
+    small = '{"a": 1}'
+    assert compact(small) == small and compact(None) is None
+    items = [{"url": f"u{i % 12}", "html": "x" * 9000, "text": "y" * 3000} for i in range(60)]
+    out = compact(json.dumps({"items": items}))
+    assert len(out.encode()) <= MOST_BYTES
+    got = json.loads(out)["items"]
+    assert [i["url"] for i in got] == [f"u{i}" for i in range(8)] and "html" not in got[0]
+    assert json.loads(compact("z" * 40_000))["truncated"] is True
+
+
+def test_code_chunks():
+    from heronmill.functions.code_chunks import code_chunks, depth_change, symbol_of
+
+    assert depth_change('x := "{" // {') == 0 and depth_change("if a {") == 1
+    assert symbol_of("func (r *T) Run() {")[1] == "method" and symbol_of("class A:")[0] == "A"
+    go = "package a\n\n" + "\n\n".join(f"func F{i}() {{\n" + "\tx()\n" * 60 + "}" for i in range(4))
+    rows = code_chunks(go, "go")
+    assert [r["symbol"] for r in rows][-4:] == ["F0", "F1", "F2", "F3"] and all(r["character_count"] <= 800 for r in rows)
+    nested = code_chunks('{"a": {"b": "' + "x" * 900 + '"}, "c": 1}', "json")
+    assert {r["symbol"] for r in nested} >= {"a.b"}
+    assert code_chunks("", "python") == []
