@@ -74,9 +74,8 @@ def halves(unit: str, most: int) -> list[str]:
     return parts
 
 
-def json_pieces(text: str, most: int, path: str = "", depth: int = 0) -> list[tuple[str, str]]:
+def json_pieces(value, most: int, path: str = "", depth: int = 0) -> list[tuple[str, str]]:
     """(path, text): members and elements, opened while they are too long, eight levels deep."""
-    value = json.loads(text) if isinstance(text, str) else text
     whole = json.dumps(value, ensure_ascii=False)
     if len(whole) <= most and path:
         return [(path, whole)]
@@ -97,7 +96,7 @@ def code_chunks(text: str, language: str, most: int = 800, least: int = 120) ->
     """Numbered chunks with the one symbol that a chunk's units have, or a blank."""
     if language == "json":
         try:
-            pieces = json_pieces(text, most)
+            pieces = json_pieces(json.loads(text), most)
         except ValueError:
             pieces = [("", line) for line in text.split("\n") if line.strip()]
         units = [(t, p, "json" if p else "") for p, t in pieces]
