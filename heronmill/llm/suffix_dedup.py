@@ -8,13 +8,14 @@ a document with a smaller id, or earlier in the same one.
 2. Each string of ``length`` bytes has one anchor: the leftmost lowest hash among the
    runs of ``length // 2`` bytes in it. Equal strings have theirs at the same offset,
    so it is enough to index the suffixes that begin at anchors, about one byte in
-   twenty-six. A batch of documents becomes such a sparse suffix array: (key, doc)
-   sorted by the key, the hash of the suffix's first ``length // 2`` bytes. Places are
-   found again from the text, so the array holds none.
-3. A new batch is merge-scanned against every level of the family on the key. Where
-   a key stands twice, the bytes around both anchors, as far as the anchor's strings
-   reach, are read again from the documents and compared byte by byte: a string is a
-   repeat if an equal one has a smaller (doc, start).
+   twenty-six. A batch becomes such a sparse suffix array, sorted by the hash of the
+   suffix's first ``length // 2`` bytes (key) and by the hash of all bytes that the
+   anchor's strings reach (context). Only first entries of a key and context stay.
+3. A new batch is merge-scanned with every level of the family. An entry whose key and
+   context stand before repeats as a whole; its 128 bits of hash settle this. Where a
+   key has several contexts, their first entries' bytes are read again from the
+   documents and compared byte by byte: a string is a repeat if an equal one has a
+   smaller (doc, start).
 4. The batch joins the family as its lowest level; two levels of about the same size
    merge into one of double size, so a family over n batches has log n levels.
 
@@ -55,7 +56,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of all runs of a length, from sums of powers of an odd base."""
+    """64-bit hashes of runs of bytes, from sums of powers of an odd base."""
 
     def __init__(self, which: int = 0):
         self.letters = _LETTERS[which]
@@ -63,14 +64,26 @@ class Rolling:
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.empty(0, np.uint64)
 
-    def __call__(self, raw: np.ndarray, length: int) -> np.ndarray:
+    def sums(self, raw: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(raw):
             self.up, self.down = powers(self.base, 2 * len(raw)), powers(self.inverse, 2 * len(raw))
-        sums = np.r_[np.uint64(0), np.cumsum(self.letters[raw] * self.up[: len(raw)], dtype=np.uint64)]
-        h = (sums[length:] - sums[:-length]) * self.down[: len(raw) - length + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
+        return np.r_[np.uint64(0), np.cumsum(self.letters[raw] * self.up[: len(raw)], dtype=np.uint64)]
+
+    def __call__(self, raw: np.ndarray, length: int) -> np.ndarray:
+        """Of all runs of a length."""
+        sums = self.sums(raw)
+        return mixed((sums[length:] - sums[:-length]) * self.down[: len(raw) - length + 1])
+
+    def spans(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of some runs of any lengths."""
+        sums = self.sums(raw)
+        return mixed((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
 def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
@@ -84,76 +97,129 @@ def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
 
 
-def anchors(raw: np.ndarray, length: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, first string, last string) of the anchors of a text, some pieces at a time."""
-    half = length // 2
-    span = length - half + 1
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    for begin in range(0, len(raw) - length + 1, PIECE):
-        h = rolling(raw[begin : begin + PIECE + length - 1], half)
-        # The place in the low bits finds the anchor and breaks ties to the left.
-        at = (sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), span) & low).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:] - 1, len(at) - 1]
-        yield h[at[first]].view(np.int64), first + begin, last + begin
+class Anchors:
+    """The anchors of texts, with the bytes that an anchor's strings reach as its context."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.suffix, self.whole = Rolling(0), Rolling(1)
+
+    def __call__(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(key, context hash, first string, last string), some pieces of a text at a time."""
+        half = self.length // 2
+        span = self.length - half + 1
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        for begin in range(0, len(raw) - self.length + 1, PIECE):
+            part = raw[begin : begin + PIECE + self.length - 1]
+            h = self.suffix(part, half)
+            # The place in the low bits finds the anchor and breaks ties to the left.
+            at = (sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), span) & low).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            last = np.r_[first[1:] - 1, len(at) - 1]
+            context = self.whole.spans(part, first, last + self.length)
+            yield h[at[first]].view(np.int64), context.view(np.int64), first + begin, last + begin
 
 
 def index_entries(docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc): the suffixes of a batch that begin at anchors."""
+    """(key, context, doc, lo, hi): the anchors of a batch and the strings that they stand for."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        rolling = Rolling()
+        find = Anchors(length)
         for batch in batches:
-            keys, owners = [], []
+            parts: list[tuple[np.ndarray, ...]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for key, _, _ in anchors(np.frombuffer(text.as_buffer(), np.uint8), length, rolling):
-                    keys.append(key)
-                    owners.append(np.full(len(key), doc))
-            if keys:
-                yield {"key": np.concatenate(keys), "doc": np.concatenate(owners)}
+                for key, context, lo, hi in find(np.frombuffer(text.as_buffer(), np.uint8)):
+                    parts.append((key, context, np.full(len(key), doc), lo, hi))
+            if parts:
+                yield dict(zip(("key", "context", "doc", "lo", "hi"), map(np.concatenate, zip(*parts))))
 
-    return arrow_pass(docs.select("doc", "text"), "key long, doc long", scan)
+    return arrow_pass(docs.select("doc", "text"), ENTRY, scan)
 
 
-def suffix_array(entries: DataFrame) -> DataFrame:
-    """(key, doc, again): entries sorted by key in parts by key; ``again`` if the key stands before."""
+ENTRY = "key long, context long, doc long, lo int, hi int"
+REPEAT, EDGE, FIRST = 0, 1, 2
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        before = None
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            if len(key):
-                again = np.r_[before is not None and key[0] == before, key[1:] == key[:-1]]
-                before = key[-1]
-                yield {"key": key, "doc": batch.column("doc"), "again": again}
 
-    return arrow_pass(entries.repartition("key").sortWithinPartitions("key"), "key long, doc long, again boolean", mark)
+def identity(key: np.ndarray, context: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A hash of one anchor of one document."""
+    u = np.uint64
+    h = key.view(u) ^ mixed(context.view(u) + doc.astype(np.int64).view(u) * u(_BASES[0])) ^ (lo.astype(u) * u(_BASES[1]))
+    return mixed(h)
 
 
-def surroundings(docs: DataFrame, length: int, keys: bytes, owners: bytes | None, bits: int) -> DataFrame:
-    """(key, doc, at, around): the bytes of an anchor's strings, for keys in the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast((keys, owners))
+def merge_scan(entries: DataFrame, from_doc: int, bits: int, keep: bool) -> DataFrame:
+    """Entries of levels and a batch side by side, as (kind, entry, place) rows.
+
+    Sorted by key, context, doc and place, an entry whose key and context stand
+    before is a repeat as a whole: REPEAT. Where a key has several contexts, the
+    first entries of each may share strings: EDGE. The first entries of a batch
+    are its suffix array: FIRST. One entry is held over from batch to batch.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        names = ("key", "context", "doc", "lo", "hi")
+        head = leader = None  # the first entry of the key, and of the context
+        shown = False
+        for batch in batches:
+            if not len(batch):
+                continue
+            c = {n: batch.column(n).to_numpy() for n in names}
+            if head is not None:  # the two entries held over come first
+                c = {n: np.r_[head[n], leader[n], c[n]].astype(c[n].dtype) for n in names}
+            n = len(c["key"])
+            new_key = np.r_[True, c["key"][1:] != c["key"][:-1]]
+            new_context = new_key | np.r_[True, c["context"][1:] != c["context"][:-1]]
+            at = np.arange(n)
+            key_at = np.maximum.accumulate(np.where(new_key, at, 0))
+            context_at = np.maximum.accumulate(np.where(new_context, at, 0))
+            own = at >= (2 if head is not None else 0)
+            other = (c["doc"] != c["doc"][context_at]) | (c["lo"] != c["lo"][context_at])
+            again = own & ~new_context & other & (c["doc"] >= from_doc)
+            first = own & new_context
+            later = first & ~new_key
+            heads = np.unique(key_at[later])
+            if head is not None and len(heads) and heads[0] == 0 and shown:
+                heads = heads[1:]
+            edge = np.union1d(np.flatnonzero(later), heads)
+            fresh = np.flatnonzero(first & (c["doc"] >= from_doc)) if keep else np.empty(0, np.int64)
+            rows = np.concatenate([np.flatnonzero(again), edge, fresh])
+            kind = np.repeat([REPEAT, EDGE, FIRST], [again.sum(), len(edge), len(fresh)])
+            if len(rows):
+                out = {k: v[rows] for k, v in c.items()}
+                place = identity(out["key"], out["context"], out["doc"], out["lo"]) & np.uint64((1 << bits) - 1)
+                yield {"kind": kind, "place": place.astype(np.int64)} | out
+            last = key_at[-1]
+            shown = bool(later[last + 1 :].any() or (last == 0 and head is not None and shown))
+            head = {k: v[last : last + 1] for k, v in c.items()}
+            leader = {k: v[context_at[-1] : context_at[-1] + 1] for k, v in c.items()}
+
+    dealt = entries.repartition("key").sortWithinPartitions("key", "context", "doc", "lo")
+    return arrow_pass(dealt, f"kind int, place long, {ENTRY}", scan)
+
+
+def surroundings(docs: DataFrame, length: int, wanted: bytes, owners: bytes, bits: int) -> DataFrame:
+    """(key, doc, at, around): the contexts' bytes of the anchors in the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, owners))
     mask = (1 << bits) - 1
 
     def hit(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+        return np.flatnonzero((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        rolling = Rolling()
-        wanted = np.frombuffer(sent.value[0], np.uint8)
-        known = np.frombuffer(sent.value[1], np.uint8) if sent.value[1] is not None else None
+        find = Anchors(length)
+        bitmap, known = (np.frombuffer(b, np.uint8) for b in sent.value)
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            rows = np.flatnonzero(hit(known, ids & mask)) if known is not None else range(len(batch))
             out: dict[str, list] = {"key": [], "doc": [], "at": [], "around": []}
-            for i in rows:
-                raw = np.frombuffer(batch.column(1)[int(i)].as_buffer(), np.uint8)
-                for key, first, last in anchors(raw, length, rolling):
-                    some = np.flatnonzero(hit(wanted, key & mask))
+            for i in hit(known, ids & mask).tolist():
+                raw = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
+                for key, context, lo, hi in find(raw):
+                    doc = np.full(len(key), ids[i])
+                    some = hit(bitmap, (identity(key, context, doc, lo) & np.uint64(mask)).astype(np.int64))
                     out["key"] += key[some].tolist()
-                    out["doc"] += [int(ids[i])] * len(some)
-                    out["at"] += first[some].tolist()
-                    out["around"] += [raw[a : b + length].tobytes() for a, b in zip(first[some], last[some])]
+                    out["doc"] += doc[some].tolist()
+                    out["at"] += lo[some].tolist()
+                    out["around"] += [raw[a : b + length].tobytes() for a, b in zip(lo[some], hi[some])]
                 if len(out["key"]) > 50_000:
                     yield out
                     out = {"key": [], "doc": [], "at": [], "around": []}
@@ -247,50 +313,55 @@ class SuffixIndexFamily:
         self.levels: list[tuple[int, DataFrame, Scratch]] = []
         self.docs: DataFrame | None = None
 
-    def store(self, array: DataFrame) -> tuple[DataFrame, Scratch]:
-        own = Scratch(array.sparkSession)
-        return own.stored(array, "suffix-array"), own
-
     def add(self, docs: DataFrame, from_doc: int, last: bool = False) -> DataFrame:
         """Index (doc, text) rows, whose ids are ``from_doc`` or more and above those before.
 
         Returns the runs of repeated strings that start in them. After the ``last``
-        batch no level is needed any more, so none is merged.
+        batch no level is needed any more, so none is written.
         """
-        scratch = Scratch(docs.sparkSession)
-        batch, files = self.store(suffix_array(index_entries(docs, self.length)))
-        keys = batch.where("again").groupBy("key").count()
-        owners = None
+        spark = docs.sparkSession
+        self.docs = docs if self.docs is None else self.docs.unionByName(docs)
+        entries = index_entries(docs, self.length)
         for _, level, _ in self.levels:
-            met = scratch.stored(level.join(batch.where("NOT again").select("key"), "key", "left_semi"), "suffix-matches")
-            keys = keys.unionByName(met.groupBy("key").count())
-            owners = met.select("doc") if owners is None else owners.unionByName(met.select("doc"))
-        mask = F.lit((1 << self.bits) - 1)
-        wanted = bit_filter(keys.select(F.col("key").bitwiseAND(mask).alias("place")), self.bits)
-        around = surroundings(docs, self.length, wanted, None, self.bits)
-        if owners is not None:
-            old = bit_filter(owners.select(F.col("doc").bitwiseAND(mask).alias("place")), self.bits)
-            around = around.unionByName(surroundings(self.docs, self.length, wanted, old, self.bits))
-        hot = keys.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") >= self.hot).select("key")
+            entries = entries.unionByName(level)
+        scratch = Scratch(spark)
+        found = scratch.stored(merge_scan(entries, from_doc, self.bits, not last), "suffix-scan")
+        edges = found.where(F.col("kind") == EDGE)
+        wanted = bit_filter(edges.select("place"), self.bits)
+        owners = bit_filter(edges.select(F.col("doc").bitwiseAND(F.lit((1 << self.bits) - 1)).alias("place")), self.bits)
+        around = scratch.stored(surroundings(self.docs, self.length, wanted, owners, self.bits), "suffix-contexts")
+        hot = edges.groupBy("key").count().where(F.col("count") >= self.hot).select("key")
         hot = scratch.stored(hot, "hot-keys")
-        found = repeats(around.join(hot, "key", "left_anti"), self.length, from_doc)
+        runs_ = found.where(F.col("kind") == REPEAT).select("doc", F.col("lo").cast("long"), F.col("hi").cast("long"))
+        runs_ = runs_.unionByName(repeats(around.join(hot, "key", "left_anti"), self.length, from_doc))
         if not hot.isEmpty():
-            found = found.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc, scratch))
-        found = stored(found, "suffix-repeats")
-        scratch.clear()
-        self.docs = docs if self.docs is None else self.docs.unionByName(docs)
-        self.levels.append((1, batch, files))
-        while not last and len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
-            (n, low, low_files), (m, high, high_files) = self.levels.pop(), self.levels.pop()
-            both = high.unionByName(low).select("key", "doc")
-            self.levels.append((n + m, *self.store(suffix_array(both))))
-            low_files.clear()
-            high_files.clear()
+            runs_ = runs_.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc, scratch))
+        runs_ = stored(runs_, "suffix-repeats")
         if last:
-            for _, _, own in self.levels:
-                own.clear()
-            self.levels = []
-        return found
+            self.close()
+        else:
+            own = Scratch(spark)
+            first = found.where(F.col("kind") == FIRST).select("key", "context", "doc", "lo", "hi")
+            self.levels.append((1, own.stored(first, "suffix-array"), own))
+            while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
+                self.merge()
+        scratch.clear()
+        return runs_
+
+    def merge(self) -> None:
+        """The two lowest levels become one, sorted again by key."""
+        (n, low, low_files), (m, high, high_files) = self.levels.pop(), self.levels.pop()
+        own = Scratch(low.sparkSession)
+        both = high.unionByName(low).repartition("key").sortWithinPartitions("key", "context", "doc", "lo")
+        self.levels.append((n + m, own.stored(both, "suffix-array"), own))
+        low_files.clear()
+        high_files.clear()
+
+    def close(self) -> None:
+        """Delete the levels."""
+        for _, _, own in self.levels:
+            own.clear()
+        self.levels = []
 
 
 def remove_repeats(
