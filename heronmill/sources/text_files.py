@@ -30,9 +30,8 @@ def decoded(content: Column) -> Column:
 
     def utf16(kind: str) -> Column:
         body = F.substring(content, 3, 1 << 30)
-        even = F.substring(body, 1, 1 << 30) if kind == "" else body
         size = F.octet_length(body)
-        return F.decode(F.substr(even, F.lit(1), size - size % 2), kind)
+        return F.decode(F.substr(body, F.lit(1), size - size % 2), kind)  # an odd last byte goes
 
     return (
         F.when(head.startswith("EFBBBF"), F.try_validate_utf8(F.substring(content, 4, 1 << 30).cast("string")))
