@@ -31,7 +31,6 @@ Every input row gives one output row. Extra columns are not touched.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
