@@ -21,7 +21,7 @@ a document with a smaller id, or earlier in the same one.
 
 Batches are ranges of ids in rising order, so what is earlier is in the same batch
 or in a level. Keys with more than ``hot`` suffixes are not gathered: their strings
-are aggregated by a 128-bit hash with partial sums on the map side, and joined back.
+are sorted by a 128-bit hash and read as a stream, so that no group is ever held.
 
 Defined cases: null and empty texts have no bytes; rows that share an id and a text
 count as one document; a row with a null id loses nothing and is not indexed;
@@ -280,8 +280,11 @@ def repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
     return arrow_pass(dealt, "doc long, lo long, hi long", verify)
 
 
-def hot_repeats(around: DataFrame, length: int, from_doc: int, scratch: Scratch) -> DataFrame:
-    """The same for keys of any size: strings meet by hash, aggregated before they move."""
+def hot_repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
+    """The same for keys of any size: strings are sorted by a 128-bit hash and read as a stream.
+
+    Neither a key nor a string is gathered: one row is held over from batch to batch.
+    """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         both = Rolling(0), Rolling(1)
@@ -297,11 +300,31 @@ def hot_repeats(around: DataFrame, length: int, from_doc: int, scratch: Scratch)
                     "start": part.column("at").to_numpy()[row] + step,
                 }
 
-    every = scratch.stored(arrow_pass(around, "one long, two long, doc long, start long", strings), "hot-strings")
-    first = every.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first"))
-    first = scratch.stored(first, "hot-firsts")
-    later = every.join(first, ["one", "two"]).where(F.struct("doc", "start") > F.col("first"))
-    return later.where(F.col("doc") >= from_doc).select("doc", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        names = ("one", "two", "doc", "start")
+        leader = None  # the first place of the string read last
+        for batch in batches:
+            if not len(batch):
+                continue
+            c = {n: batch.column(n).to_numpy() for n in names}
+            if leader is not None:
+                c = {n: np.r_[leader[n], c[n]] for n in names}
+            new = np.r_[True, (c["one"][1:] != c["one"][:-1]) | (c["two"][1:] != c["two"][:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            rows = (c["doc"] != c["doc"][first]) | (c["start"] != c["start"][first])
+            rows &= c["doc"] >= from_doc
+            yield {"doc": c["doc"][rows], "start": c["start"][rows]}
+            leader = {n: v[first[-1] : first[-1] + 1] for n, v in c.items()}
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            if len(batch):
+                yield runs(batch.column("doc").to_numpy(), batch.column("start").to_numpy())
+
+    every = arrow_pass(around, "one long, two long, doc long, start long", strings)
+    dealt = every.repartition("one", "two").sortWithinPartitions("one", "two", "doc", "start")
+    found = arrow_pass(dealt, "doc long, start long", later).repartition("doc").sortWithinPartitions("doc", "start")
+    return arrow_pass(found, "doc long, lo long, hi long", joined)
 
 
 class SuffixIndexFamily:
@@ -334,7 +357,7 @@ class SuffixIndexFamily:
         runs_ = found.where(F.col("kind") == REPEAT).select("doc", F.col("lo").cast("long"), F.col("hi").cast("long"))
         runs_ = runs_.unionByName(repeats(around.join(hot, "key", "left_anti"), self.length, from_doc))
         if not hot.isEmpty():
-            runs_ = runs_.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc, scratch))
+            runs_ = runs_.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc))
         runs_ = stored(runs_, "suffix-repeats")
         if last:
             self.close()
