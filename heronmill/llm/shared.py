@@ -205,7 +205,9 @@ def bit_filter(places: DataFrame, bits: int) -> bytes:
         .groupBy("part")
         .agg(F.collect_set("bit").alias("set"))  # 4096 values at most
     )
-    out = np.zeros(1 << bits, bool)
+    out = bytearray(1 << (bits - 3))
     for row in parts.toLocalIterator():
-        out[np.array(row.set, np.int64) + (row.part << 12)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+        own = np.zeros(4096, bool)
+        own[row.set] = True
+        out[row.part * 512 : (row.part + 1) * 512] = np.packbits(own, bitorder="little").tobytes()
+    return bytes(out)
