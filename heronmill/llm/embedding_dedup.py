@@ -3,10 +3,13 @@
 1. Identical vectors of a label become one class with its smallest id and its size.
 2. A filter is a direction made of one code vector for each part of the rotated
    space, so ``codes ** PARTS`` directions cost ``codes * PARTS`` products. A vector
-   is list-decoded to all directions whose score exceeds the cap's threshold: sums
-   over two halves are sorted, and each sum of one half meets only those of the
-   other that still reach it. ``rotations`` independent codes are used. The number
-   of directions follows the largest label, so buckets stay small as rows grow.
+   is list-decoded to its ``best`` directions: its cap is as wide as it takes, so
+   none is left without filters. (Under one threshold for all, most vectors exceed
+   no filter and few exceed thousands.) The number of directions follows the largest
+   label, so buckets stay small as rows grow. In a random rotation all pairs at the
+   same cosine meet with the same probability, however isolated they are; it is
+   measured for these codes, and as many independent rotations are used as bring a
+   pair at the least cosine together with probability ``recall``.
 3. Vectors of one label that share a filter are compared in blocks of a fixed size,
    exactly, in double precision; links become edges of components.
 4. Inside each component all pairs of classes are compared again in blocks, which
@@ -20,7 +23,6 @@ partner. Every input row gives one output row. Extra columns are not touched.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -51,31 +53,63 @@ def usable(vector: str, dims: int):
 class Filters:
     """Cap filters of one random rotation and product code."""
 
-    def __init__(self, dims: int, codes: int, expected: float, seed: int):
+    def __init__(self, dims: int, codes: int, best: int, seed: int):
         rng = np.random.default_rng(seed)
         self.width = -(-dims // PARTS)
         size = self.width * PARTS
-        self.rotation = np.linalg.qr(rng.standard_normal((size, size)))[0][:, :dims]
+        q, r = np.linalg.qr(rng.standard_normal((size, size)))
+        self.rotation = (q * np.where(np.diag(r) < 0, -1, 1))[:, :dims]  # so that every rotation is as likely
         books = rng.standard_normal((PARTS, codes, self.width))
-        self.books = books / np.linalg.norm(books, axis=2, keepdims=True) * np.sqrt(self.width)
-        self.codes = codes
-        self.least = NormalDist().inv_cdf(1 - expected / codes**PARTS)
+        self.books = books / np.linalg.norm(books, axis=2, keepdims=True)
+        self.codes, self.best = codes, best
 
-    def __call__(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the numbers of the filters it exceeds."""
+    def __call__(self, unit: np.ndarray) -> np.ndarray:
+        """For each unit vector the numbers of its best filters, a row each."""
         parts = (unit @ self.rotation.T).reshape(len(unit), PARTS, self.width)
         scores = np.einsum("npw,pcw->npc", parts, self.books)
-        first = (scores[:, 0, :, None] + scores[:, 1, None, :]).reshape(len(unit), -1)
-        second = (scores[:, 2, :, None] + scores[:, 3, None, :]).reshape(len(unit), -1)
-        return [self.decode(a, b) for a, b in zip(first, second)]
-
-    def decode(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        order = np.argsort(-second)
-        falling = second[order]
-        heads = np.flatnonzero(first + falling[0] >= self.least)
-        reach = np.searchsorted(-falling, -(self.least - first[heads]), "right")
-        step = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-        return np.repeat(heads, reach) * self.codes**2 + order[step]
+        order = np.argsort(-scores, axis=2, kind="stable")[:, :, : self.best]
+        falling = np.take_along_axis(scores, order, 2)
+        halves = [self.sums(falling[:, p], order[:, p], falling[:, p + 1], order[:, p + 1], self.codes) for p in (0, 2)]
+        return self.sums(*halves[0], *halves[1], self.codes**2)[1]
+
+    def sums(self, a, a_at, b, b_at, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best sums of two falling lists of scores, falling, and their numbers."""
+        # Places i and j have (i + 1) * (j + 1) sums that are no smaller, their own included.
+        i, j = np.indices((a.shape[1], b.shape[1])).reshape(2, -1)
+        some = (i + 1) * (j + 1) <= self.best
+        i, j = i[some], j[some]
+        sums = a[:, i] + b[:, j]
+        order = np.argsort(-sums, axis=1, kind="stable")[:, : self.best]
+        return np.take_along_axis(sums, order, 1), np.take_along_axis(a_at[:, i] * base + b_at[:, j], order, 1)
+
+
+def code_size(largest: int, directions: int) -> int:
+    """Codes of a part for ``directions`` filters a class of the largest label."""
+    return max(8, int(np.ceil((directions * largest) ** (1 / PARTS))))
+
+
+def meeting(dims: int, codes: int, best: int, cosine: float, trials: int = 32, pairs: int = 64) -> float:
+    """A low estimate, by three deviations, of how often a pair at ``cosine`` shares a filter of one rotation."""
+    met = []
+    for trial in range(trials):
+        filters = Filters(dims, codes, best, 1_000_000 + trial)
+        rng = np.random.default_rng(2_000_000 + trial)
+        x = unit_rows(rng.standard_normal((pairs, dims)))
+        z = rng.standard_normal((pairs, dims))
+        z = unit_rows(z - (z * x).sum(1, keepdims=True) * x)
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * z
+        met.append((filters(x)[:, :, None] == filters(y)[:, None, :]).any((1, 2)).mean())
+    return float(np.mean(met) - 3 * max(np.std(met), 0.01) / np.sqrt(trials))
+
+
+def rotations_for(dims: int, codes: int, best: int, cosine: float, recall: float, least: int) -> int:
+    """Rotations, ``least`` or more, after which a pair at ``cosine`` has met with probability ``recall``."""
+    if dims == 1:
+        return least  # parallel vectors have the same filters
+    p = meeting(dims, codes, best, cosine)
+    if p <= 0:
+        raise ValueError(f"pairs at cosine {cosine} in {dims} dimensions do not share filters")
+    return max(least, int(np.ceil(np.log(1 - recall) / np.log1p(-p))))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -103,23 +137,18 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, di
     return member, reps
 
 
-def memberships(reps: DataFrame, dims: int, codes: int, rotations: int, expected: float) -> DataFrame:
+def memberships(reps: DataFrame, dims: int, codes: int, rotations: int, best: int) -> DataFrame:
     """(bucket, rep): the label and filters of every class."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        filters = [Filters(dims, codes, expected, seed) for seed in range(rotations)]
+        filters = [Filters(dims, codes, best, seed) for seed in range(rotations)]
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 unit = unit_rows(matrix(part.column("v"), dims))
-                reps_, filters_ = [], []
-                for k, f in enumerate(filters):
-                    found = f(unit)
-                    reps_.append(np.repeat(part.column("rep").to_numpy(), [len(x) for x in found]))
-                    filters_.append(np.concatenate(found) * rotations + k)
-                at = np.concatenate(reps_)
-                labels = dict(zip(part.column("rep").to_pylist(), part.column("label").to_pylist()))
-                yield {"label": [str(labels[r]) for r in at], "filter": np.concatenate(filters_), "rep": at}
+                found = np.concatenate([f(unit) * rotations + k for k, f in enumerate(filters)], axis=1)
+                label = [str(x) for x in part.column("label").to_pylist() for _ in range(found.shape[1])]
+                yield {"label": label, "filter": found.ravel(), "rep": np.repeat(part.column("rep").to_numpy(), found.shape[1])}
 
     found = arrow_pass(reps.select("rep", "label", "v"), "label string, filter long, rep long", decode)
     return found.select(F.xxhash64("label", "filter").alias("bucket"), "rep")
@@ -169,17 +198,23 @@ def near_duplicates(
     label_col: str = "label",
     cosine: float = 0.98,
     rotations: int = 6,
-    expected: float = 32.0,
+    best: int = 8,
+    directions: int = 128,
+    recall: float = 0.9999,
     block: int = 256,
 ) -> DataFrame:
-    """(vec, n_links, component, kept) for every row of ``vectors``."""
+    """(vec, n_links, component, kept) for every row of ``vectors``.
+
+    ``rotations`` is the least number of them; more are used where ``recall`` needs more.
+    """
     sizes = vectors.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("dims")).count()
     first = sizes.orderBy(F.desc("count"), "dims").first()
     dims = first.dims if first else 1
     member, reps = classes(vectors, id_col, vector_col, label_col, dims)
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    codes = max(8, int(np.ceil((4 * expected * largest) ** (1 / PARTS))))
-    buckets = stored(memberships(reps, dims, codes, rotations, expected), "cap-filters")
+    codes = code_size(largest, directions)
+    rotations = rotations_for(dims, codes, best, cosine, recall, rotations)
+    buckets = stored(memberships(reps, dims, codes, rotations, best), "cap-filters")
     edges = compared(block_tasks(buckets, "bucket", "rep", block), reps, "bucket", dims, cosine, count=False)
     roots = stored(components(edges), "vector-components")
     tasks = block_tasks(roots.select(F.col("root"), F.col("id").alias("rep")), "root", "rep", block)

@@ -139,6 +139,44 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.digest(df.limit(0)).count() == 0
 
 
+def isolated_pairs(n, seed):
+    """Unit vectors in 64 dimensions and partners just over cosine 0.98."""
+    rng = np.random.default_rng(seed)
+    x, z = rng.standard_normal((2, n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, 0.98001 * x + np.sqrt(1 - 0.98001**2) * z
+
+
+def test_isolated_embeddings_link(spark):
+    x, y = isolated_pairs(2500, 5)
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.digest(df).where("n_links <> 1 OR component_id <> vec_id % 2500 OR kept <> (vec_id < 2500)")
+    assert got.count() == 0
+
+
+@pytest.mark.parametrize("rows", [1_000, 100_000, 1_000_000])
+def test_recall_of_filters_as_labels_grow(rows):
+    x, y = isolated_pairs(2000, 6)
+    codes = embedding_dedup.code_size(rows, 128)
+    met = np.zeros(len(x), bool)
+    for seed in range(embedding_dedup.rotations_for(64, codes, 8, 0.98, 0.9999, 6)):
+        filters = embedding_dedup.Filters(64, codes, 8, seed)
+        met |= (filters(x)[:, :, None] == filters(y)[:, None, :]).any((1, 2))
+    assert met.all()
+
+
+def test_best_filters_equal_brute_force():
+    x, _ = isolated_pairs(20, 7)
+    filters = embedding_dedup.Filters(64, 9, 8, 0)
+    parts = (x @ filters.rotation.T).reshape(20, 4, 16)
+    a, b, c, d = (parts[:, p] @ filters.books[p].T for p in range(4))
+    every = a[:, :, None, None, None] + b[:, None, :, None, None] + c[:, None, None, :, None] + d[:, None, None, None, :]
+    assert np.sort(filters(x)).tolist() == np.sort(np.argsort(-every.reshape(20, -1))[:, :8]).tolist()
+
+
 # 4 urls
 
 
