@@ -107,10 +107,11 @@ def plan_violations(spark, sf_dir):
     return P.plan_violations(_plans(spark, sf_dir)).select("plan_id", F.array_join("broken", ",").alias("broken"))
 
 
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, files_per_batch=None):
+    """The table as a stream; its files are in no order of events, so what has a state takes them in one batch."""
     batch = table(spark, sf_dir, "events")
     # A pattern, since a stream reads folders or patterns and the table may be one file.
-    return S.read_stream(spark, f"{sf_dir}/event[s].parquet", batch.schema)
+    return S.read_stream(spark, f"{sf_dir}/event[s].parquet", batch.schema, files_per_batch)
 
 
 @query(
@@ -143,5 +144,5 @@ def stream_sessions(spark, sf_dir):
     """SELECT event_id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) AS head FROM events""",
 )
 def server_sent(spark, sf_dir):
-    lines = S.drain(S.server_sent(_events(spark, sf_dir)), "event-lines")
+    lines = S.drain(S.server_sent(_events(spark, sf_dir, 64)), "event-lines")
     return lines.select("event_id", F.regexp_extract("line", r"(?s)^(id: .*?\nevent: .*?\n)", 1).alias("head"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,16 @@ from heronmill.sources.storage import fresh_path
 FOLD = "user_id long, last_seq long, state string, spent double, n long"
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
-    """Rows of the Parquet files under a path as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 64) -> DataFrame:
+    """Rows of the Parquet files under a path as a stream.
+
+    Rows that are behind those of an earlier batch are late. Files in no order of
+    events need None, by which all that there are at the start make one batch.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -60,17 +68,31 @@ def session_counts(events: DataFrame, gap: str, late: str, key: str) -> DataFram
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """State of each key after its events in order; a number not above the last is ignored."""
+    """State of each key after its events in order; a number not above the last of earlier batches is ignored.
+
+    A key's rows of one batch come in several frames of no order. The numbers seen
+    in the batch are held, 8 bytes each.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, kind, spent, n = state.get if state.exists else (-1, None, 0.0, 0)
+        before = last
+        seen: list[np.ndarray] = []  # sorted, each more than twice as long as the next
         for rows in batches:
             rows = rows.sort_values("event_id").drop_duplicates("event_id")
-            rows = rows[rows["event_id"] > last]
+            rows = rows[rows["event_id"] > before]
+            for ids in seen:
+                at = np.searchsorted(ids, rows["event_id"])
+                rows = rows[ids[np.minimum(at, len(ids) - 1)] != rows["event_id"]]
             if len(rows):
-                last, kind = int(rows["event_id"].iloc[-1]), rows["event_type"].iloc[-1]
+                if rows["event_id"].iloc[-1] > last:
+                    last, kind = int(rows["event_id"].iloc[-1]), rows["event_type"].iloc[-1]
                 spent += float(rows.loc[rows["event_type"] == "purchase", "value"].sum())
                 n += len(rows)
+                own = rows["event_id"].to_numpy(np.int64)
+                while seen and len(seen[-1]) <= 2 * len(own):
+                    own = np.sort(np.concatenate([seen.pop(), own]), kind="stable")
+                seen.append(own)
         state.update((last, kind, spent, n))
         yield pd.DataFrame({"user_id": [key[0]], "last_seq": [last], "state": [kind], "spent": [spent], "n": [n]})
 

@@ -1,7 +1,11 @@
 """Unit cases of pages, material, ingest, dialogue, filters and streams."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from heronmill.operators import filters as L
 from heronmill.operators import ingest as I
 from heronmill.operators import material as M
 from heronmill.operators import pages as P
+from heronmill.plans import load_plans
+from heronmill.plans.registry import ORACLES, QUERIES
 from heronmill.sources.storage import Scratch, stored
 from heronmill.streaming import events as S
 
@@ -89,6 +95,52 @@ def test_late_numbers_are_ignored(spark, tmp_path):
     assert (got.last_seq, got.state, got.spent, got.n) == (4, "view", 10.0, 3)
 
 
+def test_streams_count_every_row(spark, tmp_path):
+    """70 files in no order; one user has more rows than a frame of Arrow holds."""
+    rnd = random.Random(3)
+    start = datetime(2024, 1, 1)
+    ids = list(range(35_000))
+    rnd.shuffle(ids)
+    rows = [
+        (i, start + timedelta(seconds=10 * i), 0 if i % 2 else rnd.randint(1, 400), rnd.choice(["click", "purchase"]), float(i % 7))
+        for i in ids
+    ]
+    columns = "event_id", "ts", "user_id", "event_type", "value"
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(70):
+        own = zip(*rows[k * 500 : k * 500 + 500])
+        pq.write_table(pa.table(dict(zip(columns, map(list, own)))), f"{tmp_path}/events.parquet/{k}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    load_plans()
+    for name in ("k08_stream_fold", "n05_stream_windows"):
+        relation = con.sql(ORACLES[name])
+        got = QUERIES[name](spark, str(tmp_path)).select(*relation.columns).collect()
+        assert sorted(map(tuple, got)) == sorted(relation.fetchall())
+    times, want = {}, []
+    for _, t, user, *_ in sorted(rows):
+        if user in times and t - times[user][-1] <= timedelta(minutes=30):
+            times[user].append(t)
+        else:
+            times[user] = [t]
+            want.append((user, times[user]))
+    closed = max(r[1] for r in rows) - timedelta(minutes=10)
+    want = [(u, ts[0], ts[-1] + timedelta(minutes=30), len(ts)) for u, ts in want if ts[-1] + timedelta(minutes=30) <= closed]
+    assert sorted(map(tuple, QUERIES["n06_stream_sessions"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_repeated_numbers_in_frames_of_a_batch(spark, tmp_path):
+    """Each number is given three times, in files that are read at once."""
+    rows = spark.range(12_000).select(
+        F.col("id").alias("event_id"), F.lit(5).cast("long").alias("user_id"), F.lit("purchase").alias("event_type"), F.lit(1.0).alias("value")
+    )
+    for _ in range(3):
+        rows.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    updates = S.drain(S.fold_events(S.read_stream(spark, f"{tmp_path}/e", rows.schema, None)), "repeated", "update")
+    got = S.latest_states(updates, "user_id").first()
+    assert (got.last_seq, got.spent, got.n) == (11_999, 12_000.0, 12_000)
+
+
 def test_scratch(spark):
     scratch = Scratch(spark)
     df = scratch.stored(spark.range(3), "three")
