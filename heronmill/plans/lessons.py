@@ -68,7 +68,7 @@ def pending(spark, sf_dir):
 
 @query("h44_packed_sentences")
 def packed(spark, sf_dir):
-    pieces = M.packed_sentences(X.sentences(F.left("text", F.lit(3000))), 300)
+    pieces = M.packed_sentences(X.sentences("text"), 300)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(pieces).alias("piece", "text"))
     return rows.where("char_length(text) > 0")
 

@@ -89,7 +89,7 @@ def half_width(spark, sf_dir):
 
 @query("h03_strip_request")
 def stripped(spark, sf_dir):
-    asked = F.concat(F.lit("请帮我找一下 "), F.left("text", F.lit(40)), F.lit("是什么？"))
+    asked = F.concat(F.lit("请帮我找一下 "), "text", F.lit("是什么？"))
     return table(spark, sf_dir, "documents").select("doc_id", X.query_text(asked).alias("asked"))
 
 

@@ -141,6 +141,18 @@ def test_repeated_numbers_in_frames_of_a_batch(spark, tmp_path):
     assert (got.last_seq, got.spent, got.n) == (11_999, 12_000.0, 12_000)
 
 
+def test_whole_texts_are_read(spark, tmp_path):
+    """What stands far behind in a text is packed and asked for too."""
+    load_plans()
+    text = "A sentence of some words. " * 400 + "The last one."
+    kind = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame([(1, 1, "user", text)], kind).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = QUERIES["h44_packed_sentences"](spark, str(tmp_path)).orderBy("piece").collect()
+    assert "".join("".join(r.text for r in pieces).split()) == "".join(text.split())
+    assert QUERIES["h03_strip_request"](spark, str(tmp_path)).first().asked.count("sentence") == 400
+
+
 def test_scratch(spark):
     scratch = Scratch(spark)
     df = scratch.stored(spark.range(3), "three")
