@@ -6,14 +6,16 @@
    rule's, which has the slash; the longest rule wins.
 2. Host labels and path parts are cut at what is not a letter. A unigram model of
    words, counted over all urls and floored by the seed words, splits each piece by
-   Viterbi, so that names written together come apart.
+   Viterbi, so that names written together come apart. Pieces that hold a seed word
+   are no words of the model, so that they split at it, but for those of many hosts
+   that more than seed and common words make up: freedom, updating.
 3. Multinomial naive Bayes is learned from all distinct hosts and path words: a url
    whose segmented words hold a seed word of a class is an example of that class,
    and one without is an example of allow. Its word counts are sums over urls.
 4. Urls that no rule fits get the class with the larger posterior.
 
-Word counts that reach the driver are bounded: the ``vocabulary`` most frequent
-pieces for segmentation, and as many words for naive Bayes; others count as unseen.
+The counts of all words reach the driver and the tasks, since a rare word may decide;
+their size follows the number of distinct words, not that of urls.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule,
 and the verdict of the priors; ties go to allow. Extra columns are not touched.
@@ -48,6 +50,9 @@ BLOCK_SEEDS = frozenset(
 #: Words that are not to be split, and carry no sign of either class.
 COMMON = frozenset("www blog news shop mail mobile example index html page feed wiki docs home en de fr es com net org".split())
 PIECE = re.compile(r"[^\W\d_]+")
+COMPOUND = re.compile(f"(?:{'|'.join(sorted(BLOCK_SEEDS | COMMON))})+")
+#: Hosts that a word of the language is found in; names of sites are found in fewer.
+MANY_HOSTS = 10
 
 
 def host_of(url: Column) -> Column:
@@ -110,12 +115,33 @@ def pieces_of(host: str, path: str) -> list[str]:
     return PIECE.findall(host) + PIECE.findall(path.lower())
 
 
-def summed(found: DataFrame, top: int) -> list:
-    """The most frequent words with their sums."""
-    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).orderBy(F.desc("n"), "word").limit(top).collect()
+def summed(found: DataFrame) -> list:
+    """All words with their sums."""
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
 
 
-def learn(urls: DataFrame, vocabulary: int) -> tuple[dict[str, int], dict[str, tuple[float, float]], tuple[float, float]]:
+def holds_seed(word: str) -> bool:
+    return any(s in word and s != word for s in BLOCK_SEEDS if len(s) > 3)
+
+
+def own_words(urls: DataFrame) -> set[str]:
+    """Words that merely contain a seed: in ``MANY_HOSTS`` hosts, and more than seed and common words in a row."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            found = {
+                (w, host)
+                for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for w in pieces_of(host, path)
+                if holds_seed(w) and not COMPOUND.fullmatch(w)
+            }
+            yield {"word": [w for w, _ in found], "host": [h for _, h in found]}
+
+    hosts = arrow_pass(urls, "word string, host string", places).distinct().groupBy("word").count()
+    return {r.word for r in hosts.where(F.col("count") >= MANY_HOSTS).collect()}
+
+
+def learn(urls: DataFrame) -> tuple[dict[str, int], dict[str, tuple[float, float]], tuple[float, float]]:
     """Word counts for segmentation; each word's log-probabilities; the classes' priors."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -125,10 +151,11 @@ def learn(urls: DataFrame, vocabulary: int) -> tuple[dict[str, int], dict[str, t
                 n.update(pieces_of(host, path))
             yield {"word": list(n), "n": list(n.values()), "m": [0] * len(n)}
 
-    counts = {r.word: r.n for r in summed(arrow_pass(urls, "word string, n long, m long", pieces), vocabulary)}
+    counts = {r.word: r.n for r in summed(arrow_pass(urls, "word string, n long, m long", pieces))}
     # Seed words are at least as likely as a frequent piece, so names split at them.
     floor = max(10, sum(counts.values()) // 1000)
-    words = {w: n for w, n in counts.items() if not any(s in w and s != w for s in BLOCK_SEEDS if len(s) > 3)}
+    kept = own_words(urls)
+    words = {w: n for w, n in counts.items() if w in kept or not holds_seed(w)}
     words |= {w: max(words.get(w, 0), floor) for w in BLOCK_SEEDS | COMMON}
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -144,7 +171,7 @@ def learn(urls: DataFrame, vocabulary: int) -> tuple[dict[str, int], dict[str, t
                     block.update(own)
             yield {"word": list(every), "n": list(every.values()), "m": [block[w] for w in every]}
 
-    rows = summed(arrow_pass(urls, "word string, n long, m long", examples), vocabulary)
+    rows = summed(arrow_pass(urls, "word string, n long, m long", examples))
     urls_all, urls_block = next(((r.n, r.m) for r in rows if r.word == ""), (0, 0))
     rows = [r for r in rows if r.word]
     size = len(rows) + 1
@@ -155,13 +182,11 @@ def learn(urls: DataFrame, vocabulary: int) -> tuple[dict[str, int], dict[str, t
     return words, odds, priors
 
 
-def judge(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, vocabulary: int = 50_000
-) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(page, host, path, rule, verdict) of every row of ``pages``."""
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"))
-    words, odds, priors = learn(parts.select("host", "path"), vocabulary)
+    words, odds, priors = learn(parts.select("host", "path"))
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
     rows = parts.select("page", "host", "path", rule.alias("rule"), fixed.alias("fixed"))
 

@@ -206,6 +206,25 @@ def test_no_urls(spark):
     assert url_filter.digest(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_rare_words_of_many_urls(spark):
+    """60,000 words are more frequent than the seed word, which still decides."""
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in f"{i:05d}") for i in range(60_000)]
+    rows = [(k, "http://a.org/" + "/".join(4 * words[k * 6000 : k * 6000 + 6000])) for k in range(10)]
+    rows += [(k, "http://c.org/warez") for k in (900, 901, 902)] + [(k, "http://d.org/x") for k in range(1000, 1030)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.digest(df).where("page_id >= 900").collect()}
+    assert got == {900: "block", 901: "block", 902: "block"} | dict.fromkeys(range(1000, 1030), "allow")
+
+
+def test_words_that_contain_seeds(spark):
+    urls = [f"http://site{chr(97 + i % 26)}{chr(97 + i // 26)}.org/{w}" for w in ("freedom", "updating", "pillow") for i in range(40)]
+    urls += [f"http://cheappills.shop{chr(97 + i)}.org/up/ow" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.verdict for r in url_filter.digest(df).orderBy("page_id").collect()]
+    assert got == ["allow"] * 120 + ["block"] * 20
+
+
 # 5 benchmark decontamination
 
 
