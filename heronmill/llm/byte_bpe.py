@@ -6,47 +6,55 @@
    adjacent pair in a literal map, takes the lowest, and merges it, until no pair is
    in the map. The rank of a pair is the id of its concatenation, so what is left
    is the encoding.
-3. The most frequent distinct words are encoded once; their ids form a literal
-   table of a proven size (``memo_words`` words of at most ``MEMO_CHARS`` code points).
-   Texts look their words up there and fold the others where they stand, so texts
-   are never shuffled and no word is left out.
+3. Distinct words are dealt to ``memo_slots`` slots by their hash. The most frequent
+   word of each slot is encoded once, and the slots form one row of arrays, which is a
+   table of a proven size (words have at most ``MEMO_CHARS`` code points). Texts look
+   their words up there and fold the others where they stand, so texts are never
+   shuffled and no word is left out.
 4. Decoding looks up the bytes of each id and concatenates them.
 
-The literal map from pairs to ranks is a perfect hash table in arrays, since Spark
-searches its own maps from end to end. A slot names its pair, so a look-up that
-meets another one's is known by an exclusive or. The fold's state holds the entries of the adjacent pairs too, and a
-merge looks up the two new ones only.
+The literal maps are perfect hash tables in arrays, since Spark searches its own maps
+from end to end. A slot names its key, so a look-up that meets another one's is known.
+The fold's state holds the entries of the adjacent pairs too, and a merge looks up the
+two new ones only.
 
-Words of more than ``SHORT`` bytes merge all places of the lowest pair at once, runs
-of one token pairwise from the left. This equals merging one after another from the
-left unless the new token could merge on at once with a lower rank; that is known
-for each token, and then only the leftmost place is merged.
+Words of more than ``SHORT`` bytes are cut first wherever no token of the vocabulary
+reaches across, which the four bytes around a place tell: no merge can either. Parts that
+are still longer merge all places of the lowest pair at once, runs of one token pairwise
+from the left, in rounds that end when nothing is left to merge. This equals merging one
+after another from the left unless the new token could merge on at once with a lower
+rank; that is known for each token, and then only the leftmost place is merged.
 
 Defined cases: null and empty texts have no ids; words of any length are encoded
-whole; ids outside the vocabulary and null ids decode to nothing. Extra columns are
-not touched.
+whole; ids outside the vocabulary and null ids decode to nothing; rows with null or
+repeated ids are encoded each by itself. Extra columns are not touched. A vocabulary
+with a rank that the tables cannot hold is refused.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronmill.llm.shared import new_name, stored
+
 #: White space as the tiktoken library's pattern engine has it; Java's ``\\s`` is narrower.
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 MEMO_CHARS = 24
 SHORT = 48
+#: Separates the byte strings of literals; no byte is this character.
+GAP = "\u0100"
 #: A pair's key is ``left << ID_BITS | right``, its slot ``key << RANK_BITS | rank << 1 | unsafe``.
 ID_BITS = 17
 RANK_BITS = 18
-#: A key's slot is at ``(key % MIX + shift[key % buckets]) % slots``.
-MIX = 1_000_003
+#: A key's slot is at ``(key % mix + shift[key % buckets]) % slots``, with the first of these that fits.
+MIXES = (1_000_003, 998_244_353, 2_147_483_647, 1_000_000_007)
 #: Stands before the first and after the last byte, and is in no pair.
 EDGE = (1 << ID_BITS) - 1
 FREE = 1 << 60
@@ -62,8 +70,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def displaced(entries: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Shifts of buckets of keys under which no two keys share a slot, and the slots."""
+def displaced(entries: dict[int, int], mix: int) -> tuple[list[int], list[int]] | None:
+    """Shifts of buckets of keys under which no two keys share a slot, and the slots, if there are such."""
     rng = np.random.default_rng(3)
     n_buckets, size = len(entries) // 3 | 1, len(entries) * 3 // 2 | 1
     buckets: dict[int, list[int]] = {}
@@ -71,9 +79,9 @@ def displaced(entries: dict[int, int]) -> tuple[list[int], list[int]]:
         buckets.setdefault(key % n_buckets, []).append(key)
     slots, shifts = np.full(size, FREE), [0] * n_buckets
     for bucket, keys in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
-        mixed = np.array(keys) % MIX
+        mixed = np.array(keys) % mix
         if len(set((mixed % size).tolist())) < len(keys):
-            raise ValueError("two pairs of this vocabulary have the same place")
+            return None
         for _ in range(10_000):
             tries = rng.integers(0, size, 16)
             places = (tries[:, None] + mixed) % size
@@ -83,18 +91,65 @@ def displaced(entries: dict[int, int]) -> tuple[list[int], list[int]]:
                 slots[places[fits[0]]] = [entries[k] for k in keys]
                 break
         else:
-            raise ValueError("the pairs of this vocabulary do not fit")
+            return None
     return shifts, slots.tolist()
 
 
 @dataclass(frozen=True)
-class Vocabulary:
-    """What encoding and decoding look up, as columns of array literals."""
+class Table:
+    """A perfect hash table as columns of array literals."""
 
+    mix: int
     n_shifts: int
     n_slots: int
     shifts: Column
     slots: Column
+
+    @staticmethod
+    def of(entries: dict[int, int]) -> Table:
+        for mix in MIXES:
+            found = displaced(entries, mix)
+            if found:
+                shifts, slots = found
+                return Table(mix, len(shifts), len(slots), numbers(shifts), numbers(slots))
+        raise ValueError("the keys of this vocabulary do not fit")
+
+    def bound(self, body: Callable[[Table], Column]) -> Column:
+        """``body`` of the table as variables, so that each array is in the plan once."""
+        return let(
+            self.shifts,
+            lambda shifts: let(self.slots, lambda slots: body(replace(self, shifts=shifts, slots=slots))),
+        )
+
+    def slot(self, key: Column) -> Column:
+        """What stands where ``key`` would; null for a null key."""
+        return F.get(self.slots, (key % self.mix + F.get(self.shifts, key % self.n_shifts)) % self.n_slots)
+
+
+def span_key(kind: int, *window: int) -> int:
+    """The key of bytes around a place that a token reaches across."""
+    key = kind
+    for b in window:
+        key = key << 8 | b
+    return key
+
+
+def spans_of(tokens: list[bytes]) -> dict[int, int]:
+    """Keys of all places inside tokens, by whether a token ends one byte before or after them."""
+    keys = set()
+    for t in tokens:
+        for k in range(1, len(t)):
+            left, right = t[max(0, k - 2) : k], t[k : k + 2]
+            keys.add(span_key(4 + 2 * (len(left) > 1) + (len(right) > 1), *left, *right))
+    return {k: k for k in keys}
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What encoding and decoding look up, as columns of array literals."""
+
+    pairs: Table
+    spans: Table
     byte_ids: Column
     pieces: Column
     little_endian: Column
@@ -104,6 +159,8 @@ class Vocabulary:
     @cache
     def load(path: str, pattern: str) -> Vocabulary:
         ranks = read_ranks(path)
+        if max(ranks.values()) >= EDGE or min(ranks.values()) < 0:
+            raise ValueError(f"ranks must be from 0 to {EDGE - 1}")
         pairs: dict[tuple[int, int], int] = {}
         onward: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -117,18 +174,15 @@ class Vocabulary:
         for (left, right), rank in pairs.items():
             key = left << ID_BITS | right
             entries[key] = key << RANK_BITS | rank << 1 | (onward.get(rank, rank) < rank)
-        shifts, slots = displaced(entries)
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            pieces[rank] = token.hex()
+            pieces[rank] = token.decode("latin-1")
         return Vocabulary(
-            len(shifts),
-            len(slots),
-            numbers(shifts),
-            numbers(slots),
+            Table.of(entries),
+            Table.of(spans_of(list(ranks))),
             numbers([ranks[bytes([b])] for b in range(256)]),
-            F.split(F.lit(",".join(pieces)), ","),
-            F.split(F.lit(",".join(r.to_bytes(4, "little").hex() for r in range(len(pieces)))), ","),
+            F.split(F.lit(GAP.join(pieces)), GAP),
+            F.split(F.lit(GAP.join(r.to_bytes(4, "little").decode("latin-1") for r in range(len(pieces)))), GAP),
             java_pattern(pattern),
         )
 
@@ -145,33 +199,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 @dataclass(frozen=True)
 class Bound:
-    """The tables inside an expression, so that each is in the plan once."""
+    """The tables inside an expression."""
 
-    vocab: Vocabulary
-    shifts: Column
-    slots: Column
+    pairs: Table
+    spans: Table
     byte_ids: Column
 
     @staticmethod
     def within(vocab: Vocabulary, body: Callable[[Bound], Column]) -> Column:
-        return let(
-            vocab.shifts,
-            lambda shifts: let(
-                vocab.slots,
-                lambda slots: let(vocab.byte_ids, lambda byte_ids: body(Bound(vocab, shifts, slots, byte_ids))),
-            ),
+        return vocab.pairs.bound(
+            lambda pairs: vocab.spans.bound(
+                lambda spans: let(vocab.byte_ids, lambda byte_ids: body(Bound(pairs, spans, byte_ids)))
+            )
         )
 
     def entry(self, left: Column, right: Column) -> Column:
         """``rank << 1 | unsafe`` of a pair; more than any rank, or null, if it is none."""
         key = F.shiftleft(left, ID_BITS) + right
-        at = (key % MIX + F.get(self.shifts, key % self.vocab.n_shifts)) % self.vocab.n_slots
-        return F.get(self.slots, at).bitwiseXOR(F.shiftleft(key, RANK_BITS))
+        return self.pairs.slot(key).bitwiseXOR(F.shiftleft(key, RANK_BITS))
 
     def entries(self, ids: Column) -> Column:
         lefts = F.slice(ids, F.lit(1), F.size(ids) - 1)
         return F.transform(lefts, lambda x, i: self.entry(x, F.get(ids, i + 1)))
 
+    def reached(self, codes: Column, at: Column) -> Column:
+        """Whether some token reaches across the place before byte ``at``, from 1."""
+        before, left, right, after = (F.get(codes, at + k) for k in (-2, -1, 0, 1))
+        keys = (
+            (4 << 16) + left * 256 + right,
+            (5 << 24) + left * 65536 + right * 256 + after,
+            (6 << 24) + before * 65536 + left * 256 + right,
+            (7 << 32) + before * (1 << 24) + left * 65536 + right * 256 + after,
+        )
+        return F.exists(F.array(*(k.cast("bigint") for k in keys)), lambda k: self.spans.slot(k).eqNullSafe(k) & k.isNotNull())
+
 
 def state_of(ids: Column, entries: Column) -> Column:
     return F.struct(ids.alias("ids"), entries.alias("entries"))
@@ -214,82 +275,133 @@ def merge_all(ids: Column, entries: Column, least: Column, bound: Bound) -> Colu
     return let(merged, lambda out: state_of(out, bound.entries(out)))
 
 
-def encode_word(word: Column, bound: Bound) -> Column:
-    """Token ids of one word."""
-    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+def latin(text: Column) -> Column:
+    """The bytes of ``text`` as characters."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def parts_of(word: Column, bound: Bound) -> Column:
+    """The bytes of a word as characters, cut where no token can reach across if it is long."""
+
+    def cut(letters: Column) -> Column:
+        return let(
+            F.transform(letters, lambda c: F.ascii(c).cast("bigint")),
+            lambda codes: F.array_join(
+                F.transform(
+                    letters,
+                    lambda c, i: F.when((i > 0) & ~bound.reached(codes, i), F.concat(F.lit(GAP), c)).otherwise(c),
+                ),
+                "",
+            ),
+        )
+
+    short = F.octet_length(word) <= SHORT
+    return F.when(short, F.array(latin(word))).otherwise(F.split(let(F.split(latin(word), ""), cut), GAP))
+
+
+def fold(part: Column, bound: Bound) -> Column:
+    """Token ids of bytes given as characters."""
     edge = F.array(F.lit(EDGE).cast("bigint"))
-    start = F.concat(edge, F.transform(letters, lambda c: F.get(bound.byte_ids, F.ascii(c))), edge)
+    start = F.concat(edge, F.transform(F.split(part, ""), lambda c: F.get(bound.byte_ids, F.ascii(c))), edge)
+
+    def least_of(state: Column) -> Column:
+        return F.coalesce(F.array_min(state["entries"]), F.lit(FREE))
 
-    def step(state: Column, _: Column) -> Column:
-        ids, entries = state["ids"], state["entries"]
+    def step(state: Column, merge: Callable) -> Column:
         return let(
-            F.array_min(entries),
-            lambda least: F.when(F.coalesce(least, F.lit(FREE)) >= 1 << RANK_BITS, state)
-            .when(F.size(ids) > SHORT, merge_all(ids, entries, least, bound))
-            .otherwise(merge_one(ids, entries, least, bound)),
+            least_of(state),
+            lambda least: F.when(least >= 1 << RANK_BITS, state).otherwise(
+                merge(state["ids"], state["entries"], least, bound)
+            ),
         )
 
-    return let(
-        start,
-        lambda ids: F.aggregate(
-            F.slice(ids, F.lit(1), F.size(ids) - 3),  # one step for each merge there can be
+    def short(ids: Column) -> Column:
+        # One step for each merge there can be.
+        turns = F.slice(ids, F.lit(1), F.size(ids) - 3)
+        return F.aggregate(turns, state_of(ids, bound.entries(ids)), lambda s, _: step(s, merge_one), lambda s: s["ids"])
+
+    def long(ids: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(ids))).cast("int"))
+        return F.aggregate(
+            turns,
             state_of(ids, bound.entries(ids)),
-            step,
-            lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2),
-        ),
+            lambda s, _: F.when(least_of(s) >= 1 << RANK_BITS, s).otherwise(
+                F.aggregate(turns, s, lambda t, _: step(t, merge_all))
+            ),
+            lambda s: s["ids"],
+        )
+
+    return let(
+        let(start, lambda ids: F.when(F.size(ids) <= SHORT + 2, short(ids)).otherwise(long(ids))),
+        lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2),
     )
 
 
+def encode_word(word: Column, bound: Bound) -> Column:
+    """Token ids of one word."""
+    return F.flatten(F.transform(parts_of(word, bound), lambda part: fold(part, bound))).cast("array<int>")
+
+
 def words_of(text: Column, vocab: Vocabulary) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(vocab.pattern), F.lit(0))
 
 
-def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_words: int) -> Column:
-    """Literal buckets of (word, ids) for the most frequent words."""
+def slot_of(word: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+
+
+def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) -> tuple[int, DataFrame]:
+    """The number of slots, a power of two, and one row with their words and ids."""
     counts = docs.select(F.explode(words_of(F.col(text_col), vocab)).alias("word")).groupBy("word").count()
-    often = counts.where(F.char_length("word") <= MEMO_CHARS).orderBy(F.desc("count"), "word").limit(memo_words)
-    ids = Bound.within(vocab, lambda bound: encode_word(F.col("word"), bound))
-    spread = often.select("word").repartition(32, "word")
-    at = F.pmod(F.xxhash64("word"), F.lit(buckets_of(memo_words))).cast("int").alias("at")
-    rows = (
-        spread.select(at, F.struct(F.col("word").alias("w"), ids.alias("i")).alias("entry"))
-        .groupBy("at")
-        .agg(F.to_json(F.collect_list("entry")).alias("bucket"))  # two words on average
-    )
-    table = ["[]"] * buckets_of(memo_words)
-    for row in rows.toLocalIterator():  # memo_words at most, in all
-        table[row.at] = row.bucket
-    return F.from_json(F.lit("[" + ",".join(table) + "]"), "array<array<struct<w:string,i:array<bigint>>>>")
 
+    def leaders(rows: DataFrame, slots: int) -> DataFrame:
+        best = rows.groupBy(slot_of(F.col("word"), slots).alias("slot")).agg(F.max(F.struct("count", "word")).alias("best"))
+        return best.select("slot", "best.word", "best.count")
 
-def buckets_of(memo_words: int) -> int:
-    return memo_words // 2 + 1
+    # One word a slot at most, so this is bounded however many words there are.
+    best = stored(leaders(counts.where(F.char_length("word") <= MEMO_CHARS), memo_slots), "frequent-words")
+    slots = min(memo_slots, 1 << (2 * best.count()).bit_length())
+    ids = Bound.within(vocab, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
+    dealt = leaders(best, slots).repartition(max(1, slots >> 14), "slot")
+    encoded = stored(dealt.select("slot", "word", ids), "encoded-words")
+    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    rows = every.join(encoded, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "word", "ids"))).alias("rows"))
+    table = rows.select(F.transform("rows", lambda r: r["word"]).alias("words"), F.transform("rows", lambda r: r["ids"]).alias("ids"))
+    return slots, stored(table, "word-table")
 
 
 def encode(
-    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_words: int = 1 << 17
+    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 20
 ) -> DataFrame:
     """``docs`` with the token ids of each whole text in column ``out``."""
-    known = memo(docs, text_col, vocab, memo_words)
+    slots, table = memo(docs, text_col, vocab, memo_slots)
 
-    def ids_of(word: Column, table: Column, bound: Bound) -> Column:
-        bucket = F.get(table, F.pmod(F.xxhash64(word), F.lit(buckets_of(memo_words))))
-        found = F.get(F.filter(bucket, lambda e: e["w"] == word), F.lit(0))["i"]
-        return F.coalesce(found, encode_word(word, bound))
+    def ids_of(word: Column, words: Column, known: Column, bound: Bound) -> Column:
+        return let(
+            slot_of(word, slots),
+            lambda at: F.when(F.get(words, at) == word, F.get(known, at)).otherwise(encode_word(word, bound)),
+        )
 
-    words = words_of(F.col(text_col), vocab)
+    own = words_of(F.col(text_col), vocab)
+    at_words, at_ids = (new_name(docs, c) for c in ("memo_words", "memo_ids"))
+    # Subqueries of one row: each column is used once, so that it never becomes part of a row.
+    rows = docs.withColumns({at_words: table.select("words").scalar(), at_ids: table.select("ids").scalar()})
     ids = let(
-        known,
-        lambda table: Bound.within(
-            vocab, lambda bound: F.flatten(F.transform(words, lambda w: ids_of(w, table, bound)))
+        F.col(at_words),
+        lambda words: let(
+            F.col(at_ids),
+            lambda known: Bound.within(
+                vocab, lambda bound: F.flatten(F.transform(own, lambda w: ids_of(w, words, known, bound)))
+            ),
         ),
     )
-    return docs.withColumn(out, ids)
+    return rows.withColumn(out, ids).drop(at_words, at_ids)
 
 
 def looked_up(ids: Column, table: Column) -> Column:
-    """The hexadecimal entries of ``table`` for ``ids``, concatenated as bytes."""
-    return F.unhex(let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i.cast("int"))), "")))
+    """The byte strings of ``table`` for ``ids``, concatenated."""
+    joined = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i.cast("int"))), ""))
+    return F.encode(joined, "ISO-8859-1")
 
 
 def decode(ids: Column, vocab: Vocabulary) -> Column:
