@@ -39,7 +39,7 @@ from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronmill.llm.shared import new_name, stored
@@ -351,7 +351,7 @@ def slot_of(word: Column, slots: int) -> Column:
 
 
 def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) -> tuple[int, DataFrame]:
-    """The number of slots, a power of two, and one row with their words and ids."""
+    """The number of slots, a power of two, and one row: their words, where their ids end, all ids."""
     counts = docs.select(F.explode(words_of(F.col(text_col), vocab)).alias("word")).groupBy("word").count()
 
     def leaders(rows: DataFrame, slots: int) -> DataFrame:
@@ -364,38 +364,46 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
     ids = Bound.within(vocab, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
     dealt = leaders(best, slots).repartition(max(1, slots >> 14), "slot")
     encoded = stored(dealt.select("slot", "word", ids), "encoded-words")
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rows = every.join(encoded, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "word", "ids"))).alias("rows"))
-    table = rows.select(F.transform("rows", lambda r: r["word"]).alias("words"), F.transform("rows", lambda r: r["ids"]).alias("ids"))
+    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(encoded, "slot", "left")
+    # All of them form one row, so one task numbers them.
+    ends = F.sum(F.coalesce(F.size("ids"), F.lit(0))).over(Window.orderBy("slot")).cast("int")
+    rows = every.select("slot", "word", "ids", ends.alias("end")).agg(
+        F.sort_array(F.collect_list(F.struct("slot", "word", "ids", "end"))).alias("rows")
+    )
+    table = rows.select(
+        F.transform("rows", lambda r: r["word"]).alias("words"),
+        F.concat(F.array(F.lit(0)), F.transform("rows", lambda r: r["end"])).alias("ends"),
+        F.flatten(F.transform("rows", lambda r: F.coalesce(r["ids"], F.array().cast("array<int>")))).alias("ids"),
+    )
     return slots, stored(table, "word-table")
 
 
 def encode(
-    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 20
+    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 19
 ) -> DataFrame:
     """``docs`` with the token ids of each whole text in column ``out``."""
     slots, table = memo(docs, text_col, vocab, memo_slots)
 
-    def ids_of(word: Column, words: Column, known: Column, bound: Bound) -> Column:
+    def ids_of(word: Column, words: Column, ends: Column, known: Column, bound: Bound) -> Column:
+        def found(at: Column) -> Column:
+            return let(F.get(ends, at), lambda end: F.slice(known, end + 1, F.get(ends, at + 1) - end))
+
         return let(
             slot_of(word, slots),
-            lambda at: F.when(F.get(words, at) == word, F.get(known, at)).otherwise(encode_word(word, bound)),
+            lambda at: F.when(F.get(words, at) == word, found(at)).otherwise(encode_word(word, bound)),
         )
 
     own = words_of(F.col(text_col), vocab)
-    at_words, at_ids = (new_name(docs, c) for c in ("memo_words", "memo_ids"))
+    names = [new_name(docs, "memo_" + c) for c in table.columns]
     # Subqueries of one row: each column is used once, so that it never becomes part of a row.
-    rows = docs.withColumns({at_words: table.select("words").scalar(), at_ids: table.select("ids").scalar()})
-    ids = let(
-        F.col(at_words),
-        lambda words: let(
-            F.col(at_ids),
-            lambda known: Bound.within(
-                vocab, lambda bound: F.flatten(F.transform(own, lambda w: ids_of(w, words, known, bound)))
-            ),
-        ),
-    )
-    return rows.withColumn(out, ids).drop(at_words, at_ids)
+    rows = docs.withColumns({name: table.select(c).scalar() for name, c in zip(names, table.columns)})
+
+    def with_memo(words: Column, ends: Column, known: Column, bound: Bound) -> Column:
+        return F.flatten(F.transform(own, lambda w: ids_of(w, words, ends, known, bound)))
+
+    words, ends, known = map(F.col, names)
+    ids = let(words, lambda w: let(ends, lambda e: let(known, lambda k: Bound.within(vocab, lambda b: with_memo(w, e, k, b)))))
+    return rows.withColumn(out, ids).drop(*names)
 
 
 def looked_up(ids: Column, table: Column) -> Column:
