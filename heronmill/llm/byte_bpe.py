@@ -39,7 +39,8 @@ from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronmill.llm.shared import new_name, stored
@@ -97,13 +98,13 @@ def displaced(entries: dict[int, int], mix: int) -> tuple[list[int], list[int]]
 
 @dataclass(frozen=True)
 class Table:
-    """A perfect hash table as columns of array literals."""
+    """A perfect hash table: arrays of numbers, or columns of them."""
 
     mix: int
     n_shifts: int
     n_slots: int
-    shifts: Column
-    slots: Column
+    shifts: list[int] | Column
+    slots: list[int] | Column
 
     @staticmethod
     def of(entries: dict[int, int]) -> Table:
@@ -111,16 +112,9 @@ class Table:
             found = displaced(entries, mix)
             if found:
                 shifts, slots = found
-                return Table(mix, len(shifts), len(slots), numbers(shifts), numbers(slots))
+                return Table(mix, len(shifts), len(slots), shifts, slots)
         raise ValueError("the keys of this vocabulary do not fit")
 
-    def bound(self, body: Callable[[Table], Column]) -> Column:
-        """``body`` of the table as variables, so that each array is in the plan once."""
-        return let(
-            self.shifts,
-            lambda shifts: let(self.slots, lambda slots: body(replace(self, shifts=shifts, slots=slots))),
-        )
-
     def slot(self, key: Column) -> Column:
         """What stands where ``key`` would; null for a null key."""
         return F.get(self.slots, (key % self.mix + F.get(self.shifts, key % self.n_shifts)) % self.n_slots)
@@ -146,11 +140,11 @@ def spans_of(tokens: list[bytes]) -> dict[int, int]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What encoding and decoding look up, as columns of array literals."""
+    """What encoding and decoding look up."""
 
     pairs: Table
     spans: Table
-    byte_ids: Column
+    byte_ids: list[int]
     pieces: Column
     little_endian: Column
     pattern: str
@@ -180,16 +174,40 @@ class Vocabulary:
         return Vocabulary(
             Table.of(entries),
             Table.of(spans_of(list(ranks))),
-            numbers([ranks[bytes([b])] for b in range(256)]),
+            [ranks[bytes([b])] for b in range(256)],
             F.split(F.lit(GAP.join(pieces)), GAP),
             F.split(F.lit(GAP.join(r.to_bytes(4, "little").decode("latin-1") for r in range(len(pieces)))), GAP),
             java_pattern(pattern),
         )
 
 
-def numbers(values: list[int]) -> Column:
-    """An array literal, once Spark has folded the constants."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+_ROWS: dict[tuple[str, int], DataFrame] = {}
+
+
+def constants(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """The rank map and the other tables of numbers as one row, whose arrays are flat memory in plans and tasks."""
+    key = spark.sparkContext.applicationId, id(vocab)
+    if key not in _ROWS:
+        arrays = (vocab.pairs.shifts, vocab.pairs.slots, vocab.spans.shifts, vocab.spans.slots, vocab.byte_ids)
+        row = pa.table({name: pa.array([a], pa.list_(pa.int64())) for name, a in zip(CONSTANTS, arrays)})
+        _ROWS[key] = stored(spark.createDataFrame(row), "bpe-constants")
+    return _ROWS[key]
+
+
+CONSTANTS = ("pair_shifts", "pair_slots", "span_shifts", "span_slots", "byte_ids")
+
+
+def with_one_row(df: DataFrame, *tables: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns of tables of one row as subqueries, and their names.
+
+    Spark puts each where it is used, if that is one place: then it never becomes part of a row.
+    """
+    names, columns = [], {}
+    for table in tables:
+        for c in table.columns:
+            names.append(new_name(df, "one_" + c))
+            columns[names[-1]] = table.select(c).scalar()
+    return df.withColumns(columns), names
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -197,6 +215,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lets(names: list[str], body: Callable[..., Column]) -> Column:
+    """``body`` of columns, each computed once."""
+
+    def rest(k: int, *got: Column) -> Column:
+        return body(*got) if k == len(names) else let(F.col(names[k]), lambda x: rest(k + 1, *got, x))
+
+    return rest(0)
+
+
 @dataclass(frozen=True)
 class Bound:
     """The tables inside an expression."""
@@ -206,11 +233,13 @@ class Bound:
     byte_ids: Column
 
     @staticmethod
-    def within(vocab: Vocabulary, body: Callable[[Bound], Column]) -> Column:
-        return vocab.pairs.bound(
-            lambda pairs: vocab.spans.bound(
-                lambda spans: let(vocab.byte_ids, lambda byte_ids: body(Bound(pairs, spans, byte_ids)))
-            )
+    def within(vocab: Vocabulary, names: list[str], body: Callable[[Bound], Column]) -> Column:
+        """``body`` of the constants in the columns ``names``."""
+        return lets(
+            names,
+            lambda a, b, c, d, e: body(
+                Bound(replace(vocab.pairs, shifts=a, slots=b), replace(vocab.spans, shifts=c, slots=d), e)
+            ),
         )
 
     def entry(self, left: Column, right: Column) -> Column:
@@ -361,8 +390,10 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
     # One word a slot at most, so this is bounded however many words there are.
     best = stored(leaders(counts.where(F.char_length("word") <= MEMO_CHARS), memo_slots), "frequent-words")
     slots = min(memo_slots, 1 << (2 * best.count()).bit_length())
-    ids = Bound.within(vocab, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
-    dealt = leaders(best, slots).repartition(max(1, slots >> 14), "slot")
+    dealt, names = with_one_row(
+        leaders(best, slots).repartition(max(1, slots >> 14), "slot"), constants(docs.sparkSession, vocab)
+    )
+    ids = Bound.within(vocab, names, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
     encoded = stored(dealt.select("slot", "word", ids), "encoded-words")
     every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(encoded, "slot", "left")
     # All of them form one row, so one task numbers them.
@@ -379,7 +410,7 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
 
 
 def encode(
-    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 19
+    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 20
 ) -> DataFrame:
     """``docs`` with the token ids of each whole text in column ``out``."""
     slots, table = memo(docs, text_col, vocab, memo_slots)
@@ -394,16 +425,14 @@ def encode(
         )
 
     own = words_of(F.col(text_col), vocab)
-    names = [new_name(docs, "memo_" + c) for c in table.columns]
-    # Subqueries of one row: each column is used once, so that it never becomes part of a row.
-    rows = docs.withColumns({name: table.select(c).scalar() for name, c in zip(names, table.columns)})
+    rows, names = with_one_row(docs, table, constants(docs.sparkSession, vocab))
 
-    def with_memo(words: Column, ends: Column, known: Column, bound: Bound) -> Column:
-        return F.flatten(F.transform(own, lambda w: ids_of(w, words, ends, known, bound)))
+    def with_memo(words: Column, ends: Column, known: Column) -> Column:
+        return Bound.within(
+            vocab, names[3:], lambda b: F.flatten(F.transform(own, lambda w: ids_of(w, words, ends, known, b)))
+        )
 
-    words, ends, known = map(F.col, names)
-    ids = let(words, lambda w: let(ends, lambda e: let(known, lambda k: Bound.within(vocab, lambda b: with_memo(w, e, k, b)))))
-    return rows.withColumn(out, ids).drop(*names)
+    return rows.withColumn(out, lets(names[:3], with_memo)).drop(*names)
 
 
 def looked_up(ids: Column, table: Column) -> Column:
