@@ -40,7 +40,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronmill.llm.shared import new_name, stored
@@ -71,7 +71,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def displaced(entries: dict[int, int], mix: int) -> tuple[list[int], list[int]] | None:
+def displaced(entries: dict[int, int], mix: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Shifts of buckets of keys under which no two keys share a slot, and the slots, if there are such."""
     rng = np.random.default_rng(3)
     n_buckets, size = len(entries) // 3 | 1, len(entries) * 3 // 2 | 1
@@ -93,7 +93,7 @@ def displaced(entries: dict[int, int], mix: int) -> tuple[list[int], list[int]]
                 break
         else:
             return None
-    return shifts, slots.tolist()
+    return np.array(shifts), slots
 
 
 @dataclass(frozen=True)
@@ -103,8 +103,8 @@ class Table:
     mix: int
     n_shifts: int
     n_slots: int
-    shifts: list[int] | Column
-    slots: list[int] | Column
+    shifts: np.ndarray | Column
+    slots: np.ndarray | Column
 
     @staticmethod
     def of(entries: dict[int, int]) -> Table:
@@ -380,7 +380,7 @@ def slot_of(word: Column, slots: int) -> Column:
 
 
 def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) -> tuple[int, DataFrame]:
-    """The number of slots, a power of two, and one row: their words, where their ids end, all ids."""
+    """The number of slots, a power of two, and one row with their words and ids."""
     counts = docs.select(F.explode(words_of(F.col(text_col), vocab)).alias("word")).groupBy("word").count()
 
     def leaders(rows: DataFrame, slots: int) -> DataFrame:
@@ -396,49 +396,37 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
     ids = Bound.within(vocab, names, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
     encoded = stored(dealt.select("slot", "word", ids), "encoded-words")
     every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(encoded, "slot", "left")
-    # All of them form one row, so one task numbers them.
-    ends = F.sum(F.coalesce(F.size("ids"), F.lit(0))).over(Window.orderBy("slot")).cast("int")
-    rows = every.select("slot", "word", "ids", ends.alias("end")).agg(
-        F.sort_array(F.collect_list(F.struct("slot", "word", "ids", "end"))).alias("rows")
-    )
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("slot", "word", "ids"))).alias("rows"))  # one row of all slots
     table = rows.select(
-        F.transform("rows", lambda r: r["word"]).alias("words"),
-        F.concat(F.array(F.lit(0)), F.transform("rows", lambda r: r["end"])).alias("ends"),
-        F.flatten(F.transform("rows", lambda r: F.coalesce(r["ids"], F.array().cast("array<int>")))).alias("ids"),
+        F.transform("rows", lambda r: r["word"]).alias("words"), F.transform("rows", lambda r: r["ids"]).alias("ids")
     )
     return slots, stored(table, "word-table")
 
 
 def encode(
-    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 20
+    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 18
 ) -> DataFrame:
     """``docs`` with the token ids of each whole text in column ``out``."""
     slots, table = memo(docs, text_col, vocab, memo_slots)
 
-    def ids_of(word: Column, words: Column, ends: Column, known: Column, bound: Bound) -> Column:
-        def found(at: Column) -> Column:
-            return let(F.get(ends, at), lambda end: F.slice(known, end + 1, F.get(ends, at + 1) - end))
-
+    def ids_of(word: Column, words: Column, known: Column, bound: Bound) -> Column:
         return let(
             slot_of(word, slots),
-            lambda at: F.when(F.get(words, at) == word, found(at)).otherwise(encode_word(word, bound)),
+            lambda at: F.when(F.get(words, at) == word, F.get(known, at)).otherwise(encode_word(word, bound)),
         )
 
     own = words_of(F.col(text_col), vocab)
     rows, names = with_one_row(docs, table, constants(docs.sparkSession, vocab))
 
-    def with_memo(words: Column, ends: Column, known: Column) -> Column:
-        return Bound.within(
-            vocab, names[3:], lambda b: F.flatten(F.transform(own, lambda w: ids_of(w, words, ends, known, b)))
-        )
+    def with_memo(words: Column, known: Column) -> Column:
+        return Bound.within(vocab, names[2:], lambda b: F.transform(own, lambda w: ids_of(w, words, known, b)))
 
-    return rows.withColumn(out, lets(names[:3], with_memo)).drop(*names)
+    return rows.withColumn(out, F.flatten(lets(names[:2], with_memo))).drop(*names)
 
 
 def looked_up(ids: Column, table: Column) -> Column:
     """The byte strings of ``table`` for ``ids``, concatenated."""
-    joined = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i.cast("int"))), ""))
-    return F.encode(joined, "ISO-8859-1")
+    return F.encode(F.array_join(let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), ""), "ISO-8859-1")
 
 
 def decode(ids: Column, vocab: Vocabulary) -> Column:
