@@ -1,6 +1,7 @@
 """Embedding near-dedup by spherical-cap filters of structured random product codes.
 
-1. Identical vectors of a label become one class with its smallest id and its size.
+1. Identical vectors of a label become one class with a number of its own, its smallest id
+   and its size. Vectors of different lengths never link; each length is done by itself.
 2. A filter is a direction made of one code vector for each part of the rotated
    space, so ``codes ** PARTS`` directions cost ``codes * PARTS`` products. A vector
    is list-decoded to its ``best`` directions: its cap is as wide as it takes, so
@@ -15,9 +16,11 @@
 4. Inside each component all pairs of classes are compared again in blocks, which
    counts links exactly, also those that filters alone would have missed.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or
-with null or non-finite components, and rows with a null label or id, link with nothing; rows that repeat an id and its vector count once as a
-partner. Every input row gives one output row. Extra columns are not touched.
+Defined cases: vectors that are null, empty, zero, or with null or non-finite
+components, and rows with a null label or id, link with nothing; rows that repeat an
+id and its vector count once as a partner; different vectors under one id are rows by
+themselves, each with the links of its own vector. Every input row gives one output
+row. Extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heronmill.llm.shared import (
     arrow_pass,
@@ -43,11 +47,11 @@ from heronmill.llm.shared import (
 PARTS = 4
 
 
-def usable(vector: str, dims: int):
+def usable(vector: str) -> Column:
     """Whether a vector may link at all."""
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0)
+    return finite & F.exists(v, lambda x: x != 0)
 
 
 class Filters:
@@ -123,18 +127,10 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, dims: int) -> tuple[DataFrame, DataFrame]:
-    """(vec, rep) of all usable rows, and (rep, label, v, copies) of the classes."""
-    rows = vectors.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable(vector_col, dims))
-    rows = rows.select(
-        F.col(id_col).cast("long").alias("vec"), F.col(label_col).alias("label"), F.col(vector_col).alias("v")
-    )
-    reps = stored(
-        rows.groupBy("label", "v").agg(F.min("vec").alias("rep"), F.count_distinct("vec").alias("copies")), "vector-classes"
-    )
-    at = reps.select(F.col("label").alias("_label"), F.col("v").alias("_v"), "rep")
-    member = rows.join(at, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("vec", "rep")
-    return member, reps
+def classes(rows: DataFrame) -> DataFrame:
+    """(rep, least, label, v, copies) of the classes of usable rows (vec, label, v); ``rep`` is the class's number."""
+    same = rows.groupBy("label", "v").agg(F.min("vec").alias("least"), F.count_distinct("vec").alias("copies"))
+    return stored(same.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
 
 
 def memberships(reps: DataFrame, dims: int, codes: int, rotations: int, best: int) -> DataFrame:
@@ -207,10 +203,27 @@ def near_duplicates(
 
     ``rotations`` is the least number of them; more are used where ``recall`` needs more.
     """
-    sizes = vectors.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("dims")).count()
-    first = sizes.orderBy(F.desc("count"), "dims").first()
-    dims = first.dims if first else 1
-    member, reps = classes(vectors, id_col, vector_col, label_col, dims)
+    own = F.when(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & usable(vector_col), F.col(vector_col))
+    every = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(label_col).alias("label"), own.alias("v"))
+    lengths = every.where("v IS NOT NULL").groupBy(F.size("v").alias("dims")).count().orderBy("dims").collect()
+    found = every.sparkSession.createDataFrame(
+        [], StructType([every.schema["label"], every.schema["v"]]).add("n_links", "long").add("component", "long")
+    )
+    for row in lengths:  # as many rounds as there are different lengths
+        part = every.where(F.size("v") == row.dims)
+        found = found.unionByName(linked_classes(part, row.dims, cosine, rotations, best, directions, recall, block))
+    known = found.select(F.col("label").alias("_label"), F.col("v").alias("_v"), "n_links", "component")
+    return every.join(known, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left").select(
+        "vec",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component", "vec").alias("component"),
+        F.coalesce(F.col("vec") == F.coalesce("component", "vec"), F.lit(False)).alias("kept"),
+    )
+
+
+def linked_classes(rows: DataFrame, dims: int, cosine, rotations, best, directions, recall, block) -> DataFrame:
+    """(label, v, n_links, component) of the classes of vectors of one length."""
+    reps = classes(rows)
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     codes = code_size(largest, directions)
     rotations = rotations_for(dims, codes, best, cosine, recall, rotations)
@@ -219,25 +232,20 @@ def near_duplicates(
     roots = stored(components(edges), "vector-components")
     tasks = block_tasks(roots.select(F.col("root"), F.col("id").alias("rep")), "root", "rep", block)
     links = compared(tasks, reps, "root", dims, cosine, count=True).groupBy("rep").agg(F.sum("n").alias("n"))
+    member = roots.withColumnRenamed("id", "rep").join(reps.select("rep", "least"), "rep")
+    smallest = member.groupBy("root").agg(F.min("least").alias("component"))
     per_class = (
-        reps.select("rep", "copies")
+        reps.select("rep", "least", "label", "v", "copies")
         .join(links, "rep", "left")
-        .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(member.join(smallest, "root").select("rep", "component"), "rep", "left")
         .select(
-            "rep",
+            "label",
+            "v",
             (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "rep").alias("component"),
+            F.coalesce("component", "least").alias("component"),
         )
     )
-    per_class = stored(per_class, "vector-links")
-    known = member.distinct().join(per_class, "rep").select(F.col("vec").alias("_vec"), "n_links", "component")
-    every = vectors.select(F.col(id_col).cast("long").alias("vec"))
-    return every.join(known, F.col("vec") == F.col("_vec"), "left").select(
-        "vec",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec").alias("component"),
-        F.coalesce(F.col("vec") == F.coalesce("component", "vec"), F.lit(False)).alias("kept"),
-    )
+    return stored(per_class, "vector-links")
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -114,9 +114,51 @@ def test_repeated_rows_and_null_ids_of_jaccard(spark):
     assert [(r.doc_id, r.n_links) for r in got] == [(None, 0), (5, 0), (5, 0)]
 
 
+def test_two_texts_under_one_id(spark):
+    a, b = prose(60, 21), prose(60, 22)
+    rows = documents(spark, [a, b, a + " x", b + " y", prose(50, 23)], [5, 5, 6, 7, 8])
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.digest(rows).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 0, 8)]
+
+
+def test_recall_of_the_forest_near_the_threshold(spark):
+    """Pairs of distinct words at 0.80 to 0.85, each pair by itself."""
+    texts = []
+    for k in range(400):
+        words = [f"w{k}x{i}" for i in range(200)]
+        texts += [" ".join(words), " ".join(words[: -(17 + k % 4)] + [f"v{k}x{i}" for i in range(17 + k % 4)])]
+    want = jaccard_of(texts)
+    got = {r.doc_id: r.n_links for r in jaccard_join.digest(documents(spark, texts)).collect()}
+    assert sum(want) == 800 and [got[i] for i in range(800)] == want
+
+
+def jaccard_of(texts):
+    """Links between the neighbours 2k and 2k + 1."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    return [int(0.8 <= len(sets[i] & sets[i ^ 1]) / len(sets[i] | sets[i ^ 1]) <= 0.85) for i in range(len(texts))]
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    schema = "tree int, prefix binary, rep long, before long, matched int"
+    always = [(t, b"", p + 1, p, 8) for p in range(0, 20, 2) for t in range(8)]
+    assert jaccard_join.shortened(spark.createDataFrame(always, schema), 8, 6, 0.9999) == 8
+    some = always + [(0, b"", 101 + 2 * p, 100 + 2 * p, 7) for p in range(3)]
+    assert jaccard_join.shortened(spark.createDataFrame(some, schema), 8, 6, 0.5) == 8
+    assert jaccard_join.shortened(spark.createDataFrame(some, schema), 8, 6, 0.9999) == 6
+    assert jaccard_join.shortened(spark.createDataFrame([], schema), 8, 6, 0.9999) == 6
+
+
 # 3 embeddings
 
 
+def test_two_vectors_under_one_id_and_other_lengths(spark):
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, one), (5, two), (6, [2.0, 0.0, 0.0]), (7, [0.0, 3.0, 0.0]), (8, [1.0, 1.0]), (9, [2.0, 2.0]), (5, one)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.digest(df).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 1, 8), (9, 1, 8)]
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 64))
