@@ -6,10 +6,10 @@ a document with a smaller id, or earlier in the same one.
 1. Whole copies of a text stay out of the index; they lose all bytes if they have
    ``length`` at least, since the first copy holds every string of theirs.
 2. Each string of ``length`` bytes has one anchor: the leftmost lowest hash among the
-   runs of ``length // 2`` bytes in it. Equal strings have theirs at the same offset,
+   runs of ``length // 3`` bytes in it. Equal strings have theirs at the same offset,
    so it is enough to index the suffixes that begin at anchors, about one byte in
    twenty-six. A batch becomes such a sparse suffix array, sorted by the hash of the
-   suffix's first ``length // 2`` bytes (key) and by the hash of all bytes that the
+   suffix's first ``length // 3`` bytes (key) and by the hash of all bytes that the
    anchor's strings reach (context). Only first entries of a key and context stay.
 3. A new batch is merge-scanned with every level of the family. An entry whose key and
    context stand before repeats as a whole; its 128 bits of hash settle this. Where a
@@ -20,7 +20,8 @@ a document with a smaller id, or earlier in the same one.
    merge into one of double size, so a family over n batches has log n levels.
 
 Batches are ranges of ids in rising order, so what is earlier is in the same batch
-or in a level. Keys with more than ``hot`` suffixes are not gathered: their strings
+or in a level. Keys with more than ``hot`` suffixes are not gathered: a finer index of
+blocks of their strings settles what repeats as a whole, and the strings of other blocks
 are sorted by a 128-bit hash and read as a stream, so that no group is ever held.
 
 Defined cases: null and empty texts have no bytes; rows that share an id and a text
@@ -104,19 +105,19 @@ class Anchors:
         self.suffix, self.whole = Rolling(0), Rolling(1)
 
     def __call__(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(key, context hash, first string, last string), some pieces of a text at a time."""
-        half = self.length // 2
-        span = self.length - half + 1
+        """(key, context hash, first string, last string, bytes of the first before its anchor), by pieces of a text."""
+        size = self.length // 3
+        span = self.length - size + 1
         low = np.uint64((1 << PLACE_BITS) - 1)
         for begin in range(0, len(raw) - self.length + 1, PIECE):
             part = raw[begin : begin + PIECE + self.length - 1]
-            h = self.suffix(part, half)
+            h = self.suffix(part, size)
             # The place in the low bits finds the anchor and breaks ties to the left.
             at = (sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), span) & low).astype(np.int64)
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             last = np.r_[first[1:] - 1, len(at) - 1]
             context = self.whole.spans(part, first, last + self.length)
-            yield h[at[first]].view(np.int64), context.view(np.int64), first + begin, last + begin
+            yield h[at[first]].view(np.int64), context.view(np.int64), first + begin, last + begin, at[first] - first
 
 
 def index_entries(docs: DataFrame, length: int) -> DataFrame:
@@ -127,7 +128,7 @@ def index_entries(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for key, context, lo, hi in find(np.frombuffer(text.as_buffer(), np.uint8)):
+                for key, context, lo, hi, _ in find(np.frombuffer(text.as_buffer(), np.uint8)):
                     parts.append((key, context, np.full(len(key), doc), lo, hi))
             if parts:
                 yield dict(zip(("key", "context", "doc", "lo", "hi"), map(np.concatenate, zip(*parts))))
@@ -197,7 +198,10 @@ def merge_scan(entries: DataFrame, from_doc: int, bits: int, keep: bool) -> Data
 
 
 def surroundings(docs: DataFrame, length: int, wanted: bytes, owners: bytes, bits: int) -> DataFrame:
-    """(key, doc, at, around): the contexts' bytes of the anchors in the filter."""
+    """(key, doc, at, ahead, around): the contexts' bytes of the anchors in the filter.
+
+    ``at`` is the first string's place, ``ahead`` its bytes before the anchor.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((wanted, owners))
     mask = (1 << bits) - 1
 
@@ -209,22 +213,23 @@ def surroundings(docs: DataFrame, length: int, wanted: bytes, owners: bytes, bit
         bitmap, known = (np.frombuffer(b, np.uint8) for b in sent.value)
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            out: dict[str, list] = {"key": [], "doc": [], "at": [], "around": []}
+            out: dict[str, list] = {"key": [], "doc": [], "at": [], "ahead": [], "around": []}
             for i in hit(known, ids & mask).tolist():
                 raw = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                for key, context, lo, hi in find(raw):
+                for key, context, lo, hi, ahead in find(raw):
                     doc = np.full(len(key), ids[i])
                     some = hit(bitmap, (identity(key, context, doc, lo) & np.uint64(mask)).astype(np.int64))
                     out["key"] += key[some].tolist()
                     out["doc"] += doc[some].tolist()
                     out["at"] += lo[some].tolist()
+                    out["ahead"] += ahead[some].tolist()
                     out["around"] += [raw[a : b + length].tobytes() for a, b in zip(lo[some], hi[some])]
                 if len(out["key"]) > 50_000:
                     yield out
-                    out = {"key": [], "doc": [], "at": [], "around": []}
+                    out = {"key": [], "doc": [], "at": [], "ahead": [], "around": []}
             yield out
 
-    return arrow_pass(docs.select("doc", "text"), "key long, doc long, at long, around binary", scan)
+    return arrow_pass(docs.select("doc", "text"), "key long, doc long, at long, ahead int, around binary", scan)
 
 
 def strings_of(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -280,8 +285,54 @@ def repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
     return arrow_pass(dealt, "doc long, lo long, hi long", verify)
 
 
-def hot_repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
-    """The same for keys of any size: strings are sorted by a 128-bit hash and read as a stream.
+def finer_entries(around: DataFrame, length: int, width: int) -> DataFrame:
+    """Entries of ``width`` strings at most, for keys with many: a finer index of the same form.
+
+    Strings are told apart by how far they begin before their anchor. Those of one block share
+    the bytes in their middle, all but ``width - 1`` of ``length``, whose hash is the new key.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        middle, whole = Rolling(0), Rolling(1)
+        for batch in batches:
+            for s in range(0, len(batch), 2000):
+                part = batch.slice(s, 2000)
+                around = part.column("around").to_pylist()
+                sizes = np.fromiter(map(len, around), np.int64, len(around))
+                raw, begin = np.frombuffer(b"".join(around), np.uint8), np.cumsum(sizes) - sizes
+                ahead, at, doc = (part.column(c).to_numpy().astype(np.int64) for c in ("ahead", "at", "doc"))
+                least = ahead - (sizes - length)  # of the last string
+                block = [np.arange(a // width, b // width + 1) for a, b in zip(least, ahead)]
+                row = np.repeat(np.arange(len(around)), list(map(len, block)))
+                block = np.concatenate(block) if block else np.empty(0, np.int64)
+                far = np.minimum(ahead[row], (block + 1) * width - 1)
+                near = np.maximum(least[row], block * width)
+                anchor = begin[row] + ahead[row]
+                key = middle.spans(raw, anchor - block * width, anchor - (block + 1) * width + 1 + length)
+                key = mixed(key + block.astype(np.uint64))
+                context = whole.spans(raw, anchor - far, anchor - near + length)
+                first = at[row] + ahead[row]
+                yield {"key": key.view(np.int64), "context": context.view(np.int64), "doc": doc[row], "lo": first - far, "hi": first - near}
+
+    return arrow_pass(around, ENTRY, scan)
+
+
+def hot_repeats(around: DataFrame, length: int, from_doc: int, bits: int, scratch: Scratch, width: int = 13) -> DataFrame:
+    """The same for keys of any size: ``finer_entries`` settle what repeats as a whole, single strings the rest."""
+    finer = scratch.stored(merge_scan(finer_entries(around, length, width), from_doc, bits, False), "finer-scan")
+    whole = finer.where(F.col("kind") == REPEAT).select("doc", F.col("lo").cast("long"), F.col("hi").cast("long"))
+    edges = finer.where(F.col("kind") == EDGE).select(F.col("doc").alias("_doc"), "lo", "hi")
+    last = F.col("at") + F.octet_length("around") - length
+    near = around.join(edges, (F.col("doc") == F.col("_doc")) & F.col("lo").between(F.col("at"), last)).select(
+        "doc",
+        F.col("lo").cast("long").alias("at"),
+        F.expr(f"substring(around, int(lo - at + 1), hi - lo + {length})").alias("around"),
+    )
+    return whole.unionByName(string_repeats(near, length, from_doc))
+
+
+def string_repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
+    """The same string by string: they are sorted by a 128-bit hash and read as a stream.
 
     Neither a key nor a string is gathered: one row is held over from batch to batch.
     """
@@ -357,7 +408,7 @@ class SuffixIndexFamily:
         runs_ = found.where(F.col("kind") == REPEAT).select("doc", F.col("lo").cast("long"), F.col("hi").cast("long"))
         runs_ = runs_.unionByName(repeats(around.join(hot, "key", "left_anti"), self.length, from_doc))
         if not hot.isEmpty():
-            runs_ = runs_.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc))
+            runs_ = runs_.unionByName(hot_repeats(around.join(hot, "key", "left_semi"), self.length, from_doc, self.bits, scratch))
         runs_ = stored(runs_, "suffix-repeats")
         if last:
             self.close()
@@ -387,7 +438,7 @@ class SuffixIndexFamily:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 2, **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 3, **options
 ) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept) for every row: ``kept`` are the bytes that stay."""
     every = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))

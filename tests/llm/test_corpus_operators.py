@@ -397,10 +397,15 @@ def test_null_and_repeated_ids_of_lines(spark):
 # 9 suffix arrays
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 3, "hot": 2}, {"batches": 1}])
+@pytest.mark.parametrize("options", [{}, {"batches": 4, "hot": 2}, {"batches": 1}])
 def test_suffixes_equal_brute_force(spark, options):
     passage = prose(40, 90)
     texts = [*TEXTS, f"{prose(10, 91)} {passage} {prose(10, 92)}", f"{passage}{passage}", "é" * 130, "ab" * 120, prose(60, 1)[:99], passage[7:140]]
+    texts += [f"{prose(9, 200 + k)} {passage[k:]} {prose(9, 300 + k)}" for k in range(12)]
+    thue = "0"
+    for _ in range(9):
+        thue += thue.translate({48: "1", 49: "0"})
+    texts += [thue, thue[37:], "abcab" * 60 + "x" + "abcab" * 60]
     seen, want = set(), {}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
