@@ -8,7 +8,7 @@ a document with a smaller id, or earlier in the same one.
 2. Each string of ``length`` bytes has one anchor: the leftmost lowest hash among the
    runs of ``length // 3`` bytes in it. Equal strings have theirs at the same offset,
    so it is enough to index the suffixes that begin at anchors, about one byte in
-   twenty-six. A batch becomes such a sparse suffix array, sorted by the hash of the
+   thirty-four. A batch becomes such a sparse suffix array, sorted by the hash of the
    suffix's first ``length // 3`` bytes (key) and by the hash of all bytes that the
    anchor's strings reach (context). Only first entries of a key and context stay.
 3. A new batch is merge-scanned with every level of the family. An entry whose key and
