@@ -256,7 +256,7 @@ def repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rolling = Rolling()
-        for table in whole_groups(batches, ["key"], rows=20_000):
+        for table in whole_groups(batches, ["key"], rows=6_000):
             raw, row, step, place = strings_of(table, length)
             doc = table.column("doc").to_numpy()[row]
             start = table.column("at").to_numpy()[row] + step
@@ -453,6 +453,11 @@ def remove_repeats(
         .distinct()
     )
     copies = stored(copies, "text-copies")
+    bits = options.get("bits", 26)
+    mask = F.lit((1 << bits) - 1)
+    # Texts move only for rows that a filter of the copies' ids lets pass.
+    twins = bit_filter(copies.select(F.col("doc").bitwiseAND(mask).alias("place")), bits)
+    gone = copies.select(F.col("doc").alias("_doc"), F.col("sha").alias("_sha"))
     ids = long_.select("doc")
     cuts = ids.agg(F.percentile_approx("doc", [i / batches for i in range(batches)], 10_000)).first()[0]
     found: DataFrame | None = None
@@ -465,8 +470,9 @@ def remove_repeats(
                 part = part.where(F.col("doc") >= low)
             if high is not None:
                 part = part.where(F.col("doc") < high)
-            gone = copies.select(F.col("doc").alias("_doc"), F.col("sha").alias("_sha"))
-            own = part.join(gone, (F.col("doc") == F.col("_doc")) & (digest_ == F.col("_sha")), "left_anti")
+            suspects = divided(part, twins, bits, True)
+            cleared = suspects.join(gone, (F.col("doc") == F.col("_doc")) & (digest_ == F.col("_sha")), "left_anti")
+            own = divided(part, twins, bits, False).unionByName(cleared)
             more = family.add(own, low if low is not None else -(1 << 63), last=high is None)
             found = more if found is None else found.unionByName(more)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -495,18 +501,13 @@ def remove_repeats(
     if found is None:
         rows = every.select("doc", "text", F.lit(False).alias("copy"), F.array().cast("array<struct<lo:long,hi:long>>").alias("spans"))
         return arrow_pass(rows, schema, cut)
-    spans = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = stored(spans, "suffix-spans")
-    twin = copies.select(F.col("doc").alias("_twin"), F.col("sha").alias("_sha"), F.lit(True).alias("copy"))
-    losing = spans.select(F.col("_doc").alias("doc")).unionByName(copies.select("doc"))
-    bits = options.get("bits", 26)
-    bitmap = bit_filter(losing.select(F.col("doc").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits)
-    rows = (
-        divided(every, bitmap, bits, True)
-        .join(spans, F.col("doc") == F.col("_doc"), "left")
-        .join(twin, (F.col("doc") == F.col("_twin")) & (digest_ == F.col("_sha")), "left")
-        .select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
-    )
+    lost = found.select("doc", F.struct("lo", "hi").alias("span"), F.lit(None).cast("string").alias("sha"))
+    lost = lost.unionByName(copies.select("doc", F.lit(None).cast(lost.schema["span"].dataType).alias("span"), "sha"))
+    lost = lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("span").alias("spans"), F.collect_set("sha").alias("shas"))
+    lost = stored(lost, "suffix-spans")
+    bitmap = bit_filter(lost.select(F.col("_doc").bitwiseAND(mask).alias("place")), bits)
+    rows = divided(every, bitmap, bits, True).join(lost, F.col("doc") == F.col("_doc"), "left")
+    rows = rows.select("doc", "text", F.coalesce(F.array_contains("shas", digest_), F.lit(False)).alias("copy"), "spans")
     whole = divided(every, bitmap, bits, False).select(
         "doc", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans")
     )
