@@ -45,6 +45,7 @@ from heronmill.llm.shared import (
     bit_filter,
     block_tasks,
     components,
+    filter_bits,
     group_starts,
     linked,
     pairs_within,
@@ -307,7 +308,7 @@ def similar_documents(
     recall: float = 0.9999,
     slack: float = 5.0,
     block: int = 256,
-    bits: int = 26,
+    bits: int = 28,
 ) -> DataFrame:
     """(doc, class_id, n_links, component_id, kept) for every row of ``docs``."""
     least = prefix_depth(trees, max_depth, threshold, recall)
@@ -327,8 +328,8 @@ def similar_documents(
     agreeing = threshold - slack * np.sqrt(threshold * (1 - threshold) / sketch)
     near = clusters(block_tasks(tries.select(bucket, "rep"), "bucket", "rep", block), reps, float(agreeing))
     cluster = stored(components(near).select("root", F.col("id").alias("rep")), "text-clusters")
-    wanted = cluster.join(reps.select("rep", "least"), "rep")
-    sets = shingle_sets(docs, id_col, text_col, shingle, wanted, bits).dropDuplicates(["key"])
+    wanted = stored(cluster.join(reps.select("rep", "least"), "rep"), "clustered-ids")
+    sets = shingle_sets(docs, id_col, text_col, shingle, wanted, filter_bits(wanted.count(), bits)).dropDuplicates(["key"])
     checked = stored(verified(block_tasks(cluster, "root", "rep", block), sets, reps, threshold), "verified-links")
     links = checked.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(checked.where("a IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")

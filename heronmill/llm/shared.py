@@ -196,6 +196,14 @@ def components(edges: DataFrame) -> DataFrame:
     return places.join(least, "place").select("id", "root")
 
 
+def filter_bits(keys: int, most: int) -> int:
+    """The size of a filter with 16 bits or more for each key, from 2 ** 12 bits to 2 ** ``most``.
+
+    A table with more keys than the largest filter holds has more false hits, which exact steps refuse.
+    """
+    return min(most, max(12, (16 * keys).bit_length()))
+
+
 def bit_filter(places: DataFrame, bits: int) -> bytes:
     """One-probe Bloom filter of the column ``place``, from 0 to ``2 ** bits``: ``2 ** bits / 8`` bytes."""
     parts = (

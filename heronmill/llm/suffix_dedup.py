@@ -40,7 +40,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronmill.llm.shared import arrow_pass, bit_filter, stored, whole_groups
+from heronmill.llm.shared import arrow_pass, bit_filter, filter_bits, stored, whole_groups
 from heronmill.sources.storage import Scratch
 
 PIECE = 1 << 19
@@ -381,7 +381,7 @@ def string_repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
 class SuffixIndexFamily:
     """Levels of sparse suffix arrays over the documents added so far."""
 
-    def __init__(self, length: int = 100, bits: int = 26, hot: int = 20_000):
+    def __init__(self, length: int = 100, bits: int = 28, hot: int = 20_000):
         self.length, self.bits, self.hot = length, bits, hot
         self.levels: list[tuple[int, DataFrame, Scratch]] = []
         self.docs: DataFrame | None = None
@@ -400,9 +400,11 @@ class SuffixIndexFamily:
         scratch = Scratch(spark)
         found = scratch.stored(merge_scan(entries, from_doc, self.bits, not last), "suffix-scan")
         edges = found.where(F.col("kind") == EDGE)
-        wanted = bit_filter(edges.select("place"), self.bits)
-        owners = bit_filter(edges.select(F.col("doc").bitwiseAND(F.lit((1 << self.bits) - 1)).alias("place")), self.bits)
-        around = scratch.stored(surroundings(self.docs, self.length, wanted, owners, self.bits), "suffix-contexts")
+        bits = filter_bits(edges.count(), self.bits)
+        low = F.lit((1 << bits) - 1)
+        wanted = bit_filter(edges.select(F.col("place").bitwiseAND(low).alias("place")), bits)
+        owners = bit_filter(edges.select(F.col("doc").bitwiseAND(low).alias("place")), bits)
+        around = scratch.stored(surroundings(self.docs, self.length, wanted, owners, bits), "suffix-contexts")
         hot = edges.groupBy("key").count().where(F.col("count") >= self.hot).select("key")
         hot = scratch.stored(hot, "hot-keys")
         runs_ = found.where(F.col("kind") == REPEAT).select("doc", F.col("lo").cast("long"), F.col("hi").cast("long"))
@@ -453,10 +455,8 @@ def remove_repeats(
         .distinct()
     )
     copies = stored(copies, "text-copies")
-    bits = options.get("bits", 26)
-    mask = F.lit((1 << bits) - 1)
     # Texts move only for rows that a filter of the copies' ids lets pass.
-    twins = bit_filter(copies.select(F.col("doc").bitwiseAND(mask).alias("place")), bits)
+    twins = IdFilter(copies, "doc", options.get("bits", 28))
     gone = copies.select(F.col("doc").alias("_doc"), F.col("sha").alias("_sha"))
     ids = long_.select("doc")
     cuts = ids.agg(F.percentile_approx("doc", [i / batches for i in range(batches)], 10_000)).first()[0]
@@ -470,9 +470,9 @@ def remove_repeats(
                 part = part.where(F.col("doc") >= low)
             if high is not None:
                 part = part.where(F.col("doc") < high)
-            suspects = divided(part, twins, bits, True)
+            suspects = twins.divided(part, True)
             cleared = suspects.join(gone, (F.col("doc") == F.col("_doc")) & (digest_ == F.col("_sha")), "left_anti")
-            own = divided(part, twins, bits, False).unionByName(cleared)
+            own = twins.divided(part, False).unionByName(cleared)
             more = family.add(own, low if low is not None else -(1 << 63), last=high is None)
             found = more if found is None else found.unionByName(more)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -505,30 +505,38 @@ def remove_repeats(
     lost = lost.unionByName(copies.select("doc", F.lit(None).cast(lost.schema["span"].dataType).alias("span"), "sha"))
     lost = lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("span").alias("spans"), F.collect_set("sha").alias("shas"))
     lost = stored(lost, "suffix-spans")
-    bitmap = bit_filter(lost.select(F.col("_doc").bitwiseAND(mask).alias("place")), bits)
-    rows = divided(every, bitmap, bits, True).join(lost, F.col("doc") == F.col("_doc"), "left")
+    losing = IdFilter(lost, "_doc", options.get("bits", 28))
+    rows = losing.divided(every, True).join(lost, F.col("doc") == F.col("_doc"), "left")
     rows = rows.select("doc", "text", F.coalesce(F.array_contains("shas", digest_), F.lit(False)).alias("copy"), "spans")
-    whole = divided(every, bitmap, bits, False).select(
+    whole = losing.divided(every, False).select(
         "doc", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans")
     )
     return arrow_pass(rows, schema, cut).unionByName(arrow_pass(whole, schema, cut))
 
 
-def divided(docs: DataFrame, bitmap: bytes, bits: int, passing: bool) -> DataFrame:
-    """Rows whose id passes a filter, or the others: only those that may change are joined."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    mask = (1 << bits) - 1
+class IdFilter:
+    """A Bloom filter of a table's ids, sent to the tasks once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            ids = batch.column("doc")
-            place = ids.fill_null(0).to_numpy() & mask
-            hit = ((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-            hit &= ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit == passing))
+    def __init__(self, ids: DataFrame, id_col: str, most: int):
+        bits = filter_bits(ids.count(), most)
+        self.mask = (1 << bits) - 1
+        bitmap = bit_filter(ids.select(F.col(id_col).bitwiseAND(F.lit(self.mask)).alias("place")), bits)
+        self.sent = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def divided(self, docs: DataFrame, passing: bool) -> DataFrame:
+        """Rows whose id passes, or the others: only those that may change are joined."""
+        sent, mask = self.sent, self.mask
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = np.frombuffer(sent.value, np.uint8)
+            for batch in batches:
+                ids = batch.column("doc")
+                place = ids.fill_null(0).to_numpy() & mask
+                hit = ((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+                hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == passing))
 
-    return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
