@@ -55,11 +55,13 @@ def ranked(found: np.ndarray, top: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, top: int) -> dict[str, np.ndarray]:
-    """Each language's n-grams in rank order."""
+    """Each language's n-grams in rank order, from about ``rows`` of its documents."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    total = known.select(id_col, lang_col).count()
-    share = min(1.0, rows / max(total, 1))
-    known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # A share of each language, so that a rare one keeps its profile however large the table is.
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
+    chosen = F.pmod(F.xxhash64("doc"), F.lit(1 << 52)) < F.col("share") * float(1 << 52)
+    known = known.join(share, "lang").where(chosen)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -72,7 +74,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: i
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = (
-        arrow_pass(known.select(lang_col, text_col), "lang string, gram long, n long", counts)
+        arrow_pass(known.select("lang", "text"), "lang string, gram long, n long", counts)
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(order))
@@ -110,7 +112,7 @@ def detect(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    learn_rows: int = 20_000,
+    learn_rows: int = 5_000,
     top: int = 300,
 ) -> DataFrame:
     """(doc, lang_pred, score) of every row of ``docs``."""

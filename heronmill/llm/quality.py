@@ -224,7 +224,7 @@ def fit(labelled: DataFrame, folds: int = 5, penalty: float = 0.3) -> Scorer | N
     return Scorer(kernel, ridge(sums.sum(0), penalty), isotonic((at + 0.5) / bins * 2 - 0.5, label, weight))
 
 
-def quality_scores(
+def judged(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -233,8 +233,8 @@ def quality_scores(
     modulus: int = 4,
     rest: int = 2,
     threshold: float = 0.7,
-) -> DataFrame:
-    """(doc, held_out, score, predicted) of every row of ``docs``."""
+) -> tuple[DataFrame, bool]:
+    """(doc, held_out, score, predicted) of every row of ``docs``, and whether there were labels to learn from."""
     rows = stored(measured(docs, id_col, text_col), "quality-statistics")
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -251,18 +251,24 @@ def quality_scores(
                 yield {"doc": batch.column("doc"), "score": s}
 
     out = arrow_pass(rows, "doc long, score double", score)
-    return out.select(
+    out = out.select(
         "doc",
         F.coalesce(held_out("doc", modulus, rest), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+    return out, scorer is not None
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *options, **named) -> DataFrame:
+    """(doc, held_out, score, predicted) of every row of ``docs``."""
+    return judged(docs, labels, *options, **named)[0]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose predicted label is 0."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select("doc")
-    return without_ids(docs, id_col, bad)
+    """``docs`` without the rows whose predicted label is 0; all of them if no label can be learned from."""
+    found, learned = judged(docs, labels, id_col, text_col)
+    return without_ids(docs, id_col, found.where("predicted = 0").select("doc")) if learned else docs
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -260,7 +260,8 @@ def toxicity_scores(
 
     rows = arrow_pass(docs.select(F.col(id_col).cast("long"), text_col), "doc long, x array<double>", scan)
     rows = stored(rows, "toxicity-features")
-    learn = rows.join(F.broadcast(sample), "doc").select("x", "y").toPandas()  # learn_rows at most
+    # One row for an id, so learn_rows at most; of several texts under one id, the least features.
+    learn = rows.join(F.broadcast(sample), "doc").groupBy("doc").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas()
     if learn.y.nunique() == 2:
         weights = logistic(np.array(learn.x.tolist()), learn.y.to_numpy(float))
     else:

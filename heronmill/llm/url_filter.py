@@ -4,11 +4,14 @@
    end, with A-Z in lower case; its path is what follows up to ``?``, ``#`` or the end.
    A rule ``host/path`` fits its host and all subdomains when the path starts with the
    rule's, which has the slash; the longest rule wins.
-2. Host labels and path parts are cut at what is not a letter. A unigram model of
-   words, counted over all urls and floored by the seed words, splits each piece by
-   Viterbi, so that names written together come apart. Pieces that hold a seed word
-   are no words of the model, so that they split at it, but for those of many hosts
-   that more than seed and common words make up: freedom, updating.
+2. Host labels and path parts are cut at what is not a letter; a run of digits stands for
+   its length. A unigram model of words, counted over all urls and floored by the seed
+   words, splits each piece by Viterbi, so that names written together come apart: what
+   is unknown costs much once and little for each letter, so a word is never split off
+   when the rest is unknown (pillowstore, specialist). Pieces that known words make up
+   completely, a seed word among them, are no words of the model, so that they do split
+   (cheappills), but for those of many hosts that more than seed and common words make
+   up: freedom, updating.
 3. Multinomial naive Bayes is learned from all distinct hosts and path words: a url
    whose segmented words hold a seed word of a class is an example of that class,
    and one without is an example of allow. Its word counts are sums over urls.
@@ -49,8 +52,10 @@ BLOCK_SEEDS = frozenset(
 )
 #: Words that are not to be split, and carry no sign of either class.
 COMMON = frozenset("www blog news shop mail mobile example index html page feed wiki docs home en de fr es com net org".split())
-PIECE = re.compile(r"[^\W\d_]+")
+PIECE = re.compile(r"[^\W\d_]+|\d+")
 COMPOUND = re.compile(f"(?:{'|'.join(sorted(BLOCK_SEEDS | COMMON))})+")
+#: Words that the shares of both classes together weigh as much as.
+SMOOTHING = 10
 #: Hosts that a word of the language is found in; names of sites are found in fewer.
 MANY_HOSTS = 10
 
@@ -98,8 +103,8 @@ class Segmenter:
             cost, start = math.inf, end - 1
             for begin in range(max(0, end - self.longest), end):
                 word = piece[begin:end]
-                # An unknown word costs by its letters, so that it stays in one piece.
-                own = self.cost.get(word, self.unknown + 4.0 * len(word))
+                # Fewer letters of an unknown word never pay for one more word.
+                own = self.cost.get(word, self.unknown + 0.1 * len(word))
                 if best[begin] + own < cost:
                     cost, start = best[begin] + own, begin
             best.append(cost)
@@ -112,7 +117,19 @@ class Segmenter:
 
 
 def pieces_of(host: str, path: str) -> list[str]:
-    return PIECE.findall(host) + PIECE.findall(path.lower())
+    return [f"#{len(p)}" if p.isdigit() else p for p in PIECE.findall(host) + PIECE.findall(path.lower())]
+
+
+def compound(word: str, known: dict[str, int]) -> bool:
+    """Whether ``word`` is two or more words of ``known`` in a row, a seed among them."""
+    # For each place: whether known words reach it without a seed, and with one.
+    reach = [{False}] + [set() for _ in word]
+    for end in range(1, len(word) + 1):
+        for begin in range(max(0, end - 20), end):
+            part = word[begin:end]
+            if reach[begin] and part != word and len(part) > 1 and part in known:
+                reach[end] |= {seen or part in BLOCK_SEEDS for seen in reach[begin]}
+    return True in reach[-1]
 
 
 def summed(found: DataFrame) -> list:
@@ -155,7 +172,8 @@ def learn(urls: DataFrame) -> tuple[dict[str, int], dict[str, tuple[float, float
     # Seed words are at least as likely as a frequent piece, so names split at them.
     floor = max(10, sum(counts.values()) // 1000)
     kept = own_words(urls)
-    words = {w: n for w, n in counts.items() if w in kept or not holds_seed(w)}
+    known = counts | dict.fromkeys(BLOCK_SEEDS | COMMON, floor)
+    words = {w: n for w, n in counts.items() if w in kept or not holds_seed(w) or not compound(w, known)}
     words |= {w: max(words.get(w, 0), floor) for w in BLOCK_SEEDS | COMMON}
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -174,10 +192,13 @@ def learn(urls: DataFrame) -> tuple[dict[str, int], dict[str, tuple[float, float
     rows = summed(arrow_pass(urls, "word string, n long, m long", examples))
     urls_all, urls_block = next(((r.n, r.m) for r in rows if r.word == ""), (0, 0))
     rows = [r for r in rows if r.word]
-    size = len(rows) + 1
-    allow = sum(r.n - r.m for r in rows) + size
-    block = sum(r.m for r in rows) + size
-    odds = {r.word: (math.log((r.n - r.m + 1) / allow), math.log((r.m + 1) / block)) for r in rows}
+    every, block = sum(r.n for r in rows), sum(r.m for r in rows)
+
+    def likelihood(n: int, of: int, all_n: int) -> float:
+        """Smoothed towards the word's share of both classes, so that rare words favour no class by its size."""
+        return math.log((n + SMOOTHING * all_n / every) / (of + SMOOTHING))
+
+    odds = {r.word: (likelihood(r.n - r.m, every - block, r.n), likelihood(r.m, block, r.n)) for r in rows}
     priors = (math.log((urls_all - urls_block + 1) / (urls_all + 2)), math.log((urls_block + 1) / (urls_all + 2)))
     return words, odds, priors
 
@@ -196,7 +217,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             verdicts = []
             for host, path, known in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "fixed"))):
                 if known is None:
-                    own = [odds[w] for p in pieces_of(host, path) for w in cut(p) if w in odds]
+                    own = [odds[w] for p in pieces_of(host, path) for w in cut(p) if w in odds and w not in COMMON]
                     allow = priors[0] + sum(o[0] for o in own)
                     block = priors[1] + sum(o[1] for o in own)
                     known = "block" if block > allow else "allow"

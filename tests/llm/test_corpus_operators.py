@@ -1,10 +1,14 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashes."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
+from collections import Counter
+from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -267,6 +271,68 @@ def test_words_that_contain_seeds(spark):
     assert got == ["allow"] * 120 + ["block"] * 20
 
 
+def test_rules_equal_sql(spark):
+    urls = [None, "", "http://", "x://A.COM", "http://example.com/en/", "http://a.example.com/en", "http://b.net/es/x?y", "http://net/fr/", "ftp://www.example.com/en/q#z", "http://com/", "http://xcom/", "http://h/?//p", "HTTP://Ä.Com/É", "a://b://c/d", "http://x.net/es" + "/long" * 5000] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((r.page_id, r.host, r.path, r.rule) for r in url_filter.digest(df).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    con.execute("CREATE TABLE rules (rule VARCHAR)")
+    con.executemany("INSERT INTO rules VALUES (?)", [(r,) for r, _ in url_filter.RULES])
+    want = con.execute("""
+        WITH u AS (
+          SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), h AS (
+          SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+        )
+        SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM rules
+          WHERE (h.host = split_part(rule, '/', 1) OR ends_with(h.host, '.' || split_part(rule, '/', 1)))
+            AND starts_with(h.path, substr(rule, instr(rule, '/')))) AS rule
+        FROM h ORDER BY page_id""").fetchall()
+    assert got == [tuple(r) for r in want]
+
+
+def test_ordinary_hosts_that_hold_seeds(spark):
+    """Planted hosts that no rule fits: all compounds of seeds go, all words that merely hold one stay."""
+    clean = ["www.pillowstore.org", "www.specialist-doctor.org", "www.socialistreview.org", "essex-county.org", "pokerface-band.org", "betterbread.org"]
+    bad = ["cheap-pills.org", "cheappills.org", "free-casino.org", "freecasino.org", "xxx-cams.org", "payday-loans.org"]
+    urls = [f"http://blog.site{chr(97 + k % 26)}.org/en/{k}" for k in range(400)]
+    urls += [f"http://{h}/en/1" for h in (*clean, *bad)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.verdict for r in url_filter.digest(df).orderBy("page_id").collect()]
+    assert got == ["allow"] * 406 + ["block"] * 6
+
+
+def test_viterbi_equals_brute_force():
+    counts = {"ab": 9, "a": 4, "b": 3, "abc": 2, "ca": 5, "bca": 1}
+    cut = url_filter.Segmenter(counts)
+
+    def cost(words):
+        return sum(cut.cost.get(w, cut.unknown + 0.1 * len(w)) for w in words)
+
+    for word in ("abcab", "zzab", "abcabca", "a", "xyz", "cabcab"):
+        every = [[word[i:j] for i, j in zip((0, *c), (*c, len(word)))] for k in range(len(word)) for c in combinations(range(1, len(word)), k)]
+        assert math.isclose(cost(cut(word)), min(map(cost, every)))
+
+
+def test_naive_bayes_equals_brute_force(spark):
+    urls = [("a.org", "/x/y"), ("casino.org", "/x"), ("b.org", "/y/y"), ("casino.org", "/z")]
+    df = spark.createDataFrame(urls, "host string, path string")
+    words, odds, priors = url_filter.learn(df)
+    cut = url_filter.Segmenter(words)
+    own = [[w for p in url_filter.pieces_of(*u) for w in cut(p)] for u in urls]
+    block = [not url_filter.BLOCK_SEEDS.isdisjoint(o) for o in own]
+    for kind in (0, 1):
+        bag = [w for o, b in zip(own, block) if b == kind for w in o]
+        assert math.isclose(priors[kind], math.log((block.count(bool(kind)) + 1) / (len(urls) + 2)))
+        every = [w for o in own for w in o]
+        for w in set(every):
+            share = every.count(w) / len(every)
+            assert math.isclose(odds[w][kind], math.log((bag.count(w) + 10 * share) / (len(bag) + 10)))
+
+
 # 5 benchmark decontamination
 
 
@@ -362,6 +428,96 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got.values())
 
 
+def test_automaton_equals_edit_distance():
+    """Random words of four letters against every term: one edit after the first letter, terms of five letters or more."""
+    rnd = random.Random(12)
+    terms = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 7))): 1.0 + k / 100 for k in range(40)}
+    lexicon = toxicity.Lexicon(terms, {})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(3000):
+        word = "".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 8)))
+        near = [w for t, w in terms.items() if len(t) >= 5 and t[0] == word[0] and edits(t[1:], word[1:]) == 1]
+        want = (terms[word], 2) if word in terms else (max(near), 1) if near else (0.0, 0)
+        assert lexicon.match(word) == want, word
+
+
+def test_distance_equals_brute_force():
+    rnd = random.Random(3)
+    texts = {k: "".join(rnd.choice("abcdefg ") for _ in range(400)) for k in ("x", "y", "z")}
+
+    def profile(text, top):
+        words = " " + " ".join(text.lower().split()) + " "
+        every = [words[i : i + n] for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        counts = Counter(g for g in every if g != " " and not (len(g) == 3 and g[1] == " "))
+        # Ties stand in the order of code points packed from the left, 21 bits each.
+        return sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))))[:top]
+
+    ranks = {k: language_id.ranked(language_id.grams(t), 50) for k, t in texts.items()}
+    model = language_id.OutOfPlace(ranks, 50)
+    for _ in range(20):
+        text = "".join(rnd.choice("abcdefg ") for _ in range(60)) + "a"
+        own = profile(text, 50)
+        want = []
+        for k in sorted(texts):
+            at = {g: i for i, g in enumerate(profile(texts[k], 50))}
+            want.append(sum(min(50, abs(at[g] - i)) if g in at else 50 for i, g in enumerate(own)))
+        assert model(language_id.ranked(language_id.grams(text), 50)).tolist() == want
+
+
+def test_rare_languages_keep_a_profile(spark):
+    rows = [(i, "the dog and the cat " * 3, "en") for i in range(3000)] + [(9000 + i, "ja sam pas i mačka " * 3, "hr") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.detect(df, df, learn_rows=10).where("doc >= 9000").collect()
+    assert [r.lang_pred for r in got] == ["hr"] * 3
+    assert language_id.detect(df.limit(0), df.limit(0)).count() == 0
+    twice = language_id.detect(df.where("doc_id < 2").unionByName(df.where("doc_id < 2")), df, learn_rows=10)
+    assert twice.count() == 4
+
+
+def test_normal_equations_equal_a_dense_solve(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((300, 4)), rng.integers(0, 2, 300).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(v)) for i, (r, v) in enumerate(zip(x, y))], "doc long, x array<double>, y double")
+    mean, spread = quality.moments(df)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(spread, x.std(0))
+    kernel = quality.Kernel(mean, spread)
+    sums = quality.normal_equations(df.repartition(5).select("x", "y", (F.col("doc") % 3).cast("int").alias("fold")), kernel, 3)
+    z = kernel(x)
+    for k in range(3):
+        some = np.arange(300) % 3 == k
+        assert np.allclose(sums[k], np.c_[z, y][some].T @ np.c_[z, y][some])
+    dense = np.linalg.lstsq(np.r_[z, np.sqrt(0.3) * np.eye(z.shape[1])], np.r_[y, np.zeros(z.shape[1])], rcond=None)[0]
+    assert np.allclose(quality.ridge(sums.sum(0), 0.3), dense)
+
+
+def test_without_labels_all_documents_stay(spark):
+    docs = documents(spark, [*TEXTS, "x"], [*range(len(TEXTS)), None])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep_good(docs, labels).count() == len(TEXTS) + 1
+
+
+def test_classifiers_take_odd_tables(spark):
+    """Null and repeated ids, a very long text, empty tables: one row out for each row in, equal rows alike."""
+    docs = documents(spark, ["you idiot " * 30_000, "same text", "same text", "null id"], [1, 2, 2, None])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    for found in (toxicity.digest(docs, labels), quality.digest(docs, labels)):
+        rows = found.collect()
+        assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 2]
+        assert len({r.score for r in rows if r.doc_id == 2}) == 1 and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.digest(docs.limit(0), labels).count() == 0 and quality.digest(docs.limit(0), labels).count() == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))
+    assert url_filter.digest(pages).count() == 4 and language_id.digest(docs).count() == 4
+
+
 def test_isotonic_rises():
     at, value = quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
     assert (np.diff(value) >= 0).all() and len(at) == len(value)
