@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+All stages take any columns besides ``doc_id`` and ``text``, and every stage but the last returns
+the columns it got. Defined cases of every stage: an empty table gives an empty table; rows with a
+null id stay, since no decision names them; null and empty texts are texts without words; rows that
+repeat an id share its decisions, and ties go to the smallest id.
+"""
 
 from __future__ import annotations
 
@@ -14,18 +20,20 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; all stay where no label can be learned from."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go from the text; ``n_chars`` follows it."""
-    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(docs.columns)
+    """Lines that an earlier document has go from the text; ``n_chars``, if there, follows it."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays."""
+    """One document of each group of similar ones stays, the one with the smallest id."""
     return jaccard_join.keep_first(docs)
 
 
@@ -35,18 +43,15 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, their number, and whether they decode to the text again."""
+    """All columns but the text, with its token ids, their number, and whether they decode to it again.
+
+    Columns of ``docs`` that have one of the three names give way.
+    """
     vocab = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocab)
+    out = byte_bpe.encode(docs.drop("n_tokens", "ids", "round_trip"), vocab)
     same = byte_bpe.decode(F.col("ids"), vocab) == F.coalesce("text", F.lit("")).cast("binary")
-    return out.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.transform("ids", lambda i: i.cast("int")).alias("ids"),
-        same.alias("round_trip"),
-    )
+    out = out.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": same})
+    return out.drop("text")
 
 
 STAGES = [
