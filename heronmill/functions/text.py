@@ -61,6 +61,13 @@ def query_text(text: Column) -> Column:
     return F.coalesce(F.nullif(strip_request(plain), F.lit("")), plain)
 
 
+def sentence_count(text: Column) -> Column:
+    """How many sentences ``sentences`` gives: one for each end, and one more after the last end."""
+    ends = F.char_length(text) - F.char_length(F.translate(text, SENTENCE_ENDS, ""))
+    rest = (text != "") & ~F.contains(F.lit(SENTENCE_ENDS), F.right(text, F.lit(1)))
+    return (ends + rest.cast("int")).cast("long")
+
+
 def sentences(text: Column) -> Column:
     """Sentences with their ends."""
     ends = SENTENCE_ENDS.replace("\n", r"\n")

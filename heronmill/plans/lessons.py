@@ -75,11 +75,11 @@ def packed(spark, sf_dir):
 
 @query(
     "k09_generation_parts",
-    """SELECT conv_id, turn, nullif(trim(left(text, 30)), '') AS content, role AS action, CASE WHEN turn % 2 = 0 THEN 'a' || turn END AS speaker FROM conversations""",
+    """SELECT conv_id, turn, nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '') AS content, role AS action, CASE WHEN turn % 2 = 0 THEN 'a' || turn END AS speaker FROM conversations""",
 )
 def generations(spark, sf_dir):
     tail = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<next_speaker>a"), F.col("turn").cast("string"), F.lit("</next_speaker>"))).otherwise("")
-    text = F.concat(F.lit("<content>"), F.left("text", F.lit(30)), F.lit("</content>\n<next_action>"), "role", F.lit("</next_action>"), tail)
+    text = F.concat(F.lit("<content>"), "text", F.lit("</content>\n<next_action>"), "role", F.lit("</next_action>"), tail)
     parts = M.generation_parts(text)
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", parts["content"].alias("content"), parts["action"].alias("action"), parts["speaker"].alias("speaker")
@@ -124,11 +124,10 @@ def embedding_status(spark, sf_dir):
 
 @query(
     "c20_first_match_or_fallback",
-    """SELECT l_orderkey, l_linenumber, coalesce(p_name, 'page ' || l_linenumber) AS title FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 10
-    WHERE l_quantity > 47""",
+    """SELECT l_orderkey, l_linenumber, coalesce(p_name, 'page ' || l_linenumber) AS title FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 10""",
 )
 def titles(spark, sf_dir):
     parts = table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", "p_name")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 47")
+    lines = table(spark, sf_dir, "lineitem")
     title = F.coalesce("p_name", F.concat(F.lit("page "), F.col("l_linenumber").cast("string")))
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", title.alias("title"))

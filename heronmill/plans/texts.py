@@ -48,8 +48,7 @@ def checksums(spark, sf_dir):
     r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?s)[^。！？；…\n.!?;]*[。！？；…\n.!?;]|[^。！？；…\n.!?;]+$'), lambda s: s <> '')) AS n FROM documents""",
 )
 def sentence_count(spark, sf_dir):
-    n = F.size(F.filter(X.sentences(F.col("text")), lambda s: s != "")).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.sentence_count(F.col("text")).alias("n"))
 
 
 @query(
@@ -78,12 +77,12 @@ def front_titles(spark, sf_dir):
 
 @query(
     "h02_half_width",
-    """SELECT doc_id, trim(regexp_replace(left(text, 50), '\\s+', ' ', 'g')) AS plain FROM documents""",
+    """SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain FROM documents""",
 )
 def half_width(spark, sf_dir):
     """ASCII is sent as full-width text and comes back."""
     ascii_ = "".join(chr(c) for c in range(0x21, 0x7F))
-    wide = F.translate(F.left("text", F.lit(50)), ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
+    wide = F.translate("text", ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
     return table(spark, sf_dir, "documents").select("doc_id", X.half_width(wide).alias("plain"))
 
 
