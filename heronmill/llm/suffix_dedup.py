@@ -120,18 +120,28 @@ class Anchors:
             yield h[at[first]].view(np.int64), context.view(np.int64), first + begin, last + begin, at[first] - first
 
 
-def index_entries(docs: DataFrame, length: int) -> DataFrame:
-    """(key, context, doc, lo, hi): the anchors of a batch and the strings that they stand for."""
+def index_entries(docs: DataFrame, length: int, but: IdFilter | None = None) -> DataFrame:
+    """(key, context, doc, lo, hi): the anchors of a batch and the strings that they stand for.
+
+    Rows whose id passes the filter ``but`` are left out.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         find = Anchors(length)
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for key, context, lo, hi, _ in find(np.frombuffer(text.as_buffer(), np.uint8)):
-                    parts.append((key, context, np.full(len(key), doc), lo, hi))
-            if parts:
-                yield dict(zip(("key", "context", "doc", "lo", "hi"), map(np.concatenate, zip(*parts))))
+            ids = batch.column(0).to_numpy()
+            some = range(len(ids)) if but is None else np.flatnonzero(~but.passes(ids)).tolist()
+            for i in some:
+                for key, context, lo, hi, _ in find(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)):
+                    parts.append((key, context, np.full(len(key), ids[i]), lo, hi))
+                    held += len(key)
+                if held > 100_000:
+                    yield dict(zip(("key", "context", "doc", "lo", "hi"), map(np.concatenate, zip(*parts))))
+                    parts, held = [], 0
+        if parts:
+            yield dict(zip(("key", "context", "doc", "lo", "hi"), map(np.concatenate, zip(*parts))))
 
     return arrow_pass(docs.select("doc", "text"), ENTRY, scan)
 
@@ -386,15 +396,19 @@ class SuffixIndexFamily:
         self.levels: list[tuple[int, DataFrame, Scratch]] = []
         self.docs: DataFrame | None = None
 
-    def add(self, docs: DataFrame, from_doc: int, last: bool = False) -> DataFrame:
+    def add(self, docs: DataFrame, from_doc: int, last: bool = False, but: IdFilter | None = None, cleared: DataFrame | None = None) -> DataFrame:
         """Index (doc, text) rows, whose ids are ``from_doc`` or more and above those before.
 
+        Rows whose id passes the filter ``but`` are indexed only if they are among ``cleared``.
+
         Returns the runs of repeated strings that start in them. After the ``last``
         batch no level is needed any more, so none is written.
         """
         spark = docs.sparkSession
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
-        entries = index_entries(docs, self.length)
+        entries = index_entries(docs, self.length, but)
+        if cleared is not None:
+            entries = entries.unionByName(index_entries(cleared, self.length))
         for _, level, _ in self.levels:
             entries = entries.unionByName(level)
         scratch = Scratch(spark)
@@ -472,8 +486,7 @@ def remove_repeats(
                 part = part.where(F.col("doc") < high)
             suspects = twins.divided(part, True)
             cleared = suspects.join(gone, (F.col("doc") == F.col("_doc")) & (digest_ == F.col("_sha")), "left_anti")
-            own = twins.divided(part, False).unionByName(cleared)
-            more = family.add(own, low if low is not None else -(1 << 63), last=high is None)
+            more = family.add(part, low if low is not None else -(1 << 63), high is None, twins, cleared)
             found = more if found is None else found.unionByName(more)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -523,17 +536,19 @@ class IdFilter:
         bitmap = bit_filter(ids.select(F.col(id_col).bitwiseAND(F.lit(self.mask)).alias("place")), bits)
         self.sent = ids.sparkSession.sparkContext.broadcast(bitmap)
 
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        place = ids & self.mask
+        bitmap = np.frombuffer(self.sent.value, np.uint8)
+        return ((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
     def divided(self, docs: DataFrame, passing: bool) -> DataFrame:
         """Rows whose id passes, or the others: only those that may change are joined."""
-        sent, mask = self.sent, self.mask
+        passes = self.passes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = np.frombuffer(sent.value, np.uint8)
             for batch in batches:
                 ids = batch.column("doc")
-                place = ids.fill_null(0).to_numpy() & mask
-                hit = ((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-                hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+                hit = passes(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(hit == passing))
 
         return docs.mapInArrow(run, docs.schema)
