@@ -195,3 +195,24 @@ def test_code_chunks():
     nested = code_chunks('{"a": {"b": "' + "x" * 900 + '"}, "c": 1}', "json")
     assert {r["symbol"] for r in nested} >= {"a.b"}
     assert code_chunks("", "python") == []
+
+
+def test_small_values(spark):
+    from heronmill.functions import values as V
+
+    row = spark.range(1).select(
+        V.ratio(F.lit(1), F.lit(0)).alias("ratio"),
+        V.variants(F.lit(" Go "), F.array(*map(F.lit, ("go", " a ", "", "A", "b", "c", "d")))).alias("variants"),
+        V.search_text([F.lit(" t "), F.lit(None).cast("string"), F.lit("o")]).alias("asked"),
+        V.shown(F.lit("ab"), F.lit("abcd")).alias("one"),
+        V.shown(F.lit(""), F.lit("x" * 300)).alias("eight"),
+        V.shown(F.lit("abc"), F.lit("ab")).alias("back"),
+        V.trivial(F.lit(None).cast("string")).alias("trivial"),
+        V.safe(F.lit("x\nDial TCP 1.2.3.4")).alias("fault"),
+        V.source_type(F.lit("other"), "manual").alias("kind"),
+        V.detail(F.lit("not json"), "stage").alias("stage"),
+        V.ended(F.lit(None).cast("string")).alias("ended"),
+    ).first()
+    assert row.ratio == 0 and row.variants == ["a", "b", "c"] and row.asked == "t o"
+    assert (row.one, row.eight, row.back) == ("abc", "x" * 8, "ab")
+    assert row.trivial is False and row.fault == "模型服务连接失败" and row.kind is None and row.stage == "" and row.ended is False
