@@ -234,7 +234,7 @@ def surroundings(docs: DataFrame, length: int, wanted: bytes, owners: bytes, bit
                     out["at"] += lo[some].tolist()
                     out["ahead"] += ahead[some].tolist()
                     out["around"] += [raw[a : b + length].tobytes() for a, b in zip(lo[some], hi[some])]
-                if len(out["key"]) > 50_000:
+                if len(out["key"]) > 10_000:
                     yield out
                     out = {"key": [], "doc": [], "at": [], "ahead": [], "around": []}
             yield out
@@ -266,7 +266,7 @@ def repeats(around: DataFrame, length: int, from_doc: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rolling = Rolling()
-        for table in whole_groups(batches, ["key"], rows=6_000):
+        for table in whole_groups(batches, ["key"], rows=3_000):
             raw, row, step, place = strings_of(table, length)
             doc = table.column("doc").to_numpy()[row]
             start = table.column("at").to_numpy()[row] + step
@@ -491,7 +491,7 @@ def remove_repeats(
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches_:
+        for batch in (b.slice(k, 500) for b in batches_ for k in range(0, len(b), 500)):
             out: dict[str, list] = {"doc": batch.column("doc"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
             for text, copy, spans in zip(
                 batch.column("text"), batch.column("copy").to_pylist(), batch.column("spans").to_pylist()
