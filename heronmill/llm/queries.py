@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from heronmill.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sql, suffix_dedup, toxicity, url_filter
+from heronmill.llm import (
+    byte_bpe,
+    decontaminate,
+    embedding_dedup,
+    fill_middle,
+    importance,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    pii,
+    quality,
+    sql,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +75,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
 QUERIES["op2_jaccard_join"] = op2_jaccard_join
 QUERIES["op3_embedding_dedup"] = op3_embedding_dedup
@@ -70,7 +97,12 @@ QUERIES["op8_language_id"] = op8_language_id
 QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 QUERIES["op10_quality"] = op10_quality
+QUERIES["op11_importance"] = op11_importance
+QUERIES["op12_fill_middle"] = op12_fill_middle
+QUERIES["op13_pii"] = op13_pii
 ORACLES["op2_jaccard_join"] = sql.JACCARD_JOIN
 ORACLES["op3_embedding_dedup"] = sql.EMBEDDING_DEDUP
 ORACLES["op5_decontaminate"] = sql.DECONTAMINATE
 ORACLES["op7_line_dedup"] = sql.LINE_DEDUP
+ORACLES["op11_importance"] = sql.IMPORTANCE
+ORACLES["op12_fill_middle"] = sql.FILL_MIDDLE

@@ -98,3 +98,71 @@ SELECT e.doc_id, least(e.doc_id, coalesce(n.twin, e.doc_id)) AS class_id, coales
   coalesce(r.root, e.doc_id) AS component_id, e.doc_id = coalesce(r.root, e.doc_id) AS kept
 FROM documents e LEFT JOIN n ON e.doc_id = n.id LEFT JOIN root r ON e.doc_id = r.id
 """
+
+IMPORTANCE = r"""
+WITH byte AS (
+  SELECT b, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS t
+  FROM (SELECT unnest(range(0, 256)) AS b)
+), crc AS (
+  SELECT list(t ORDER BY b) AS t FROM byte
+), words AS (
+  SELECT doc_id, row, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, text, row_number() OVER () AS row, false AS target FROM documents
+        UNION ALL SELECT NULL, text, row_number() OVER (), true FROM benchmark)
+), grams AS (
+  SELECT row, target, w[i] AS g FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)
+  UNION ALL SELECT row, target, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)
+  UNION ALL SELECT row, target, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM words)
+), counted AS (
+  SELECT row, target, g, count(*) AS n FROM grams GROUP BY ALL
+), hashed AS (
+  SELECT g, xor(4294967295, list_reduce(
+    list_transform(range(1, octet_length(encode(g)) + 1), lambda i: ('0x' || substr(hex(encode(g)), 2 * i - 1, 2))::BIGINT),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM counted), crc
+), placed AS (
+  SELECT row, target, bucket, n FROM counted JOIN hashed USING (g)
+), own AS (
+  SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t
+  FROM placed GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM own) + 10000))
+    / ((s + 1) * ((SELECT sum(t) FROM own) + 10000))))::BIGINT AS gain FROM own
+), summed AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM placed JOIN gain USING (bucket) WHERE NOT target GROUP BY row
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+      + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN summed USING (row) WHERE NOT words.target
+), drawn AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20
+    ORDER BY score DESC, doc_id NULLS LAST, weight DESC, n_features DESC) END AS place,
+    5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS most FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM drawn
+"""
+
+FILL_MIDDLE = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), hashed AS (
+  SELECT doc_id, text, u, len(u) AS n,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS h FROM cut
+), chosen AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100
+      THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM hashed
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:n], '') AS s FROM chosen
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
