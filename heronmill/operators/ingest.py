@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
 
-from heronmill.functions import chunking, classify
+from heronmill.functions import classify
 from heronmill.functions import text as X
+from heronmill.operators import chunks as C
 from heronmill.operators import tables
+from heronmill.sources.storage import stored
 
 DIMENSIONS = 64
 
@@ -19,17 +21,19 @@ DIMENSIONS = 64
 @pandas_udf(ArrayType(FloatType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """The offline default of an embedding service: hashed character trigrams, of length one."""
-
-    def one(text: str) -> np.ndarray:
-        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        out = np.zeros(DIMENSIONS)
-        if len(codes) >= 3:
-            h = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1] * np.uint64(0x85EBCA77) + codes[2:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            out += np.bincount((h >> np.uint64(40)) % np.uint64(DIMENSIONS), 1.0 - 2.0 * ((h >> np.uint64(33)) & np.uint64(1)), DIMENSIONS)
-        norm = np.linalg.norm(out)
-        return (out / norm if norm else out).astype(np.float32)
-
-    return texts.map(one)
+    lower = texts.fillna("").str.lower().tolist()
+    sizes = np.array([len(t) for t in lower])
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    out = np.zeros((len(lower), DIMENSIONS))
+    if len(codes) >= 3:
+        row = np.repeat(np.arange(len(lower)), sizes)
+        h = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1] * np.uint64(0x85EBCA77) + codes[2:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        own = row[:-2] == row[2:]  # no trigram goes from a text to the next one
+        slot = row[:-2] * DIMENSIONS + ((h >> np.uint64(40)) % np.uint64(DIMENSIONS)).astype(np.int64)
+        sign = 1.0 - 2.0 * ((h >> np.uint64(33)) & np.uint64(1))
+        out += np.bincount(slot[own], sign[own], out.size).reshape(out.shape)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return pd.Series(list((out / np.where(norm == 0, 1, norm)).astype(np.float32)))
 
 
 def register(existing: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,14 +63,14 @@ def recovery_stage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their state, their chunks, and the chunks' vectors."""
-    chunks = chunking.chunk_documents(docs, "doc_id", "text")
+    chunks = stored(C.chunk_documents(docs, "doc_id", "text"), "chunks")
     counts = chunks.groupBy("document_id").count()
     state = (
         docs.join(counts, F.col("doc_id") == F.col("document_id"), "left")
         .withColumn("n_chunks", F.coalesce("count", F.lit(0)))
         .withColumn(
             "error",
-            F.when(F.col("n_chunks") == 0, "empty").when(F.col("n_chunks") > chunking.MOST_CHUNKS, "too many chunks"),
+            F.when(F.col("n_chunks") == 0, "empty").when(F.col("n_chunks") > C.MOST_CHUNKS, "too many chunks"),
         )
         .select(
             "doc_id",

@@ -4,18 +4,48 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heronmill.functions import classify as C
-from heronmill.functions.chunking import chunk_documents
 from heronmill.operators import ingest as I
 from heronmill.operators import pages as P
+from heronmill.operators.chunks import chunk_documents
+from heronmill.operators.sections import section_tree
 from heronmill.operators.tables import violations
 from heronmill.plans.registry import query, table
 from heronmill.streaming import events as S
 
 
+def _markdown(spark, sf_dir):
+    """Documents of which some lines are headings of three levels and some have an empty line behind them."""
+    mark = lambda i: F.when(i % 7 == 1, "# ").when(i % 7 == 3, "## ").when(i % 7 == 5, "#### ").otherwise("")
+    lines = F.transform(
+        F.split("text", "\n"), lambda t, i: F.concat(mark(i), t, F.when(i % 11 == 10, "\n").otherwise(""))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
 def _chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    head = F.concat(F.lit("# Part "), (F.col("doc_id") % 7).cast("string"), F.lit("\n\n"), "text", F.lit("\n\n## End\n\n"), F.left("text", F.lit(900)))
-    return chunk_documents(docs.select("doc_id", head.alias("text")), "doc_id", "text")
+    return chunk_documents(_markdown(spark, sf_dir), "doc_id", "text")
+
+
+@query(
+    "j02_section_tree",
+    """WITH l AS (SELECT doc_id, i, line, CASE i % 7 WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 4 ELSE 0 END AS level
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+    s AS (SELECT *, CASE WHEN level = 0 AND (i = 0 OR lag(level) OVER w > 0 OR (i - 1) % 11 = 10) THEN 1 ELSE 0 END AS begins FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM s),
+    b AS (SELECT doc_id, min(i) AS i, length(trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(13))) AS n FROM g WHERE level = 0 GROUP BY doc_id, block),
+    h AS (SELECT doc_id, i, level, trim(line) AS heading,
+        max(CASE WHEN level = 1 THEN i END) OVER w AS a1, max(CASE WHEN level = 2 THEN i END) OVER w AS a2
+      FROM l WHERE level > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    t AS (SELECT h.*, o.heading AS h1, CASE WHEN h.a2 > h.a1 THEN p.heading END AS h2,
+        (SELECT min(n.i) FROM h n WHERE n.doc_id = h.doc_id AND n.i > h.i AND n.level <= h.level) AS upto
+      FROM h LEFT JOIN h o ON o.doc_id = h.doc_id AND o.i = h.a1 LEFT JOIN h p ON p.doc_id = h.doc_id AND p.i = h.a2)
+    SELECT t.doc_id AS document_id, level, heading, CASE level WHEN 1 THEN heading WHEN 2 THEN h1 || '/' || heading
+        ELSE CASE WHEN h2 IS NULL THEN h1 ELSE h1 || '/' || h2 END || '/' || heading END AS section_path,
+      (sum(n) + 2 * (count(*) - 1))::BIGINT AS chars
+    FROM t JOIN b ON b.doc_id = t.doc_id AND b.i > t.i AND b.i < coalesce(t.upto, 1000000000) AND b.n > 0 GROUP BY t.doc_id, t.i, level, heading, h1, h2""",
+)
+def sections(spark, sf_dir):
+    return section_tree(_markdown(spark, sf_dir), "doc_id", "text").drop("section")
 
 
 @query("i14_classify")
@@ -46,6 +76,20 @@ def outline_sections(spark, sf_dir):
     return P.outline_by_section(_chunks(spark, sf_dir))
 
 
+@query(
+    "d12_outline_of_roles",
+    """SELECT conv_id AS document_id, role AS section_path, min(turn) AS first_chunk, sum(length(text))::BIGINT AS chars, count(*) AS n_chunks,
+      left(arg_min(text, turn), 60) AS preview FROM conversations WHERE role <> '' GROUP BY conv_id, role""",
+)
+def outline_of_roles(spark, sf_dir):
+    """Turns as chunks and roles as their sections."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("section_path"),
+        F.col("text").alias("content"), F.char_length("text").cast("long").alias("character_count"),
+    )
+    return P.outline_by_section(rows)
+
+
 @query(
     "d13_outline_windows",
     """SELECT conv_id AS document_id, '第 ' || (turn // 5 + 1) || ' 段' AS title, sum(length(text))::BIGINT AS chars, left(arg_min(text, turn), 60) AS preview
@@ -69,10 +113,19 @@ def chunk_vectors(spark, sf_dir):
     return I.ingest(table(spark, sf_dir, "documents"))[2]
 
 
-@query("a21_vector_violations", "SELECT 0::BIGINT AS document_id, 0 AS chunk_index, '' AS problem WHERE false")
+@query(
+    "a21_vector_violations",
+    """WITH c AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS i FROM lineitem),
+    v AS (SELECT d, CASE WHEN d % 40 = 1 THEN i + 100 ELSE i END AS i FROM c WHERE (d + i) % 9 <> 0)
+    SELECT d AS document_id, i AS chunk_index, 'no vector' AS problem FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.d = c.d AND v.i = c.i)
+    UNION ALL SELECT d, i, 'no chunk' FROM v WHERE NOT EXISTS (SELECT 1 FROM c WHERE v.d = c.d AND v.i = c.i)""",
+)
 def vector_violations(spark, sf_dir):
-    _, chunks, vectors = I.ingest(table(spark, sf_dir, "documents"))
-    return I.vector_violations(chunks, vectors)
+    """Lines as chunks; some have no vector, some vectors have an index of no chunk."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index")).distinct()
+    moved = F.when(F.col("document_id") % 40 == 1, F.col("chunk_index") + 100).otherwise(F.col("chunk_index"))
+    vectors = lines.where("(document_id + chunk_index) % 9 <> 0").withColumn("chunk_index", moved)
+    return I.vector_violations(lines, vectors)
 
 
 def _plans(spark, sf_dir):

@@ -5,7 +5,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from heronmill.functions import chunking
 from heronmill.functions import classify as C
 from heronmill.functions import html as H
 from heronmill.functions import json_values as J
@@ -96,18 +95,6 @@ def test_classify(spark, text, path, kind, language):
     assert (found.kind, found.language) == (kind, language)
 
 
-def test_chunks():
-    assert chunking.chunks_of(None) == [] and chunking.chunks_of(" \n") == []
-    rows = chunking.chunks_of("# A\n\nshort\n\n## B\n\n" + "One sentence here. " * 200)
-    assert [r["chunk_index"] for r in rows] == list(range(len(rows)))
-    assert all(0 < r["character_count"] <= 920 for r in rows)
-    assert {r["section_path"] for r in rows} <= {"A", "A/B"}
-    fenced = "```\n" + "x = 1\n" * 200 + "```"
-    assert len(chunking.chunks_of(fenced)) == 1
-    assert len(chunking.chunks_of("y" * 5000)) >= 5
-    assert [r["section_path"] for r in chunking.chunks_of("Title\n=====\n\ntext")] == [""]
-
-
 def test_retrieval_rules(spark):
     with pytest.raises(ValueError):
         R.clean_terms([("a", 0)])
