@@ -1,7 +1,7 @@
 """Chunks of Markdown as a plan over the section tree.
 
 A section that fits with all below it is one chunk. Of a larger one the own blocks are packed to a budget, and
-what its parts give is joined to it: level by level from the deepest one up, six grouped steps in all. Packing
+what its parts give is joined to it: level by level from the deepest one up. Packing
 and joining follow an order with a small state, so they are folds over the pieces of one section, or over the
 groups of one parent; no group is larger than a text.
 
@@ -14,6 +14,7 @@ Defined cases: null and blank texts give no chunks; rows that repeat an id each
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ MOST_HEADING = 300
 ENDS = X.SENTENCE_ENDS.replace("\n", r"\n")
 
 PIECE = "struct<text: string, gap: string>"
-CHUNK = "struct<heading: string, path: string, seed: string, body: string>"
+#: ``text`` is the content: the seed, an empty line and the body, without white space at the ends.
+CHUNK = "struct<heading: string, path: string, seed: string, body: string, text: string>"
 CHUNKS = f"array<{CHUNK}>"
 GAP = "\n\n"
 
@@ -59,13 +61,13 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def content(chunk: Column) -> Column:
-    return trimmed(F.when(chunk["seed"] == "", chunk["body"]).otherwise(F.concat(chunk["seed"], F.lit(GAP), chunk["body"])))
+def content(seed: Column, body: Column) -> Column:
+    return trimmed(F.when(seed == "", body).otherwise(F.concat(seed, F.lit(GAP), body)))
 
 
-def with_(chunk: Column, **new: Column) -> Column:
-    parts = {c: chunk[c] for c in ("heading", "path", "seed", "body")} | new
-    return F.struct(*(v.alias(k) for k, v in parts.items()))
+def chunk_of(heading: Column, path: Column, seed: Column, body: Column) -> Column:
+    own = F.struct(heading.alias("heading"), path.alias("path"), seed.alias("seed"), body.alias("body"))
+    return let(own, lambda c: F.struct(c["heading"], c["path"], c["seed"], c["body"], content(c["seed"], c["body"])).cast(CHUNK))
 
 
 def overlap_of(text: Column, room: Column, limits: Limits) -> Column:
@@ -129,38 +131,37 @@ def packed(pieces: Column, heading: Column, path: Column, limits: Limits) -> Col
     empty = F.struct(F.lit(None).cast("string").alias("body"), F.lit("").alias("gap"), F.lit(0).alias("size"))
     bodies = emitted(pieces, own, empty, own, fill, lambda held: F.array(held))
 
-    part = "struct<seed: string, body: string, gap: string>"
+    part = "struct<seed: string, body: string, gap: string, text: string>"
 
     def seed(before: Column, b: Column) -> tuple[Column, Column]:
         room = limits.most - F.char_length(trimmed(b["body"]))
-        start = F.when(before == "", F.lit("")).otherwise(overlap_of(before, room, limits))
-        return let(
-            F.struct(start.alias("seed"), b["body"].alias("body"), b["gap"].alias("gap")).cast(part),
-            lambda c: F.struct(content(c).alias("content"), c.alias("c")),
-        ), none_of(part)
+        start = F.when(before["text"].isNull(), F.lit("")).otherwise(overlap_of(before["text"], room, limits))
+        after = let(start, lambda s: F.struct(s, b["body"], b["gap"], content(s, b["body"])).cast(part))
+        return after, F.when(before.isNotNull(), F.array(before)).otherwise(none_of(part))
 
-    def seeded(items: Column) -> Column:
-        state = f"struct<content: string, c: {part}>"
+    def ended(parts: Column) -> Column:
+        n = F.size(parts)
 
-        def step(held: Column, b: Column) -> tuple[Column, Column]:
-            after, _ = seed(held["content"], b)
-            return after, F.when(held["c"].isNotNull(), F.array(held["c"])).otherwise(none_of(part))
+        def two(last: Column) -> Column:
+            other = F.get(parts, n - 2)
+            return let(
+                F.concat(other["body"], last["gap"], last["body"]),
+                lambda body: F.struct(other["seed"], body, other["gap"], content(other["seed"], body)).cast(part),
+            )
 
-        start = F.struct(F.lit("").alias("content"), F.lit(None).cast(part).alias("c"))
-        return emitted(items, state, start, part, step, lambda held: F.array(held["c"]))
+        def put(both: Column) -> Column:
+            fits = F.char_length(both["text"]) <= limits.most + limits.overlap
+            return F.when(fits, F.concat(F.slice(parts, F.lit(1), n - 2), F.array(both))).otherwise(parts)
 
-    def ended(parts: Column) -> Column:
-        n = F.size(parts)
-        last, other = F.get(parts, n - 1), F.get(parts, n - 2)
-        both = F.struct(other["seed"].alias("seed"), F.concat(other["body"], last["gap"], last["body"]).alias("body"), other["gap"].alias("gap"))
-        short = (n >= 2) & (F.char_length(content(last)) < limits.least) & (F.char_length(content(both)) <= limits.most + limits.overlap)
-        return F.when(short, F.concat(F.slice(parts, F.lit(1), n - 2), F.array(both.cast(part)))).otherwise(parts)
+        last = F.get(parts, n - 1)
+        short = (n >= 2) & (F.char_length(last["text"]) < limits.least)
+        return F.when(short, let(let(last, two), put)).otherwise(parts)
 
-    chunks = F.transform(
-        let(seeded(F.filter(bodies, lambda b: b["body"].isNotNull())), ended),
-        lambda c: F.struct(heading.alias("heading"), path.alias("path"), c["seed"].alias("seed"), c["body"].alias("body")),
-    ).cast(CHUNKS)
-    return F.filter(chunks, lambda c: content(c) != "")
+    seeded = emitted(
+        F.filter(bodies, lambda b: b["body"].isNotNull()), part, F.lit(None), part, seed, lambda held: F.array(held)
+    )
+    own_chunk = lambda c: F.struct(heading, path, c["seed"], c["body"], c["text"]).cast(CHUNK)
+    return F.filter(F.transform(let(seeded, ended), own_chunk), lambda c: c["text"] != "")
 
 
 def joined(groups: Column, limits: Limits, inside: bool) -> Column:
@@ -172,43 +173,54 @@ def joined(groups: Column, limits: Limits, inside: bool) -> Column:
     """
 
     def merge(held: Column, group: Column) -> tuple[Column, Column]:
-        last = F.get(held, F.size(held) - 1)
-        one = F.get(group, F.lit(0))
-        small = content(one)
-        fits = (
-            (F.size(group) == 1)
-            & (F.size(held) > 0)
-            & ((last["path"] != "") | (one["path"] == ""))
-            & (F.char_length(small) < limits.least)
-            & (F.char_length(content(last)) + len(GAP) + F.char_length(small) <= limits.most)
-        )
-        grown = F.concat(
-            F.slice(held, F.lit(1), F.size(held) - 1), F.array(with_(last, body=F.concat(last["body"], F.lit(GAP), small)))
+        ends = F.struct(F.get(held, F.size(held) - 1).alias("last"), F.get(group, F.lit(0)).alias("one"))
+
+        def tried(e: Column) -> Column:
+            last, one = e["last"], e["one"]
+            fits = (
+                (F.size(group) == 1)
+                & last.isNotNull()
+                & ((last["path"] != "") | (one["path"] == ""))
+                & (F.char_length(one["text"]) < limits.least)
+                & (F.char_length(last["text"]) + len(GAP) + F.char_length(one["text"]) <= limits.most)
+            )
+            grown = chunk_of(last["heading"], last["path"], last["seed"], F.concat(last["body"], F.lit(GAP), one["text"]))
+            return F.when(fits, grown)
+
+        pair = f"struct<held: {CHUNKS}, out: array<{CHUNKS}>>"
+        alone = F.struct(group, F.when(F.size(held) == 0, none_of(CHUNKS)).otherwise(F.array(held))).cast(pair)
+        both = let(
+            let(ends, tried),
+            lambda grown: F.when(grown.isNull(), alone).otherwise(
+                F.struct(F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(grown)), none_of(CHUNKS)).cast(pair)
+            ),
         )
-        out = F.when(fits | (F.size(held) == 0), none_of(CHUNKS)).otherwise(F.array(held))
-        return F.when(fits, grown.cast(CHUNKS)).otherwise(group), out
+        return both["held"], both["out"]
 
     def headed(merged: Column) -> Column:
-        first, second = F.get(merged, F.lit(0)), F.get(merged, F.lit(1))
-        small, target = content(F.get(first, F.lit(0))), F.get(second, F.lit(0))
-        fits = (
-            (F.size(merged) >= 2)
-            & (F.size(first) == 1)
-            & (F.char_length(small) < limits.least)
-            & (F.char_length(small) + len(GAP) + F.char_length(content(target)) <= limits.most)
-        )
-        front = F.array(with_(target, body=F.concat(small, F.lit(GAP), target["body"]))).cast(CHUNKS)
-        grown = F.concat(front, F.slice(second, F.lit(2), F.size(second)))
-        return F.when(fits, F.concat(F.array(grown), F.slice(merged, F.lit(3), F.size(merged)))).otherwise(merged)
+        def tried(e: Column) -> Column:
+            small, target = e["small"], e["target"]
+            fits = (
+                (F.size(F.get(merged, F.lit(0))) == 1)
+                & target.isNotNull()
+                & (F.char_length(small) < limits.least)
+                & (F.char_length(small) + len(GAP) + F.char_length(target["text"]) <= limits.most)
+            )
+            grown = chunk_of(target["heading"], target["path"], target["seed"], F.concat(small, F.lit(GAP), target["body"]))
+            second = F.get(merged, F.lit(1))
+            front = F.concat(F.array(grown), F.slice(second, F.lit(2), F.size(second)))
+            return F.when(fits, F.concat(F.array(front), F.slice(merged, F.lit(3), F.size(merged)))).otherwise(merged)
+
+        first = lambda k: F.get(F.get(merged, F.lit(k)), F.lit(0))
+        return let(F.struct(first(0)["text"].alias("small"), first(1).alias("target")), tried)
 
     def seeded(before: Column, group: Column) -> tuple[Column, Column]:
         one = F.get(group, F.lit(0))
-        seed = overlap_of(content(before), limits.most - F.char_length(content(one)), limits)
-        start = F.array(F.when(before.isNull(), one).otherwise(with_(one, seed=seed).cast(CHUNK)))
-        pair = f"struct<last: {CHUNK}, out: {CHUNKS}>"
+        seed = overlap_of(before["text"], limits.most - F.char_length(one["text"]), limits)
+        start = F.when(before.isNull(), one).otherwise(chunk_of(one["heading"], one["path"], seed, one["body"]))
         both = let(
-            F.concat(start, F.slice(group, F.lit(2), F.size(group))),
-            lambda out: F.struct(F.element_at(out, -1).alias("last"), out.alias("out")).cast(pair),
+            F.concat(F.array(start), F.slice(group, F.lit(2), F.size(group))),
+            lambda out: F.struct(F.element_at(out, -1).alias("last"), out.alias("out")),
         )
         return both["last"], both["out"]
 
@@ -220,6 +232,18 @@ def joined(groups: Column, limits: Limits, inside: bool) -> Column:
     return emitted(let(merged, headed), CHUNK, F.lit(None), CHUNK, seeded)
 
 
+@cache
+def steps(limits: Limits) -> tuple[Column, Column, Column]:
+    """Chunks of a section's own ``blocks``, of the ``groups`` that meet at a section, and of those of a whole text.
+
+    They are the same for all tables, and large, so they are kept.
+    """
+    own = packed(pieces_of(F.col("blocks"), limits), F.col("heading"), F.col("path"), limits)
+    each = F.transform("groups", lambda g: g["chunks"])
+    inner = F.when(F.size("groups") == 1, F.get(each, F.lit(0))).otherwise(joined(each, limits, True))
+    return own, inner, F.filter(joined(each, limits, False), lambda c: c["text"] != "")
+
+
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, limits: Limits | None = None) -> DataFrame:
     """(document_id, chunk_index, heading, section_path, content, character_count) of every text."""
     limits = limits or Limits()
@@ -249,17 +273,10 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, limits: Limits
         F.array_sort(F.collect_list(F.struct("unit", "text", "whole"))).alias("blocks"),
     )
     whole = F.array(
-        F.struct(
-            F.col("heading"), F.col("path"), F.lit("").alias("seed"),
-            F.array_join(F.transform("blocks", lambda b: b["text"]), GAP).alias("body"),
-        )
-    ).cast(CHUNKS)
-    groups = sections.select(
-        "row", "document_id", "at", "chain",
-        F.when(F.col("fits"), whole)
-        .otherwise(packed(pieces_of(F.col("blocks"), limits), F.col("heading"), F.col("path"), limits))
-        .alias("chunks"),
-    )
+        chunk_of(F.col("heading"), F.col("path"), F.lit(""), F.array_join(F.transform("blocks", lambda b: b["text"]), GAP))
+    )
+    own, inner, outer = steps(limits)
+    groups = sections.select("row", "document_id", "at", "chain", F.when(F.col("fits"), whole).otherwise(own).alias("chunks"))
     for depth in reversed(LEVELS):
         met = F.when(F.size("chain") == depth, F.get("chain", F.lit(depth - 1))).otherwise(-F.col("at") - 1)
         level = groups.groupBy("row", met.alias("met")).agg(
@@ -268,18 +285,15 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, limits: Limits
             F.first("chain").alias("chain"),
             F.array_sort(F.collect_list(F.struct("at", "chunks"))).alias("groups"),
         )
-        alone = F.size("groups") == 1
-        each = F.transform("groups", lambda g: g["chunks"])
         groups = level.select(
             "row", "document_id", "at",
             F.slice("chain", F.lit(1), F.least(F.size("chain"), F.lit(depth - 1))).alias("chain"),
-            F.when(alone, F.get("groups", F.lit(0))["chunks"]).otherwise(joined(each, limits, True)).alias("chunks"),
+            inner.alias("chunks"),
         )
     texts = groups.groupBy("row", "document_id").agg(F.array_sort(F.collect_list(F.struct("at", "chunks"))).alias("groups"))
-    chunks = F.filter(joined(F.transform("groups", lambda g: g["chunks"]), limits, False), lambda c: content(c) != "")
-    flat = texts.select("document_id", F.posexplode(chunks).alias("chunk_index", "c"))
+    flat = texts.select("document_id", F.posexplode(outer).alias("chunk_index", "c"))
     cut = lambda c: F.left(trimmed(F.col(f"c.{c}")), F.lit(MOST_HEADING))
     return flat.select(
         "document_id", "chunk_index", cut("heading").alias("heading"), cut("path").alias("section_path"),
-        content(F.col("c")).alias("content"), F.char_length(content(F.col("c"))).alias("character_count"),
+        F.col("c.text").alias("content"), F.char_length("c.text").alias("character_count"),
     )

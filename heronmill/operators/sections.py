@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronmill.functions import text as X
-from heronmill.functions.folds import emitted, trimmed
+from heronmill.functions.folds import BLANKS, emitted, let, trimmed
 
 LEVELS = range(1, 7)
 FENCE = r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})"
@@ -31,14 +31,11 @@ def fence_turns(lines: Column) -> Column:
 
     A fence is closed by one of the same sign that is as long at least and has nothing behind it.
     """
-    found = F.filter(
-        F.transform(
-            lines,
-            lambda line, i: F.struct(
-                i.alias("i"), F.regexp_extract(line, FENCE, 1).alias("mark"), F.rtrim(F.translate(line, "\t", " ")).alias("line")
-            ),
-        ),
-        lambda f: f["mark"] != "",
+    mark = lambda line: F.when(line.rlike("^ {0,3}[`~]"), F.regexp_extract(line, FENCE, 1)).otherwise("")
+    each = F.transform(lines, lambda line, i: F.struct(i.alias("i"), mark(line).alias("mark"), line.alias("line")))
+    found = F.transform(
+        F.filter(each, lambda f: f["mark"] != ""),
+        lambda f: F.struct(f["i"], f["mark"], F.rtrim(F.translate(f["line"], "\t", " ")).alias("line")),
     )
 
     def step(mark: Column, f: Column) -> tuple[Column, Column]:
@@ -58,15 +55,18 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("document_id"), F.col(text_col).alias("text")
     ).where("text IS NOT NULL")
-    body = X.without_front_matter(X.newlines(F.col("text")))
-    rows = keyed.repartition("row").withColumn("lines", F.split(body, "\n"))
-    own = F.transform(
-        "lines", lambda line, i: F.struct((i * 3 + 1).alias("at"), line.alias("line"), F.lit(0).alias("turn"))
-    )
-    turns = F.transform(
-        fence_turns(F.col("lines")), lambda t: F.struct(t["at"].alias("at"), F.lit(None).cast("string").alias("line"), t["turn"].alias("turn"))
-    )
-    flat = rows.select("row", "document_id", F.explode(F.concat(own, turns)).alias("_")).select("row", "document_id", "_.*")
+    # The number is given, so that small tables are dealt to all tasks as well.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def marked(lines: Column) -> Column:
+        none = F.lit(None).cast("string")
+        own = F.transform(lines, lambda line, i: F.struct((i * 3 + 1).alias("at"), line.alias("line"), F.lit(0).alias("turn")))
+        turns = F.transform(fence_turns(lines), lambda t: F.struct(t["at"].alias("at"), none.alias("line"), t["turn"].alias("turn")))
+        return F.concat(own, turns)
+
+    body = let(X.newlines(F.col("text")), X.without_front_matter)
+    rows = keyed.repartition(parts, "row").select("row", "document_id", F.explode(let(F.split(body, "\n"), marked)).alias("_"))
+    flat = rows.select("row", "document_id", "_.*")
     before = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     inside = F.sum("turn").over(before)
     opened = F.count_if(F.col("turn") == 1).over(before)
@@ -77,15 +77,15 @@ def cells(line: Column) -> Column:
     """How many cells a line of a table has; 0 where no sign divides it."""
     inner = F.btrim(F.replace(trimmed(line), F.lit("\\|"), F.lit("")), F.lit(" \t"))
     count = F.size(F.split(F.regexp_replace(inner, r"^\||\|$", ""), r"\|"))
-    return F.when(F.contains(inner, F.lit("|")), count).otherwise(0)
+    return F.when(F.contains(line, F.lit("|")), F.when(F.contains(inner, F.lit("|")), count).otherwise(0)).otherwise(0)
 
 
 def ruled_cells(line: Column) -> Column:
     """The number of cells of a line under a table's head; 0 for other lines."""
     bare = F.translate(line, " \t", "")
     inner = F.split(F.regexp_replace(bare, r"^\||\|$", ""), r"\|")
-    ok = bare.rlike(r"^[|:-]+$") & F.contains(bare, F.lit("|")) & F.forall(inner, lambda c: c.rlike("^:?-+:?$"))
-    return F.when(ok, F.size(inner)).otherwise(0)
+    ok = F.contains(bare, F.lit("|")) & F.forall(inner, lambda c: c.rlike("^:?-+:?$"))
+    return F.when(line.rlike(r"^[ \t|:-]+$"), F.when(ok, F.size(inner)).otherwise(0)).otherwise(0)
 
 
 def units_of(lines: DataFrame) -> DataFrame:
@@ -97,12 +97,14 @@ def units_of(lines: DataFrame) -> DataFrame:
     text = ~F.col("code") & ~F.col("blank")
     seen = lines.withColumns(
         {
-            "indent": F.char_length(F.regexp_extract(F.replace(line, F.lit("\t"), F.lit("    ")), "^( *)", 1)),
-            "blank": ~F.col("code") & (trimmed(line) == ""),
+            "indent": F.char_length(F.replace(F.regexp_extract(line, "^[ \t]*", 0), F.lit("\t"), F.lit("    "))),
+            "blank": ~F.col("code") & ~line.rlike(f"[^{BLANKS}]"),
             "level": F.when(F.col("code"), 0).otherwise(F.char_length(F.regexp_extract(line, HEADING, 1))),
             "item": F.when(F.col("code"), "").otherwise(F.regexp_extract(line, ITEM, 1)),
             "quote": ~F.col("code") & line.rlike("^ {0,3}>"),
-            "ruled": ~F.col("code") & line.rlike(r"^ {0,3}\S") & bare.rlike(r"^(\*{3,}|-{3,}|_{3,})$"),
+            "ruled": F.when(
+                ~F.col("code") & line.rlike(r"^ {0,3}[-*_][-*_ \t]*$"), bare.rlike(r"^(\*{3,}|-{3,}|_{3,})$")
+            ).otherwise(False),
             "under": ~F.col("code") & line.rlike(r"^ {0,3}(=+|-+)[ \t]*$"),
             "cells": F.when(F.col("code"), 0).otherwise(cells(line)),
             "ruled_cells": F.when(F.col("code"), 0).otherwise(ruled_cells(line)),
