@@ -28,7 +28,8 @@ SPACE = r"[\s\x{85}\p{Z}]"
 
 def newlines(text: Column) -> Column:
     """Without a byte order mark, and with ``\\n`` for every line end."""
-    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
+    plain = F.when(text.startswith("﻿"), F.substr(text, F.lit(2))).otherwise(text)
+    return F.when(F.contains(plain, F.lit("\r")), F.regexp_replace(plain, "\r\n?", "\n")).otherwise(plain)
 
 
 def collapse(text: Column) -> Column:
@@ -112,7 +113,8 @@ def front_matter(text: Column) -> Column:
 def without_front_matter(text: Column) -> Column:
     """The text after its front matter; a delimiter that is never closed goes too."""
     body = F.regexp_replace(text, r"^---[ \t]*\n(?:(?s:.*?)\n)?---[ \t]*(?:\n|$)", "")
-    return F.when(body == text, F.regexp_replace(text, r"^---[ \t]*\n", "")).otherwise(body)
+    open_ = F.when(body == text, F.regexp_replace(text, r"^---[ \t]*\n", "")).otherwise(body)
+    return F.when(text.startswith("---"), open_).otherwise(text)
 
 
 def front_title(text: Column) -> Column:
