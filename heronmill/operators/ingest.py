@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from heronmill.functions import classify
 from heronmill.functions import text as X
 from heronmill.operators import chunks as C
+from heronmill.operators import code_units as U
 from heronmill.operators import tables
 from heronmill.sources.storage import stored
 
@@ -63,7 +64,7 @@ def recovery_stage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their state, their chunks, and the chunks' vectors."""
-    chunks = stored(C.chunk_documents(docs, "doc_id", "text"), "chunks")
+    chunks = stored(U.split_documents(docs.withColumn("_path", F.lit(None).cast("string")), "doc_id", "text", "_path"), "chunks")
     counts = chunks.groupBy("document_id").count()
     state = (
         docs.join(counts, F.col("doc_id") == F.col("document_id"), "left")

@@ -4,9 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heronmill.functions import classify as C
+from heronmill.operators import code_units as U
 from heronmill.operators import ingest as I
 from heronmill.operators import pages as P
-from heronmill.operators.chunks import chunk_documents
+from heronmill.operators.chunks import Limits, chunk_documents
 from heronmill.operators.sections import section_tree
 from heronmill.operators.tables import violations
 from heronmill.plans.registry import query, table
@@ -60,6 +61,77 @@ def chunked(spark, sf_dir):
     return _chunks(spark, sf_dir)
 
 
+def _lines(spark, sf_dir, each, gap="\n"):
+    """Documents as sources: a text for every line and its place, joined."""
+    parts = F.transform(F.split("text", "\n"), each)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(parts, gap).alias("code"), F.lit("go").alias("language"))
+
+
+_EACH_LINE = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
+
+
+@query(
+    "j20_code_units",
+    f"""SELECT doc_id AS document_id, 'f' || i AS symbol, 'function' AS symbol_type, length('func f' || i || '() {{' || chr(10) || chr(9) || 's := `' || line || '`' || chr(10) || chr(10) || chr(9) || 'return' || chr(10) || '}}')::INT AS chars
+    FROM {_EACH_LINE}""",
+)
+def code_units(spark, sf_dir):
+    """A function for every line of a document, with an empty line inside."""
+    def one(line, i):
+        return F.concat(F.lit("func f"), i.cast("string"), F.lit("() {\n\ts := `"), line, F.lit("`\n\n\treturn\n}"))
+
+    units = U.units_of(_lines(spark, sf_dir, one, "\n\n"), "doc_id", "code", "language")
+    return units.select("document_id", U.symbol_of(F.col("text"), F.col("language")).alias("s"), F.char_length("text").alias("chars")).select("document_id", "s.*", "chars")
+
+
+@query("j21_brace_depth", f"SELECT doc_id AS document_id, i AS at, CASE i % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS depth FROM {_EACH_LINE}")
+def brace_depths(spark, sf_dir):
+    """Braces in strings and comments among those that count, and a comment over two lines."""
+    def one(line, i):
+        words = F.translate(line, "{}/*\"'`\\", "")
+        return (
+            F.when(i % 4 == 0, F.concat(F.lit("if x { // { "), words)).when(i % 4 == 1, F.concat(F.lit('s := "}\\"}" /* { '), words))
+            .when(i % 4 == 2, F.concat(words, F.lit(" } */ else {"))).otherwise(F.concat(words, F.lit(" }}}")))
+        )
+
+    rows = U.read_lines(_lines(spark, sf_dir, one), "doc_id", "code", "language")
+    return rows.select("document_id", F.col("at").cast("long").alias("at"), "depth")
+
+
+@query(
+    "j18_json_members",
+    """WITH d AS (SELECT doc_id, lang, to_json(string_split(text, chr(10)))::VARCHAR AS j, string_split(text, chr(10)) AS lines FROM documents)
+    SELECT doc_id AS document_id, 'id' AS path, 1 AS n, length('"id": ' || doc_id)::INT AS chars FROM d
+    UNION ALL SELECT doc_id, 'lang', 1, length('"lang": "' || lang || '"')::INT FROM d
+    UNION ALL SELECT doc_id, 'lines', 1, length(j)::INT + 9 FROM d WHERE length(j) + 9 <= 680
+    UNION ALL SELECT doc_id, 'lines[' || i || ']', ceil(length(e) / 680)::INT, length(e)::INT
+    FROM (SELECT doc_id, unnest(range(len(lines))) AS i, to_json(unnest(lines))::VARCHAR AS e FROM d WHERE length(j) + 9 > 680)""",
+)
+def json_members(spark, sf_dir):
+    fields = F.struct(F.col("doc_id").alias("id"), "lang", F.split("text", "\n").alias("lines"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.to_json(fields).alias("code"))
+    rows = U.json_pieces(texts, "doc_id", "code", Limits())
+    sizes = F.aggregate("pieces", F.lit(0), lambda n, p: n + F.char_length(p["text"]))
+    return rows.select("document_id", F.get("pieces", F.lit(0))["symbol"].alias("path"), F.size("pieces").alias("n"), sizes.alias("chars"))
+
+
+@query("j14_split_documents")
+def split_documents(spark, sf_dir):
+    """A fifth of the documents as functions, a fifth as JSON, a fifth with headings, the others as they are."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    functions = F.transform(lines, lambda t, i: F.concat(F.lit("func f"), i.cast("string"), F.lit("() {\n\t// "), t, F.lit("\n}")))
+    kind = F.col("doc_id") % 5
+    headed = F.transform(lines, lambda t, i: F.concat(F.when(i % 4 == 1, "## ").otherwise(""), t))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("package a\n\n"), F.array_join(functions, "\n\n")))
+        .when(kind == 1, F.to_json(F.struct("doc_id", lines.alias("lines"))))
+        .when(kind == 2, F.array_join(headed, "\n\n")).otherwise(F.col("text"))
+    )
+    path = F.when(kind == 0, "a/b.go").when(kind == 2, "notes.md")
+    return U.split_documents(docs.select("doc_id", text.alias("text"), path.alias("path")), "doc_id", "text", "path")
+
+
 @query("j01_chunk_invariants", "SELECT 0 AS blank, 0 AS too_long, 0 AS wrong_count, 0 AS negative")
 def chunk_invariants(spark, sf_dir):
     rules = {

@@ -171,19 +171,6 @@ def test_tool_results_fit():
     assert json.loads(compact("z" * 40_000))["truncated"] is True
 
 
-def test_code_chunks():
-    from heronmill.functions.code_chunks import code_chunks, depth_change, symbol_of
-
-    assert depth_change('x := "{" // {') == 0 and depth_change("if a {") == 1
-    assert symbol_of("func (r *T) Run() {")[1] == "method" and symbol_of("class A:")[0] == "A"
-    go = "package a\n\n" + "\n\n".join(f"func F{i}() {{\n" + "\tx()\n" * 60 + "}" for i in range(4))
-    rows = code_chunks(go, "go")
-    assert [r["symbol"] for r in rows][-4:] == ["F0", "F1", "F2", "F3"] and all(r["character_count"] <= 800 for r in rows)
-    nested = code_chunks('{"a": {"b": "' + "x" * 900 + '"}, "c": 1}', "json")
-    assert {r["symbol"] for r in nested} >= {"a.b"}
-    assert code_chunks("", "python") == []
-
-
 def test_small_values(spark):
     from heronmill.functions import values as V
 
