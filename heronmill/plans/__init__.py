@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ("retrieval", "relational", "texts", "pipelines", "knowledge", "lessons", "transitions", "layouts")
+MODULES: tuple[str, ...] = ("retrieval", "relational", "texts", "pipelines", "knowledge", "lessons", "transitions", "layouts", "facades")
 
 
 def load_plans() -> None:
