@@ -5,23 +5,23 @@
    A rule ``host/path`` fits its host and all subdomains when the path starts with the
    rule's, which has the slash; the longest rule wins.
 2. Host labels and path parts are cut at what is not a letter; a run of digits stands for
-   its length. A unigram model of words, counted over all urls and floored by the seed
-   words, splits each piece by Viterbi, so that names written together come apart: what
-   is unknown costs much once and little for each letter, so a word is never split off
-   when the rest is unknown (pillowstore, specialist). Pieces that known words make up
-   completely, a seed word among them, are no words of the model, so that they do split
-   (cheappills), but for those of many hosts that more than seed and common words make
-   up: freedom, updating.
-3. Multinomial naive Bayes is learned from all distinct hosts and path words: a url
-   whose segmented words hold a seed word of a class is an example of that class,
-   and one without is an example of allow. Its word counts are sums over urls.
+   its length. A unigram model splits each piece by Viterbi, so that names written together
+   come apart. Its words are a short fixed list and the words of a corpus of texts with a share
+   of ``WORD_SHARE`` or more; urls are not counted, so a name never makes itself a word. What is unknown
+   costs much once and little for each letter, so that a word is never split off from an unknown
+   rest (pillowstore, specialist).
+3. Multinomial naive Bayes with features by word and place (host or path). Words that sites use
+   which a corpus leaves out have fixed prior odds, halved in paths, where they are often spoken about.
+   All other words have odds learned from the urls that a rule judges: the ratio of the smoothed shares that a word has of
+   the words of blocked and of allowed urls. (Rules judge whole domains, whatever their names, so they do not weaken a fixed word.) A third of the hosts is left out of learning, for tests.
 4. Urls that no rule fits get the class with the larger posterior.
 
-The counts of all words reach the driver and the tasks, since a rare word may decide;
-their size follows the number of distinct words, not that of urls.
+All thresholds and smoothing are shares, so that a verdict does not follow the size of a table: it changes
+only where shares do. A share bounds the number of words: at most ``1 / WORD_SHARE`` words of texts and
+``2 / ODDS_SHARE`` learned odds go to the driver and the tasks, whatever the tables hold.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule,
-and the verdict of the priors; ties go to allow. Extra columns are not touched.
+and the verdict of the prior, which is allow; ties go to allow. Null texts have no words. Extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronmill.llm.shared import arrow_pass
+from heronmill.llm.shared import arrow_pass, stored
 
 #: The rules of the query's contract.
 RULES = (
@@ -45,19 +45,25 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Words of sites that a corpus leaves out.
-BLOCK_SEEDS = frozenset(
-    """adult bet bets betting bingo cams casino cheap cialis crack dating escort free gambling keygen loan loans
-    nude payday pharmacy pill pills poker porn replica sex slots spam torrent viagra warez xxx""".split()
-)
-#: Words that are not to be split, and carry no sign of either class.
-COMMON = frozenset("www blog news shop mail mobile example index html page feed wiki docs home en de fr es com net org".split())
+#: Words of sites that a corpus leaves out, by the log-odds that one in a host's name has.
+STRONG, MEDIUM, WEAK = 4.0, 2.5, 1.0
+SEEDS = dict.fromkeys("casino cialis escort gambling keygen nude payday porn viagra warez xxx".split(), STRONG)
+SEEDS |= dict.fromkeys(
+    """adult bet bets betting bingo cams crack dating loan loans pharmacy pill pills poker replica sex slots spam
+    torrent""".split(), MEDIUM
+)
+SEEDS |= dict.fromkeys("best bonus buy cheap discount free hot live online win".split(), WEAK)
+#: Words that stand in any url and carry no sign of either class.
+COMMON = frozenset("www blog news shop mail mobile example index html page feed wiki docs home store en de fr es com net org".split())
 PIECE = re.compile(r"[^\W\d_]+|\d+")
-COMPOUND = re.compile(f"(?:{'|'.join(sorted(BLOCK_SEEDS | COMMON))})+")
-#: Words that the shares of both classes together weigh as much as.
-SMOOTHING = 10
-#: Hosts that a word of the language is found in; names of sites are found in fewer.
-MANY_HOSTS = 10
+#: The log-odds of a blocked url before it is read, and what a seed in a path has of its odds.
+PRIOR, IN_PATH = -3.0, 0.5
+#: The share of each word of the fixed list, and the least share of words of texts.
+LISTED_SHARE, WORD_SHARE = 1e-3, 2e-5
+#: What an unknown piece costs, in all and for each letter.
+UNKNOWN, LETTER = 20.0, 0.1
+#: The least share of a learned word in either class, and the share that smooths both.
+ODDS_SHARE, SMOOTH = 1e-4, 1e-3
 
 
 def host_of(url: Column) -> Column:
@@ -80,12 +86,10 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
 
 
 class Segmenter:
-    """Viterbi splits under a unigram model of words."""
+    """Viterbi splits under a unigram model: words and their shares."""
 
-    def __init__(self, counts: dict[str, int], longest: int = 20):
-        total = sum(counts.values()) + 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) <= longest}
-        self.unknown = math.log(total) + 3
+    def __init__(self, shares: dict[str, float], longest: int = 20):
+        self.cost = {w: -math.log(p) for w, p in shares.items() if len(w) <= longest}
         self.longest = longest
         self.known: dict[str, list[str]] = {}
 
@@ -104,7 +108,7 @@ class Segmenter:
             for begin in range(max(0, end - self.longest), end):
                 word = piece[begin:end]
                 # Fewer letters of an unknown word never pay for one more word.
-                own = self.cost.get(word, self.unknown + 0.1 * len(word))
+                own = self.cost.get(word, UNKNOWN + LETTER * len(word))
                 if best[begin] + own < cost:
                     cost, start = best[begin] + own, begin
             best.append(cost)
@@ -116,111 +120,101 @@ class Segmenter:
         return out[::-1]
 
 
-def pieces_of(host: str, path: str) -> list[str]:
-    return [f"#{len(p)}" if p.isdigit() else p for p in PIECE.findall(host) + PIECE.findall(path.lower())]
-
-
-def compound(word: str, known: dict[str, int]) -> bool:
-    """Whether ``word`` is two or more words of ``known`` in a row, a seed among them."""
-    # For each place: whether known words reach it without a seed, and with one.
-    reach = [{False}] + [set() for _ in word]
-    for end in range(1, len(word) + 1):
-        for begin in range(max(0, end - 20), end):
-            part = word[begin:end]
-            if reach[begin] and part != word and len(part) > 1 and part in known:
-                reach[end] |= {seen or part in BLOCK_SEEDS for seen in reach[begin]}
-    return True in reach[-1]
+def words_of(host: str, path: str, cut: Segmenter) -> list[str]:
+    """Features: the words of the host and, with a slash before them, those of the path."""
 
+    def words(text: str) -> Iterator[str]:
+        for p in PIECE.findall(text):
+            if p.isdigit():
+                yield f"#{len(p)}"
+            else:
+                yield from (w for w in cut(p) if w not in COMMON)
 
-def summed(found: DataFrame) -> list:
-    """All words with their sums."""
-    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
+    return [*words(host), *("/" + w for w in words(path.lower()))]
 
 
-def holds_seed(word: str) -> bool:
-    return any(s in word and s != word for s in BLOCK_SEEDS if len(s) > 3)
+def unigrams(texts: DataFrame | None, text_col: str) -> dict[str, float]:
+    """Shares of the fixed words and of the frequent words of ``texts``."""
+    listed = dict.fromkeys([*SEEDS, *COMMON], LISTED_SHARE)
+    if texts is None:
+        return listed
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        n: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                n.update(p for p in PIECE.findall((text.as_py() or "").lower()) if not p.isdigit())
+            if len(n) > 200_000:
+                yield {"word": list(n), "n": list(n.values())}
+                n.clear()
+        yield {"word": list(n), "n": list(n.values())}
 
-def own_words(urls: DataFrame) -> set[str]:
-    """Words that merely contain a seed: in ``MANY_HOSTS`` hosts, and more than seed and common words in a row."""
+    counts = stored(
+        arrow_pass(texts.select(text_col), "word string, n long", count).groupBy("word").agg(F.sum("n").alias("n")), "url-words"
+    )
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return listed
+    return {r.word: r.n / total for r in counts.where(F.col("n") >= WORD_SHARE * total).collect()} | listed
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            found = {
-                (w, host)
-                for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for w in pieces_of(host, path)
-                if holds_seed(w) and not COMPOUND.fullmatch(w)
-            }
-            yield {"word": [w for w, _ in found], "host": [h for _, h in found]}
 
-    hosts = arrow_pass(urls, "word string, host string", places).distinct().groupBy("word").count()
-    return {r.word for r in hosts.where(F.col("count") >= MANY_HOSTS).collect()}
+def learned(urls: DataFrame, cut: Segmenter) -> dict[str, float]:
+    """Log-odds of features from (host, path, fixed), where ``fixed`` is the verdict of a rule."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        n: tuple[Counter, Counter] = (Counter(), Counter())
 
-def learn(urls: DataFrame) -> tuple[dict[str, int], dict[str, tuple[float, float]], tuple[float, float]]:
-    """Word counts for segmentation; each word's log-probabilities; the classes' priors."""
+        def rows() -> dict:
+            seen = [*(n[0].keys() | n[1].keys())]
+            return {"word": seen, "allow": [n[0][w] for w in seen], "block": [n[1][w] for w in seen]}
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            n: Counter = Counter()
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n.update(pieces_of(host, path))
-            yield {"word": list(n), "n": list(n.values()), "m": [0] * len(n)}
-
-    counts = {r.word: r.n for r in summed(arrow_pass(urls, "word string, n long, m long", pieces))}
-    # Seed words are at least as likely as a frequent piece, so names split at them.
-    floor = max(10, sum(counts.values()) // 1000)
-    kept = own_words(urls)
-    known = counts | dict.fromkeys(BLOCK_SEEDS | COMMON, floor)
-    words = {w: n for w, n in counts.items() if w in kept or not holds_seed(w) or not compound(w, known)}
-    words |= {w: max(words.get(w, 0), floor) for w in BLOCK_SEEDS | COMMON}
-
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cut = Segmenter(words)
         for batch in batches:
-            every: Counter = Counter()
-            block: Counter = Counter()
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = [w for p in pieces_of(host, path) for w in cut(p)]
-                own.append("")  # counts the urls
-                every.update(own)
-                if not BLOCK_SEEDS.isdisjoint(own):
-                    block.update(own)
-            yield {"word": list(every), "n": list(every.values()), "m": [block[w] for w in every]}
-
-    rows = summed(arrow_pass(urls, "word string, n long, m long", examples))
-    urls_all, urls_block = next(((r.n, r.m) for r in rows if r.word == ""), (0, 0))
-    rows = [r for r in rows if r.word]
-    every, block = sum(r.n for r in rows), sum(r.m for r in rows)
-
-    def likelihood(n: int, of: int, all_n: int) -> float:
-        """Smoothed towards the word's share of both classes, so that rare words favour no class by its size."""
-        return math.log((n + SMOOTHING * all_n / every) / (of + SMOOTHING))
-
-    odds = {r.word: (likelihood(r.n - r.m, every - block, r.n), likelihood(r.m, block, r.n)) for r in rows}
-    priors = (math.log((urls_all - urls_block + 1) / (urls_all + 2)), math.log((urls_block + 1) / (urls_all + 2)))
-    return words, odds, priors
-
-
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """(page, host, path, rule, verdict) of every row of ``pages``."""
+            for host, path, fixed in zip(*(c.to_pylist() for c in batch.columns)):
+                n[fixed == "block"].update(words_of(host, path, cut))
+            if len(n[0]) + len(n[1]) > 200_000:
+                yield rows()
+                n = (Counter(), Counter())
+        yield rows()
+
+    kept = urls.where("fixed IS NOT NULL").where(F.pmod(F.xxhash64("host"), F.lit(3)) != 1)
+    rows = arrow_pass(kept.select("host", "path", "fixed"), "word string, allow long, block long", count)
+    rows = stored(rows.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-odds")
+    total = rows.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    if not total.allow or not total.block:
+        return {}
+    shares = rows.select("word", *((F.col(c) / F.lit(total[c])).alias(c) for c in ("allow", "block")))
+    frequent = shares.where(F.greatest("allow", "block") >= ODDS_SHARE).collect()
+    return {r.word: math.log((r.block + SMOOTH) / (r.allow + SMOOTH)) for r in frequent if r.word.lstrip("/") not in SEEDS}
+
+
+def seed_odds(feature: str) -> float:
+    return IN_PATH * SEEDS.get(feature[1:], 0.0) if feature.startswith("/") else SEEDS.get(feature, 0.0)
+
+
+def judge(
+    pages: DataFrame,
+    texts: DataFrame | None = None,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    text_col: str = "text",
+    rules: tuple[tuple[str, str], ...] = RULES,
+) -> DataFrame:
+    """(page, host, path, rule, verdict) of every row of ``pages``; ``texts`` give words for the segmentation."""
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"))
-    words, odds, priors = learn(parts.select("host", "path"))
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
     rows = parts.select("page", "host", "path", rule.alias("rule"), fixed.alias("fixed"))
+    shares = unigrams(texts, text_col)
+    odds = learned(rows, Segmenter(shares))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cut = Segmenter(words)
+        cut = Segmenter(shares)
         for batch in batches:
             verdicts = []
             for host, path, known in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "fixed"))):
                 if known is None:
-                    own = [odds[w] for p in pieces_of(host, path) for w in cut(p) if w in odds and w not in COMMON]
-                    allow = priors[0] + sum(o[0] for o in own)
-                    block = priors[1] + sum(o[1] for o in own)
-                    known = "block" if block > allow else "allow"
+                    total = PRIOR + sum(seed_odds(w) + odds.get(w, 0.0) for w in words_of(host, path, cut))
+                    known = "block" if total > 0 else "allow"
                 verdicts.append(known)
             yield {c: batch.column(c) for c in ("page", "host", "path", "rule")} | {"verdict": verdicts}
 
@@ -228,6 +222,6 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     return arrow_pass(rows, f"page {kind}, host string, path string, rule string, verdict string", score)
 
 
-def digest(pages: DataFrame) -> DataFrame:
+def digest(pages: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Rows of query op4."""
-    return judge(pages).withColumnRenamed("page", "page_id")
+    return judge(pages, texts).withColumnRenamed("page", "page_id")

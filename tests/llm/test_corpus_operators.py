@@ -257,12 +257,41 @@ def test_rare_words_of_many_urls(spark):
     letters = "abcdefghij"
     words = ["".join(letters[int(d)] for d in f"{i:05d}") for i in range(60_000)]
     rows = [(k, "http://a.org/" + "/".join(4 * words[k * 6000 : k * 6000 + 6000])) for k in range(10)]
-    rows += [(k, "http://c.org/warez") for k in (900, 901, 902)] + [(k, "http://d.org/x") for k in range(1000, 1030)]
+    rows += [(k, "http://warez.c.org/x") for k in (900, 901, 902)] + [(k, "http://d.org/x") for k in range(1000, 1030)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.digest(df).where("page_id >= 900").collect()}
     assert got == {900: "block", 901: "block", 902: "block"} | dict.fromkeys(range(1000, 1030), "allow")
 
 
+CLEAN_URLS = [
+    "en.wikipedia.org/wiki/Sex_education", "www.nhs.uk/pharmacy", "free.org/docs", "github.org/torrent/spec", "www.pillowstore.org/x",
+    "www.specialist-doctor.org/", "www.socialistreview.org/a", "essex-county.org/", "pokerface-band.org/", "betterbread.org/", "freedom.org/up",
+    "updating.org/", "onlinelibrary.info/", "studentloans.gov/", "hotsprings.org/live", "news.org/casino-law", "adulteducation.org/", "",
+]
+BAD_URLS = [
+    "www.cheapviagra.org/", "onlinecasinobonus.info/", "bestloans4u.info/", "cheap-pills.org/", "cheappills.org/x", "free-casino.org/",
+    "freecasino.org/", "xxx-cams.org/", "payday-loans.org/", "www.pokerbonus.info/", "buycheapcialis.info/", "liveporn.org/", "hotdating.org/free-sex",
+]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_planted_urls_beside_tables_of_any_size(spark, sf):
+    """Precision and recall are 1 here, and verdicts do not follow the size of the table."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url")
+    texts = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    planted = spark.createDataFrame([(-1 - i, f"http://{u}") for i, u in enumerate(CLEAN_URLS + BAD_URLS)], "page_id long, url string")
+    got = {-1 - r.page_id: r.verdict for r in url_filter.digest(pages.unionByName(planted), texts).where("page_id < 0").collect()}
+    wrong = [u for i, u in enumerate(CLEAN_URLS + BAD_URLS) if got[i] != ("allow" if i < len(CLEAN_URLS) else "block")]
+    assert wrong == []
+
+
+def test_ties_and_repeated_urls(spark):
+    urls = ["http://pills.org/free", "http://pills.org/free", "http://pills.org/free-pills", None]
+    df = spark.createDataFrame([(5, u) for u in urls], "page_id long, url string")
+    # 2.5 + 0.5 is the prior: a tie, which is allowed.
+    assert sorted(r.verdict for r in url_filter.digest(df).collect()) == ["allow", "allow", "allow", "block"]
+
+
 def test_words_that_contain_seeds(spark):
     urls = [f"http://site{chr(97 + i % 26)}{chr(97 + i // 26)}.org/{w}" for w in ("freedom", "updating", "pillow") for i in range(40)]
     urls += [f"http://cheappills.shop{chr(97 + i)}.org/up/ow" for i in range(20)]
@@ -307,10 +336,10 @@ def test_ordinary_hosts_that_hold_seeds(spark):
 
 def test_viterbi_equals_brute_force():
     counts = {"ab": 9, "a": 4, "b": 3, "abc": 2, "ca": 5, "bca": 1}
-    cut = url_filter.Segmenter(counts)
+    cut = url_filter.Segmenter({w: n / 24 for w, n in counts.items()})
 
     def cost(words):
-        return sum(cut.cost.get(w, cut.unknown + 0.1 * len(w)) for w in words)
+        return sum(cut.cost.get(w, url_filter.UNKNOWN + url_filter.LETTER * len(w)) for w in words)
 
     for word in ("abcab", "zzab", "abcabca", "a", "xyz", "cabcab"):
         every = [[word[i:j] for i, j in zip((0, *c), (*c, len(word)))] for k in range(len(word)) for c in combinations(range(1, len(word)), k)]
@@ -318,19 +347,27 @@ def test_viterbi_equals_brute_force():
 
 
 def test_naive_bayes_equals_brute_force(spark):
-    urls = [("a.org", "/x/y"), ("casino.org", "/x"), ("b.org", "/y/y"), ("casino.org", "/z")]
-    df = spark.createDataFrame(urls, "host string, path string")
-    words, odds, priors = url_filter.learn(df)
-    cut = url_filter.Segmenter(words)
-    own = [[w for p in url_filter.pieces_of(*u) for w in cut(p)] for u in urls]
-    block = [not url_filter.BLOCK_SEEDS.isdisjoint(o) for o in own]
-    for kind in (0, 1):
-        bag = [w for o, b in zip(own, block) if b == kind for w in o]
-        assert math.isclose(priors[kind], math.log((block.count(bool(kind)) + 1) / (len(urls) + 2)))
-        every = [w for o in own for w in o]
-        for w in set(every):
-            share = every.count(w) / len(every)
-            assert math.isclose(odds[w][kind], math.log((bag.count(w) + 10 * share) / (len(bag) + 10)))
+    rnd = random.Random(3)
+    urls = [(f"{rnd.choice(['aa', 'bb', 'casino'])}{rnd.choice('xyz')}.{rnd.choice(['com', 'net', 'org'])}", rnd.choice(["/es/q", "/fr/12", "/en/q-r", ""])) for _ in range(200)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    texts = spark.createDataFrame([("aa bb aa",), (None,), ("x",)], "text string")
+    rule, fixed = url_filter.rule_of(F.col("host"), F.col("path"), url_filter.RULES)
+    rows = spark.createDataFrame(urls, "host string, path string").withColumn("fixed", fixed)
+    shares = url_filter.unigrams(texts, "text")
+    assert math.isclose(shares["aa"], 0.5) and shares["casino"] == url_filter.LISTED_SHARE
+    cut = url_filter.Segmenter(shares)
+    odds = url_filter.learned(rows, cut)
+    bags = {"allow": Counter(), "block": Counter()}
+    for r in rows.where("fixed IS NOT NULL").where(F.pmod(F.xxhash64("host"), F.lit(3)) != 1).collect():
+        bags[r.fixed].update(url_filter.words_of(r.host, r.path, cut))
+    share = {k: {w: n / sum(b.values()) for w, n in b.items()} for k, b in bags.items()}
+    want = {w: math.log((share["block"].get(w, 0) + 1e-3) / (share["allow"].get(w, 0) + 1e-3)) for w in share["block"].keys() | share["allow"].keys() if w != "casino"}
+    assert odds.keys() == want.keys() and all(math.isclose(odds[w], want[w]) for w in want)
+    got = {r.page_id: r.verdict for r in url_filter.digest(df, texts).collect()}
+    fixed_of = [r.fixed for r in rows.collect()]
+    for i, (h, p) in enumerate(urls):
+        total = -3 + sum(want.get(w, 0) + url_filter.seed_odds(w) for w in url_filter.words_of(h, p, cut))
+        assert got[i] == (fixed_of[i] or ("block" if total > 0 else "allow"))
 
 
 # 5 benchmark decontamination
