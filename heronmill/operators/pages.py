@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronmill.sources.storage import stored
@@ -40,9 +40,29 @@ def plan_violations(pages: DataFrame) -> DataFrame:
 def levels(pages: DataFrame) -> DataFrame:
     """(plan_id, page_id, level): the round in which a page's prerequisites are finished.
 
-    Each round takes the pages of all plans whose prerequisites are done, so the
-    number of jobs follows the deepest plan and not the number of plans. Pages on a
-    cycle or behind an unknown page get no level.
+    A plan has ``MOST_PAGES`` pages by rule and is settled in one fold over its rounds. Plans that break the rule
+    go through all rounds together. Pages on a cycle or behind an unknown page get no level.
+    """
+    sized = pages.select("plan_id", "page_id", "prerequisites").withColumn("_n", F.count("*").over(Window.partitionBy("plan_id")))
+    small = sized.where(F.col("_n") <= MOST_PAGES).groupBy("plan_id").agg(F.collect_list(F.struct("page_id", "prerequisites")).alias("pages"))
+    kind = "array<struct<page_id: string, level: int>>"
+
+    def round_of(done: Column, level: Column) -> Column:
+        ids = F.transform(done, lambda d: d["page_id"])
+        waits = lambda p: F.array_contains(ids, p["page_id"]) | F.exists(p["prerequisites"], lambda q: ~F.array_contains(ids, q))
+        ready = F.filter("pages", lambda p: ~waits(p))
+        return F.concat(done, F.transform(ready, lambda p: F.struct(p["page_id"].alias("page_id"), level.cast("int").alias("level"))).cast(kind))
+
+    settled = F.aggregate(F.sequence(F.lit(0), F.size("pages") - 1), F.array().cast(kind), round_of)
+    out = small.select("plan_id", F.explode(settled).alias("p")).select("plan_id", "p.*")
+    large = stored(sized.where(F.col("_n") > MOST_PAGES).drop("_n"), "large-plans")
+    return out if large.isEmpty() else out.unionByName(levels_by_rounds(large))
+
+
+def levels_by_rounds(pages: DataFrame) -> DataFrame:
+    """Levels of plans of any size: each round takes the pages of all plans whose prerequisites are done.
+
+    The number of jobs follows the deepest plan and not the number of plans.
     """
     deps = pages.select("plan_id", "page_id", F.explode("prerequisites").alias("needs")).distinct()
     done = stored(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from heronmill.functions import text as X
+from heronmill.operators import directors as D
 from heronmill.operators import filters as L
 from heronmill.operators import material as M
 from heronmill.plans.registry import query, table
@@ -131,3 +132,70 @@ def titles(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     title = F.coalesce("p_name", F.concat(F.lit("page "), F.col("l_linenumber").cast("string")))
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", title.alias("title"))
+
+
+def _plans(spark, sf_dir):
+    """Conversations with raw plans of all kinds, some of which have a fault."""
+    key = F.col("conv_id")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (key % n + 1).cast("int"))
+    people = F.array(*map(F.lit, ("a0", "a1", "a2", "a3")))
+    speakers = F.when(key % 11 == 3, F.array(F.lit("zz"))).otherwise(
+        F.transform(F.sequence(F.lit(0), (key % 3).cast("int")), lambda i: F.concat(F.lit("a"), ((key + i) % 4).cast("string")))
+    )
+    raw = F.struct(
+        pick(7, "reply", "discussion", "round", "redirect", "clarify", "discussion", "other"), pick(5, "brief", "?", "normal", "detailed", "long"),
+        pick(4, "simple", "multi_view", "unclear", "none"), F.when(key % 13 == 5, "refuse").otherwise("allow"), speakers,
+    ).cast(D.PLAN)
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    plan = D.response_plan(raw, people, F.array(F.lit("a2")), key % 2 == 0, F.col("n") < 3)
+    return rows.select("conv_id", plan.alias("plan"), people.alias("participants"))
+
+
+_RESPONSE_PLANS = """r AS (SELECT conv_id, count(*) AS n, ['reply', 'discussion', 'round', 'redirect', 'clarify', 'discussion', 'other'][conv_id % 7 + 1] AS mode,
+    ['brief', '?', 'normal', 'detailed', 'long'][conv_id % 5 + 1] AS length, ['simple', 'multi_view', 'unclear', 'none'][conv_id % 4 + 1] AS kind,
+    conv_id % 13 = 5 AS refused, CASE WHEN conv_id % 11 = 3 THEN ['zz'] ELSE list_transform(range(conv_id % 3 + 1), lambda i: 'a' || ((conv_id + i) % 4)) END AS speakers
+  FROM conversations GROUP BY conv_id),
+v AS (SELECT *, mode = 'other' OR (mode <> 'round' AND conv_id % 11 = 3) AS faulty, CASE WHEN refused THEN 'reply' ELSE mode END AS own,
+    CASE WHEN mode = 'round' THEN ['a0', 'a1', 'a2', 'a3'] ELSE speakers END AS everyone FROM r),
+w AS (SELECT *, CASE WHEN own IN ('reply', 'clarify') THEN everyone[1:1] WHEN own = 'discussion' THEN everyone[1:3] ELSE everyone END AS chosen,
+    conv_id % 2 = 0 AND NOT refused AND own NOT IN ('redirect', 'round', 'clarify') AS many FROM v),
+x AS (SELECT *, many AND kind = 'simple' AS one, many AND own = 'reply' AND kind = 'multi_view' AND n >= 3 AS two FROM w),
+p AS (SELECT conv_id, CASE WHEN faulty OR one THEN 'reply' WHEN two THEN 'discussion' ELSE own END AS mode,
+    CASE WHEN faulty THEN 'normal' WHEN refused THEN 'brief' WHEN length IN ('brief', 'normal', 'detailed') THEN length ELSE 'normal' END AS length,
+    CASE WHEN faulty OR kind = 'none' THEN 'unknown' ELSE kind END AS question_type, CASE WHEN refused AND NOT faulty THEN 'refuse' ELSE 'allow' END AS safety,
+    CASE WHEN faulty THEN ['a2'] WHEN one THEN chosen[1:1] WHEN two THEN [chosen[1], CASE WHEN chosen[1] = 'a0' THEN 'a1' ELSE 'a0' END] ELSE chosen END AS speakers FROM x)"""
+
+
+@query("g06_response_plans", f"WITH {_RESPONSE_PLANS} SELECT conv_id, mode, length, question_type, safety, array_to_string(speakers, ',') AS speakers FROM p")
+def response_plans(spark, sf_dir):
+    plans = _plans(spark, sf_dir).select("conv_id", "plan.*")
+    return plans.withColumn("speakers", F.array_join("speakers", ","))
+
+
+@query(
+    "k45_decisions",
+    f"""WITH {_RESPONSE_PLANS}, t AS (SELECT conv_id, turn, 'a' || (turn * 3 + conv_id) % 4 AS speaker,
+      CASE WHEN length(text) % 9 = 0 THEN 'ask_user' WHEN length(text) % 9 = 1 THEN 'finish' ELSE 'switch_agent' END AS action, 'a' || length(text) % 5 AS preferred FROM conversations),
+    s AS (SELECT conv_id, t.speaker AS last, action, preferred, mode, speakers, count(*) OVER w AS taken, list(t.speaker) OVER w AS spoken,
+        count(*) FILTER (t.speaker = speakers[1]) OVER w AS lead_turns
+      FROM t JOIN p USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, t.speaker ROWS UNBOUNDED PRECEDING)
+      UNION ALL SELECT conv_id, NULL, NULL, NULL, mode, speakers, 0, [], 0 FROM p),
+    d AS (SELECT *, list_filter(speakers, lambda x: NOT list_contains(spoken, x)) AS silent, coalesce(action = 'finish', false) AS finished,
+      mode = 'discussion' AS talk FROM s),
+    c AS (SELECT *, CASE WHEN action = 'ask_user' THEN 'waiting' WHEN taken = 0 THEN 'lead' WHEN mode IN ('reply', 'clarify', 'redirect') THEN 'completed'
+        WHEN talk AND (lead_turns > 1 OR (finished AND last = speakers[1])) THEN 'completed' WHEN talk AND taken + 1 > 6 THEN 'max_turns'
+        WHEN talk AND (taken + 1 = 6 OR finished) THEN 'closing' WHEN talk AND list_contains(silent, preferred) THEN 'preferred'
+        WHEN len(silent) > 0 THEN 'plan' WHEN talk AND len(speakers) > 1 THEN 'closing' ELSE 'completed' END AS what FROM d)
+    SELECT conv_id, taken::INT AS taken, CASE what WHEN 'lead' THEN speakers[1] WHEN 'closing' THEN speakers[1] WHEN 'preferred' THEN preferred WHEN 'plan' THEN silent[1] END AS speaker,
+      what = 'closing' AS closing, CASE WHEN what IN ('waiting', 'completed', 'max_turns') THEN what END AS stop_reason,
+      CASE WHEN what NOT IN ('waiting', 'completed', 'max_turns') THEN what END AS reason FROM c""",
+)
+def decided(spark, sf_dir):
+    """The turns of conversations under their plans, decided anew after each."""
+    n = F.char_length("text")
+    action = F.when(n % 9 == 0, "ask_user").when(n % 9 == 1, "finish").otherwise("switch_agent")
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("a"), ((F.col("turn") * 3 + F.col("conv_id")) % 4).cast("string")).alias("speaker"),
+        action.alias("action"), F.concat(F.lit("a"), (n % 5).cast("string")).alias("preferred"),
+    )
+    return D.decisions(turns, _plans(spark, sf_dir), "conv_id")
