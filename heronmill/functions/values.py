@@ -46,13 +46,13 @@ def trimmed(items: Column) -> Column:
 
 def variants(asked: Column, items: Column, most: int = 3) -> Column:
     """Up to ``most`` items that differ from the question and from each other, whatever their case."""
-    clean = trimmed(items)
-    lower = F.transform(clean, F.lower)
-    first = F.filter(
-        clean,
-        lambda x, i: (F.array_position(lower, F.lower(x)) == i + 1) & (F.lower(x) != F.lower(F.trim(asked, F.lit(EDGES)))),
-    )
-    return F.slice(first, F.lit(1), F.lit(most))
+    own = F.lower(F.trim(asked, F.lit(EDGES)))
+
+    def take(held: Column, x: Column) -> Column:
+        seen = F.exists(held, lambda h: F.lower(h) == F.lower(x)) | F.coalesce(F.lower(x) == own, F.lit(False))
+        return F.when((F.size(held) >= most) | seen, held).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(trimmed(items), F.array().cast("array<string>"), take)
 
 
 def search_text(parts: list[Column], most: int = 300) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heronmill.functions import classify as C
+from heronmill.operators import checkpoints as K
 from heronmill.operators import code_units as U
 from heronmill.operators import ingest as I
 from heronmill.operators import pages as P
@@ -232,6 +233,31 @@ def plan_violations(spark, sf_dir):
     return P.plan_violations(_plans(spark, sf_dir)).select("plan_id", F.array_join("broken", ",").alias("broken"))
 
 
+_HOLDS = """h AS (SELECT l_orderkey AS plan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS position,
+    l_partkey % 6 <> 0 AND l_suppkey % 17 <> 0 AND l_partkey % 23 <> 5 AS holds FROM lineitem)"""
+
+
+@query(
+    "i39_kept_pages",
+    f"""WITH RECURSIVE {_PAGES}, {_HOLDS},
+    gone AS (SELECT plan_id, position FROM h WHERE NOT holds UNION SELECT e.plan_id, e.position FROM gone g JOIN e ON e.plan_id = g.plan_id AND e.needs = g.position)
+    SELECT plan_id, position::VARCHAR AS page_id FROM h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.plan_id = h.plan_id AND g.position = h.position)""",
+)
+def kept_pages(spark, sf_dir):
+    """Lines as pages whose saved form has its members in another order; some titles, versions and nodes have changed."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").withColumn("position", (F.row_number().over(w) - 1).cast("int"))
+    part, key = F.col("l_partkey").cast("string"), F.col("l_orderkey").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    planned = text('{"id":', key, ',"at":{"part":', part, ',"kind":"line"}}')
+    saved = text('{ "at": {"kind": "line", "part": ', F.when(F.col("l_partkey") % 6 == 0, "-1").otherwise(part), '}, "id": ', key, " }")
+    version = F.when(F.col("l_suppkey") % 17 == 0, 2).otherwise(1)
+    node = F.when(F.col("l_partkey") % 23 == 5, "nowhere").otherwise("review")
+    holds = K.restorable(version, K.content_hash(page=saved), node, K.content_hash(page=planned))
+    own = rows.select(F.col("l_orderkey").alias("plan_id"), F.col("position").cast("string").alias("page_id"), holds.alias("holds"))
+    return K.kept_pages(_plans(spark, sf_dir).join(own, ["plan_id", "page_id"]))
+
+
 def _events(spark, sf_dir, files_per_batch=None):
     """The table as a stream; its files are in no order of events, so what has a state takes them in one batch."""
     batch = table(spark, sf_dir, "events")

@@ -137,15 +137,15 @@ def failures(spark, sf_dir):
 
 @query(
     "g03_variants",
-    """WITH w AS (SELECT doc_id, lower(split_part(text, ' ', 1)) AS q, list_filter(list_transform(string_split(left(text, 200), ' '),
-      lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS a FROM documents)
-    SELECT doc_id, list_slice(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i
-      AND lower(x) <> trim(q, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 3) AS variants FROM w""",
+    """WITH w AS (SELECT doc_id, lower(trim(split_part(text, ' ', 1), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS q, string_split(text, ' ') AS a FROM documents),
+    x AS (SELECT doc_id, q, i, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM (SELECT doc_id, q, unnest(a) AS x, unnest(range(len(a))) AS i FROM w)),
+    f AS (SELECT doc_id, min(i) AS i, arg_min(x, i) AS x FROM x WHERE x <> '' AND lower(x) <> q GROUP BY doc_id, lower(x)),
+    r AS (SELECT doc_id, x, i FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 3)
+    SELECT d.doc_id, coalesce(list(x ORDER BY i) FILTER (x IS NOT NULL), []) AS variants FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""",
 )
 def variants(spark, sf_dir):
-    """The first words of the first 200 characters stand for rewritten questions."""
-    words = F.split(F.left("text", F.lit(200)), " ")
-    return table(spark, sf_dir, "documents").select("doc_id", V.variants(F.split_part("text", F.lit(" "), F.lit(1)), words).alias("variants"))
+    """The words of a text stand for rewritten questions, its first word for the question."""
+    return table(spark, sf_dir, "documents").select("doc_id", V.variants(F.split_part("text", F.lit(" "), F.lit(1)), F.split("text", " ")).alias("variants"))
 
 
 @query(
