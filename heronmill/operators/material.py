@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronmill.operators.tables import running_sum
+
 TOTAL, SUMMARIES, OUTLINE, SMALL = 8000, 4000, 800, 6000
 MOST_SECTIONS, PER_CALL, MOST_CALLS = 40, 4, 12
 
@@ -15,15 +17,15 @@ def snapshot(documents: DataFrame, plan: str, order: str) -> DataFrame:
     ``documents`` has the columns ``content``, ``status`` and ``enabled``; others are skipped.
     """
     ready = documents.where((F.col("status") == "ready") & F.col("enabled") & (F.trim("content") != ""))
-    of_plan = Window.partitionBy(plan)
-    sized = ready.withColumn("chars", F.char_length("content")).withColumn(
-        "outline_chars", F.least(F.lit(OUTLINE), F.floor(F.lit(SUMMARIES) / F.count("*").over(of_plan)))
-    )
+    # One row for each plan.
+    counts = ready.groupBy(F.col(plan).alias("_plan")).agg(F.count("*").alias("_count"))
+    share = F.least(F.lit(OUTLINE), F.floor(F.lit(SUMMARIES) / F.col("_count")))
+    sized = ready.select(plan, order, F.char_length("content").alias("chars"))
     small = F.col("chars") <= SMALL
-    before = of_plan.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(F.when(small, F.col("chars")).otherwise(0)).over(before)
-    use = F.when(small & (running <= TOTAL), "full").otherwise("retrieval")
-    return sized.select(plan, order, "chars", "outline_chars", use.alias("use"))
+    summed = running_sum(sized, F.when(small, F.col("chars")).otherwise(0), "_running", F.asc(order), by=[plan])
+    use = F.when(small & (F.col("_running") <= TOTAL), "full").otherwise("retrieval")
+    joined = summed.join(counts, F.col(plan).eqNullSafe(F.col("_plan")))
+    return joined.select(plan, order, "chars", share.alias("outline_chars"), use.alias("use"))
 
 
 def sections_to_summarise(sections: DataFrame, document: str, path: str, at: str) -> DataFrame:

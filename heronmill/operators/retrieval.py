@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronmill.functions.folds import let
+from heronmill.operators.tables import running_sum
+
 RRF_K = 60
 DEFAULT_K, MOST_K = 5, 50
 RERANK_DEPTH = 30
@@ -58,11 +61,11 @@ def vector_recall(chunks: DataFrame, vector: Column, query: Column, k: int, id_c
     return top(scored, k, F.desc("similarity"), F.asc(id_col), by=by)
 
 
-def presence(surface: Column, weighted: Sequence[tuple[str, float]]) -> Column:
-    """Sum of the weights of the distinct patterns that occur, whatever their case."""
+def presence(lower: Column, weighted: Sequence[tuple[str, float]]) -> Column:
+    """Sum of the weights of the distinct patterns that occur in a text in lower case."""
     total = F.lit(0.0)
     for text, weight in weighted:
-        total = total + F.when(surface.ilike(like_pattern(text)), F.lit(float(weight))).otherwise(0.0)
+        total = total + F.when(F.contains(lower, F.lower(F.lit(text))), F.lit(float(weight))).otherwise(0.0)
     return total
 
 
@@ -97,8 +100,11 @@ def lexical_recall(
     terms, phrases = clean_terms(terms), clean_terms(phrases)
 
     def score(surface: Column) -> Column:
-        own = presence(surface, terms)
-        return F.when(own > 0, own + presence(surface, phrases)).otherwise(0.0)
+        # A text is made lower once, and each pattern is sought in it once.
+        def of(lower: Column) -> Column:
+            return let(presence(lower, terms), lambda own: F.when(own > 0, own + presence(lower, phrases)).otherwise(0.0))
+
+        return let(F.lower(surface), of)
 
     scored = chunks.withColumn("raw_score", F.greatest(score(content), score(title))).where("raw_score > 0")
     return top(scored, k, F.desc("raw_score"), *order)
@@ -242,5 +248,4 @@ def assemble(hits: DataFrame, groups: DataFrame, per_hit: int = 2000, total: int
 
 def running_budget(df: DataFrame, size: Column, budget: int, *order: Column, by: Sequence[str] = ()) -> DataFrame:
     """Rows in order up to the first whose running size passes the budget."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(window)).where(F.col("running") <= budget)
+    return running_sum(df, size, "running", *order, by=by).where(F.col("running") <= budget)

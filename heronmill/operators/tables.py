@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronmill.sources.storage import stored
+
 
 def normalize_page(page: int, size: int, default: int = 20, most: int = 100) -> tuple[int, int]:
     """Page from 1, page size from 1 to ``most``."""
@@ -124,3 +126,33 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """How many rows break each rule, in one pass: what constraints would refuse."""
     sums = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]
     return df.agg(*sums)
+
+
+def running_sum(df: DataFrame, size: Column, name: str, *order: Column, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sum of ``size`` up to each row of its key in this order, without a task that holds a whole key.
+
+    Rows are dealt by ranges of (key, order) and stored. A range adds up by itself, and to that comes what the ranges before
+    have of the same key: one number for each key and range. Null sizes count as nothing; rows that agree in
+    key and order are taken in any order.
+    """
+    spark = df.sparkSession
+    keys, at, own = (new_column(df, c) for c in ("_keys", "_range", "_size"))
+    rows = df.withColumns({own: F.coalesce(size, F.lit(0)).cast("long"), keys: F.struct(*by) if by else F.lit(0)})
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, F.asc(keys), *order).withColumn(at, F.spark_partition_id())
+    dealt = stored(dealt, "running-sum")
+    sums = dealt.groupBy(F.col(keys).alias("_k"), F.col(at).alias("_r")).agg(F.sum(own).alias("_sum"))
+    earlier = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_k", "_r", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(keys, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn(name, F.sum(own).over(inside))
+    joined = summed.join(before, F.col(keys).eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_r")))
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop(keys, at, own, "_k", "_r", "_before")
+
+
+def new_column(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

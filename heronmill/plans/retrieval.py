@@ -118,8 +118,8 @@ def lexical(spark, sf_dir):
 )
 def title_max(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    content = R.presence(F.col("text"), [("tion", 1)])
-    title = R.presence(F.col("source"), [("c1", 3)])
+    content = R.presence(F.lower("text"), [("tion", 1)])
+    title = R.presence(F.lower("source"), [("c1", 3)])
     rows = docs.withColumn("raw_score", F.greatest(content, title)).where("raw_score > 0")
     return R.top(rows, 40, F.desc("raw_score"), F.asc("doc_id")).select("doc_id", "raw_score", "rank")
 

@@ -160,3 +160,23 @@ def test_scratch(spark):
     kept = stored(df, "kept")
     scratch.clear()
     assert kept.count() == 3 and scratch.paths == []
+
+
+def test_running_sums_of_hot_keys(spark):
+    """A key with most rows, null keys and sizes, against a loop."""
+    from heronmill.operators.tables import running_sum
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot"] * 8 + ["b", None]), i, rnd.choice([None, 1, 5, 7])) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, i long, n long").withColumn("_keys", F.lit("extra")).repartition(7)
+    got = {r.i: (r.k, r.s, r["_keys"]) for r in running_sum(df, F.col("n"), "s", F.asc("i"), by=["k"]).collect()}
+    sums = {}
+    for k, i, n in rows:
+        sums[k] = sums.get(k, 0) + (n or 0)
+        assert got[i] == (k, sums[k], "extra")
+    total = 0
+    got = {r.i: r.s for r in running_sum(df, F.col("n"), "s", F.desc("i")).collect()}
+    for _, i, n in reversed(rows):
+        total += n or 0
+        assert got[i] == total
+    assert running_sum(df.limit(0), F.col("n"), "s", F.asc("i"), by=["k"]).count() == 0
