@@ -5,17 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heronmill.functions.folds import BLANKS, let, trimmed
 from heronmill.functions.json_values import is_container, is_json_lines
 from heronmill.sources.text_files import extension
 
 #: Languages that an extension settles.
 LANGUAGES = {
     "go": "go", "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "rs": "rust", "sh": "shell",
-    "sql": "sql", "json": "json", "jsonl": "json", "c": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php",
+    "sql": "sql", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "c": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php",
     "kt": "kotlin", "swift": "swift", "yaml": "yaml", "yml": "yaml", "toml": "toml", "css": "css", "html": "html",
 }
 
 
+#: Words that begin lines of code.
+KEYWORDS = (
+    "func", "def", "class", "interface", "struct", "enum", "typedef",
+    "import", "from", "using", "namespace", "package", "module",
+    "public", "private", "protected", "static", "final", "abstract",
+    "void", "int", "char", "float", "double", "bool", "string", "long", "short", "unsigned",
+    "var", "let", "const", "fn", "impl", "trait", "type", "map", "range",
+    "return", "if", "else", "for", "while", "switch", "case", "break", "continue",
+    "try", "catch", "throw", "new", "delete", "sizeof", "printf", "cout", "endl",
+    "include", "export", "async", "await", "lambda", "go", "defer", "select",
+)
+#: The share of lines from which a feature votes, and its votes; stops of Chinese prose; votes that make code.
+VOTES = {"keyword": (0.2, 2), "brace": (0.2, 1), "indent": (0.3, 1), "comment": (0.1, 1), "semicolon": (0.2, 1)}
+STOPS, MOST_STOPS, STOPS_VOTE, CODE_VOTES = "。！？；", 3, -2, 4
+
+
+def line_ratios(text: Column) -> Column:
+    """Shares of the lines that are not blank: begun by a keyword, with a brace at an end, indented, comments, ended by a semicolon."""
+
+    def of(line: Column) -> Column:
+        bare = trimmed(line)
+        word = F.lower(F.ltrim(F.regexp_extract(bare, r"^[^ \t(]*", 0), F.lit("#")))
+        return F.struct(
+            word.isin(*KEYWORDS).alias("keyword"), (bare.endswith("{") | bare.startswith("}")).alias("brace"),
+            line.rlike("^[ \t]").alias("indent"), bare.rlike(r"^(?://|#|/?\*)").alias("comment"), bare.endswith(";").alias("semicolon"),
+        )
+
+    def shares(lines: Column) -> Column:
+        n = F.size(lines)
+        part = lambda name: F.when(n > 0, F.size(F.filter(lines, lambda f: f[name])) / n).otherwise(0.0).alias(name)
+        return F.struct(*map(part, VOTES))
+
+    solid = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
+    return let(F.transform(solid, of), shares)
+
+
+def code_score(text: Column) -> Column:
+    """Votes of the features, less those of Chinese prose."""
+
+    def votes(shares: Column) -> Column:
+        total = F.lit(0)
+        for name, (least, n) in VOTES.items():
+            total = total + F.when(shares[name] >= least, n).otherwise(0)
+        return total
+
+    stops = F.char_length(text) - F.char_length(F.translate(text, STOPS, ""))
+    return let(line_ratios(text), votes) + F.when(stops >= MOST_STOPS, STOPS_VOTE).otherwise(0)
+
+
 def signs(text: Column, *patterns: str) -> Column:
     """How many of the patterns a text has."""
     total = F.lit(0)
@@ -57,12 +107,15 @@ def classify(text: Column, path: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), language.alias("language"), F.lit(reason).alias("reason"))
 
     none = F.lit(None).cast("string")
-    markdown = text.rlike(r"(?m)^#{1,6}(?:[ \t]|$)") | text.rlike(r"(?m)^(?:```|~~~)")
     return (
         F.when(ext.isin("md", "markdown"), row("document", none, "extension"))
         .when(by_extension.isNotNull(), row("code", by_extension, "extension"))
-        .when(is_container(text) | is_json_lines(text), row("code", F.lit("json"), "json"))
-        .when(markdown & found.isNull(), row("document", none, "markdown"))
+        .when(found == "go", row("code", found, "signs"))
+        .when(is_container(text), row("code", F.lit("json"), "json"))
+        .when(is_json_lines(text), row("code", F.lit("jsonl"), "json"))
+        .when(text.rlike(r"(?m)^[ \t]*(?:```|~~~)"), row("document", none, "fence"))
         .when(found.isNotNull(), row("code", found, "signs"))
+        .when(code_score(text) >= CODE_VOTES, row("code", none, "score"))
+        .when(text.rlike(r"(?m)^#{1,6}(?:[ \t]|$)"), row("document", none, "heading"))
         .otherwise(row("plain_text", none, "default"))
     )

@@ -46,9 +46,14 @@ def array_slice(text: Column) -> Column:
 
 
 def is_container(text: Column) -> Column:
-    """Whether a text is a JSON object or array."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    """Whether a text is one JSON object or array and nothing else.
+
+    The parser stops behind the first value. What follows it would have to close or to go on with an array as well
+    as an object, which only white space does.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    inside = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(F.when(text.rlike(r"^\s*[{\[]"), alone & inside & F.try_parse_json(text).isNotNull()), F.lit(False))
 
 
 def is_json_lines(text: Column) -> Column:

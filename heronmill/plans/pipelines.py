@@ -15,6 +15,34 @@ from heronmill.plans.registry import query, table
 from heronmill.streaming import events as S
 
 
+_CODE_LINES = """(SELECT doc_id, i, CASE WHEN doc_id % 4 = 0 THEN line WHEN i % 3 = 0 THEN 'if (' || line || ') {' WHEN i % 3 = 1 THEN '    ' || line || CASE WHEN doc_id % 4 = 1 THEN ';' ELSE '' END
+    WHEN doc_id % 4 = 3 THEN '// ' || line ELSE '}' END AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
+_KEYWORDS = ", ".join(f"'{k}'" for k in C.KEYWORDS)
+
+
+@query(
+    "d18_code_ratios",
+    f"""WITH l AS (SELECT doc_id, line, trim(line, ' ' || chr(9) || chr(13)) AS t FROM {_CODE_LINES}),
+    r AS (SELECT doc_id, avg((lower(ltrim(regexp_extract(t, '^[^ \t(]*'), '#')) IN ({_KEYWORDS}))::INT) AS keyword, avg((ends_with(t, '{{') OR starts_with(t, '}}'))::INT) AS brace,
+      avg(regexp_matches(line, '^[ \t]')::INT) AS indent, avg(regexp_matches(t, '^(//|#|/?[*])')::INT) AS comment, avg(ends_with(t, ';')::INT) AS semicolon FROM l WHERE t <> '' GROUP BY doc_id)
+    SELECT *, (CASE WHEN keyword >= 0.2 THEN 2 ELSE 0 END + CASE WHEN brace >= 0.2 THEN 1 ELSE 0 END + CASE WHEN indent >= 0.3 THEN 1 ELSE 0 END
+      + CASE WHEN comment >= 0.1 THEN 1 ELSE 0 END + CASE WHEN semicolon >= 0.2 THEN 1 ELSE 0 END)::INT AS score FROM r""",
+)
+def code_ratios(spark, sf_dir):
+    """Documents made into code of three styles, or left as they are."""
+    kind = F.col("doc_id") % 4
+
+    def one(line, i):
+        last = F.when(kind == 3, F.concat(F.lit("// "), line)).otherwise("}")
+        body = F.concat(F.lit("    "), line, F.when(kind == 1, ";").otherwise(""))
+        return F.when(kind == 0, line).when(i % 3 == 0, F.concat(F.lit("if ("), line, F.lit(") {"))).when(i % 3 == 1, body).otherwise(last)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), one), "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("code"))
+    return rows.select("doc_id", C.line_ratios(F.col("code")).alias("r"), C.code_score(F.col("code")).alias("score")).select("doc_id", "r.*", "score")
+
+
 def _markdown(spark, sf_dir):
     """Documents of which some lines are headings of three levels and some have an empty line behind them."""
     mark = lambda i: F.when(i % 7 == 1, "# ").when(i % 7 == 3, "## ").when(i % 7 == 5, "#### ").otherwise("")

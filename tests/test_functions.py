@@ -1,6 +1,8 @@
 """Unit cases of text functions, chunking, retrieval, sources and snapshots."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,15 @@ def test_json(spark):
         ("plain words", None, "plain_text", None),
         ("plain words", "a.py", "code", "python"),
         ("import os\ndef f(x):\n    return x\n", None, "code", "python"),
+        ('{"a": 1}\n[2]\n', None, "code", "jsonl"),
+        ('{"a": 1} and words', None, "plain_text", None),
+        ('[1]] , [[2]', None, "plain_text", None),
+        ('{"a":1}} , {"b":2', None, "plain_text", None),
+        ('{"a":1}, 2', None, "plain_text", None),
+        (' [1, {"a": null}] \n', None, "code", "json"),
+        ("text\n```\nselect a from b where c\n```", None, "document", None),
+        ("#include <stdio.h>\nint f(int a) {\n    if (a) {\n        return 1;\n    }\n    return 2;\n}\n", None, "code", None),
+        ("if this\n    is so。\n    then that。\n    if not；\n    else；", None, "plain_text", None),
     ],
 )
 def test_classify(spark, text, path, kind, language):
@@ -95,6 +106,25 @@ def test_classify(spark, text, path, kind, language):
     assert (found.kind, found.language) == (kind, language)
 
 
+def test_line_ratios_equal_a_loop(spark):
+    rnd = random.Random(7)
+    bits = ["if (x) {", "}", "  return a;", "# note", "// n", "text here", "", " ", "* x", "文。", "import b;", "#define y", "\tz", "} else {", "Func(a)"]
+    texts = ["\n".join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", C.line_ratios(F.col("t")).alias("r"), C.code_score(F.col("t")).alias("score")).collect():
+        lines = [x for x in texts[r.i].split("\n") if x.strip()]
+        words = [re.split(r"[ \t(]", x.strip())[0].lstrip("#").lower() for x in lines]
+        counts = {
+            "keyword": sum(w in C.KEYWORDS for w in words), "brace": sum(x.strip().endswith("{") or x.strip().startswith("}") for x in lines),
+            "indent": sum(x[0] in " \t" for x in lines), "comment": sum(x.strip().startswith(("//", "#", "/*", "*")) for x in lines),
+            "semicolon": sum(x.strip().endswith(";") for x in lines),
+        }
+        shares = {k: n / len(lines) if lines else 0.0 for k, n in counts.items()}
+        assert r.r.asDict() == pytest.approx(shares)
+        votes = sum(n for k, (least, n) in C.VOTES.items() if lines and shares[k] >= least)
+        assert r.score == votes - 2 * (sum(texts[r.i].count(c) for c in "。！？；") >= 3)
+
+
 def test_retrieval_rules(spark):
     with pytest.raises(ValueError):
         R.clean_terms([("a", 0)])
