@@ -52,19 +52,26 @@ def blocks_of(questions: DataFrame, *columns: str) -> Iterator[list]:
         yield held
 
 
-def vector_route(questions: DataFrame, chunks: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame | None:
-    """(query_id, id, similarity, rank): the ``k`` rows of each question with the highest cosine, ties by id."""
+def vector_route(
+    questions: DataFrame, chunks: DataFrame, id_col: str, vector_col: str, k: int, by: str | None = None
+) -> DataFrame | None:
+    """(query_id, id, similarity, rank): the ``k`` rows of each question with the highest cosine, ties by id.
+
+    With ``by``, a column of both, only rows that agree in it are compared; a null agrees with nothing.
+    """
     kind = chunks.schema[id_col].dataType
     schema = StructType.fromDDL("query_id long, id long, similarity double")
     schema["id"].dataType = kind
     arrow = to_arrow_schema(schema)
     found = None
-    for rows in blocks_of(questions, "query_id", "vector"):
+    columns = [F.col(id_col), F.col(vector_col), *([F.col(by)] if by else [])]
+    for rows in blocks_of(questions, "query_id", "vector", *([by] if by else [])):
         ids = np.array([r.query_id for r in rows], np.int64)
+        of = np.array([r[by] for r in rows], object) if by else None
         asked = np.array([r.vector for r in rows], float)
         asked /= np.linalg.norm(asked, axis=1, keepdims=True)
 
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked, of=of) -> Iterator[pa.RecordBatch]:
             best = None  # (question, id, similarity) of the partition so far
             for batch in batches:
                 lists = batch.column(1)
@@ -75,20 +82,24 @@ def vector_route(questions: DataFrame, chunks: DataFrame, id_col: str, vector_co
                 x = own.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(keep), -1)
                 norms = np.linalg.norm(x, axis=1)
                 fine = np.isfinite(norms) & (norms > 0)
-                x, names = x[fine] / norms[fine, None], batch.column(0).take(pa.array(keep[fine]))
+                x, kept = x[fine] / norms[fine, None], pa.array(keep[fine])
                 score = np.round(asked @ x.T, 9)
-                q = np.repeat(np.arange(len(ids)), len(names))
-                new = pa.table({"q": q, "id": pa.concat_arrays([names] * len(ids)), "s": score.ravel()})
+                same = np.ones(score.shape, bool)
+                if of is not None:
+                    own_of = np.array(batch.column(2).take(kept).to_pylist(), object)
+                    same = (of[:, None] == own_of) & np.not_equal(of, None)[:, None]
+                q, at = np.nonzero(same)
+                new = pa.table({"q": q, "id": batch.column(0).take(kept).take(pa.array(at)), "s": score[same]})
                 best = pa.concat_tables([best, new]) if best is not None else new
                 best = best.sort_by([("q", "ascending"), ("s", "descending"), ("id", "ascending")])
                 group = best.column("q").to_numpy()
                 place = np.arange(len(group)) - np.searchsorted(group, group, "left")
                 best = best.filter(pa.array(place < k))
             if best is not None:
-                columns = [ids[best.column("q").to_numpy()], best.column("id").combine_chunks(), best.column("s").combine_chunks()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                out = [ids[best.column("q").to_numpy()], best.column("id").combine_chunks(), best.column("s").combine_chunks()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-        own = chunks.select(id_col, F.col(vector_col)).where(F.col(id_col).isNotNull()).mapInArrow(search, schema)
+        own = chunks.select(*columns).where(F.col(id_col).isNotNull()).mapInArrow(search, schema)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return None

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from heronmill.operators import facade as A
 from heronmill.operators import retrieval as R
 from heronmill.plans.registry import query, table
 
@@ -92,12 +93,9 @@ def vector_join(spark, sf_dir):
 def vector_batch(spark, sf_dir):
     """A stated set of queries, those whose id 20 divides, against the rows of their label."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where(F.col("vec_id") % 20 == 0).select(
-        F.col("vec_id").alias("query_id"), F.col("label").alias("_label"), F.col("embedding").alias("asked")
-    )
-    pairs = rows.join(asked, F.col("label") == F.col("_label"))
-    found = R.vector_recall(pairs, F.col("embedding"), F.col("asked"), 5, "vec_id", by=["query_id"])
-    return found.select("query_id", "vec_id", "similarity", "rank")
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").cast("long").alias("query_id"), "label", F.col("embedding").alias("vector"))
+    found = A.vector_route(asked, rows, "vec_id", "embedding", 5, "label")
+    return found.select("query_id", F.col("id").alias("vec_id"), "similarity", "rank")
 
 
 @query(
@@ -198,14 +196,11 @@ def reranked(spark, sf_dir):
     FROM f QUALIFY rank <= 10""",
 )
 def multi_query(spark, sf_dir):
-    """Three variants of a question, each ranked over the corpus, fused by rank."""
+    """Three variants of a question, ranked in one pass over the corpus, fused by rank."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where(F.col("vec_id").isin(7, 20, 40)).select("vec_id", "embedding").collect()  # the variants
-    lists = None
-    for r in asked:
-        own = R.vector_recall(rows, F.col("embedding"), R.vector_literal(r.embedding), 20, "vec_id")
-        own = own.select("vec_id", "similarity", "rank", F.lit("vector").alias("method"))
-        lists = own if lists is None else lists.unionByName(own)
+    asked = rows.where(F.col("vec_id").isin(7, 20, 40)).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    found = A.vector_route(asked, rows, "vec_id", "embedding", 20)
+    lists = found.select(F.col("id").alias("vec_id"), "similarity", "rank", F.lit("vector").alias("method"))
     return R.fuse_variants(lists, ["vec_id"], 10).select("vec_id", "score", "similarity", "method", "rank")
 
 

@@ -144,3 +144,17 @@ def test_contexts(spark):
             assert got[q, rank] == want
     assert A.contexts(asked, rows.where("chunk_index <> 5"), 2000, 8000).where("rank = 2").first().context == ""
     assert A.contexts(asked.limit(0), rows).count() == 0
+
+
+def test_vectors_of_equal_labels(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["a", "b", None]), [rnd.random() for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id int, label string, vector array<double>").repartition(4)
+    asked = df.where("vec_id % 10 = 0").withColumn("query_id", F.col("vec_id").cast("long"))
+    got = sorted((r.query_id, r["rank"], r.id) for r in A.vector_route(asked, df, "vec_id", "vector", 3, "label").collect())
+    want = []
+    for i, label, v in rows[::10]:
+        if label is not None:
+            near = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, other, w in rows if other == label)
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(near[:3])]
+    assert got == sorted(want)
