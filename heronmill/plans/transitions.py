@@ -244,6 +244,43 @@ def retried(spark, sf_dir):
     return S.requeued(docs, F.col("o_custkey") % 2 == 0, F.lit("chunk")).drop("o_custkey")
 
 
+@query(
+    "k22_failure_records",
+    """SELECT o_orderkey AS id, CASE WHEN hit THEN 'failed' WHEN o_orderstatus = 'O' THEN 'processing' ELSE 'done' END AS status,
+    CASE WHEN hit THEN '{"stage":"' || CASE WHEN o_custkey % 5 = 0 THEN 'embed' ELSE 'parse' END || '","error":"' || CASE WHEN o_custkey % 2 = 0 THEN 'the parser failed' ELSE 'the service failed' END
+      || '","error_detail":"exit ' || o_custkey || '","failed_at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '"'
+      || CASE WHEN o_custkey % 2 = 0 THEN ',"error_code":"E' || (o_custkey % 7) || '"' ELSE '' END || '}' ELSE '{}' END AS metadata
+    FROM (SELECT *, o_orderstatus = 'O' AND o_custkey % 3 = 2 AND o_custkey % 4 <> 3 AS hit FROM orders)""",
+)
+def failure_records(spark, sf_dir):
+    """Documents whose second attempt failed, told by attempts one and two; some were cancelled."""
+    docs = orders(spark, sf_dir, "o_orderkey AS id", "CASE o_orderstatus WHEN 'O' THEN 'processing' ELSE 'done' END AS status",
+                  "o_custkey % 3 AS attempt", "'{}' AS metadata")
+    attempts = orders(
+        spark, sf_dir, "o_orderkey AS id", "explode(array(1, 2)) AS attempt", "o_custkey", "o_orderdate AS failed_at",
+        "concat('exit ', o_custkey) AS detail", "CASE WHEN o_custkey % 2 = 0 THEN concat('E', o_custkey % 7) ELSE '' END AS code",
+    ).withColumn(
+        "stage", F.when((F.col("attempt") == 2) & (F.col("o_custkey") % 4 == 3), None).when(F.col("o_custkey") % 5 == 0, "embed").otherwise("parse")
+    )
+    reason = F.when(F.col("_code") != "", "the parser failed").otherwise("the service failed")
+    return S.failed_with_record(docs, attempts, reason).drop("attempt")
+
+
+@query(
+    "k38_retried_within",
+    f"""WITH d AS (SELECT o_orderkey AS id, {STAGED} AS status, o_orderdate, o_custkey FROM orders),
+    f AS (SELECT greatest(0, 500 - count(*)) AS free FROM d WHERE status <> 'failed' AND o_custkey % 40 = 0),
+    p AS (SELECT id FROM d, f WHERE status = 'failed' AND o_custkey % 2 = 0 QUALIFY row_number() OVER (ORDER BY o_orderdate, id) <= free)
+    SELECT id, CASE WHEN id IN (FROM p) THEN 'pending' ELSE status END AS status, CASE WHEN id IN (FROM p) THEN 'chunk' ELSE 'parse' END AS stage,
+      CASE WHEN id NOT IN (FROM p) THEN 'bad' END AS error FROM d""",
+)
+def retried_within(spark, sf_dir):
+    docs = orders(spark, sf_dir, "o_orderkey AS id", f"{STAGED} AS status", "'parse' AS stage", "'bad' AS error", "o_custkey", "o_orderdate")
+    active = (F.col("status") != "failed") & (F.col("o_custkey") % 40 == 0)
+    out = S.retried_within(docs, F.col("o_custkey") % 2 == 0, active, F.lit("chunk"), 500, "id", F.col("o_orderdate"), F.col("id"))
+    return out.select("id", "status", "stage", "error")
+
+
 @query(
     "k41_failed_runs",
     f"""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus IN ('O', 'P') THEN 'failed' ELSE {STATUS} END AS status,

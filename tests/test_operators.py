@@ -180,3 +180,32 @@ def test_running_sums_of_hot_keys(spark):
         total += n or 0
         assert got[i] == total
     assert running_sum(df.limit(0), F.col("n"), "s", F.asc("i"), by=["k"]).count() == 0
+
+
+def test_failures_of_several_attempts(spark):
+    """The last attempt counts, a cancelled or foreign one changes nothing, and no row is multiplied."""
+    from heronmill.operators import states as S
+
+    docs = spark.createDataFrame(
+        [(1, "processing", 2, "{}"), (2, "processing", 2, "{}"), (3, "ready", 1, "{}"), (4, "processing", 1, "{}"), (5, "processing", 1, "{}")],
+        "id int, status string, attempt int, metadata string",
+    ).withColumn("code", F.lit("extra"))
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    tries = [(1, 1, "parse", "a", at, ""), (1, 2, "embed", "b", at, "E1"), (2, 2, None, "c", at, ""), (3, 1, "parse", "d", at, ""), (4, 1, "parse", None, at, ""), (4, 2, "parse", "x", at, "")]
+    attempts = spark.createDataFrame(tries, "id int, attempt int, stage string, detail string, failed_at timestamp, code string")
+    got = {r.id: (r.status, r.metadata) for r in S.failed_with_record(docs, attempts, F.lit("sorry")).collect()}
+    record = '{"stage":"embed","error":"sorry","error_detail":"b","failed_at":"2026-01-02T03:04:05Z","error_code":"E1"}'
+    assert got == {1: ("failed", record), 2: ("processing", "{}"), 3: ("ready", "{}"), 4: ("processing", "{}"), 5: ("processing", "{}")}
+    assert S.failed_with_record(docs, attempts, F.lit("x")).count() == 5
+
+
+def test_retries_within_capacity(spark):
+    from heronmill.operators import states as S
+
+    rows = [(i, "failed" if i % 2 else "pending", "parse", "bad") for i in range(10)] + [(None, "failed", "parse", "bad"), (1, "failed", "parse", "bad")]
+    docs = spark.createDataFrame(rows, "id int, status string, stage string, error string")
+    active = F.col("status") == "pending"
+    for capacity, want in ((0, []), (5, []), (7, [7, 9]), (100, [1, 1, 3, 5, 7, 9])):
+        out = S.retried_within(docs, F.lit(True), active, F.lit("chunk"), capacity, "id", -F.col("id"))
+        assert out.count() == len(rows)
+        assert sorted(r.id for r in out.where("stage = 'chunk' AND status = 'pending' AND error IS NULL").collect()) == want
