@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heronmill.functions.folds import let, trimmed
 from heronmill.functions.text import collapse
 
 #: What a page must not contain, and the reason that is reported.
@@ -81,11 +82,42 @@ def visible_text(html: Column) -> Column:
     return collapse(shown)
 
 
+def html_answer(text: Column) -> Column:
+    """The one document in an answer and, without it, its fault (H37): ``empty``, ``no document``, ``unfinished``,
+    ``several doctypes`` or ``several roots``. A fence around the whole answer goes first; null is empty.
+    """
+    bare = trimmed(F.coalesce(text, F.lit("")))
+    opened = F.regexp_replace(bare, r"^```[^\n]*\n", "")
+    closed = F.when(F.contains(opened, F.lit("```")), F.regexp_extract(opened, r"(?s)^(.*)```", 1)).otherwise(opened)
+    inner = F.when(bare.startswith("```"), trimmed(closed)).otherwise(bare)
+
+    def cut(of: Column) -> Column:
+        lower = F.lower(of)
+        doctype, root = F.instr(lower, "<!doctype"), F.instr(lower, "<html")
+        start = F.when(doctype > 0, doctype).otherwise(root)
+        back = F.instr(F.reverse(lower), ">lmth/<")
+        end = F.when(back > 0, F.char_length(of) - back + 1).otherwise(0)
+        return F.struct(of.alias("text"), start.alias("start"), end.alias("end"))
+
+    def found(c: Column) -> Column:
+        document = trimmed(F.substr(c["text"], c["start"], F.greatest(c["end"] - c["start"] + 1, F.lit(0))))
+        fault = F.when(bare == "", "empty").when(c["start"] == 0, "no document").when(c["end"] < c["start"], "unfinished")
+        return let(
+            F.struct(document.alias("document"), fault.alias("fault")),
+            lambda d: F.struct(d["document"].alias("document"), F.coalesce(
+                d["fault"],
+                F.when(F.regexp_count(d["document"], F.lit("(?i)<!doctype")) > 1, "several doctypes")
+                .when(F.regexp_count(d["document"], F.lit("(?i)<html")) > 1, "several roots"),
+            ).alias("fault")),
+        )
+
+    whole = let(let(inner, cut), found)
+    return let(whole, lambda d: F.struct(F.when(d["fault"].isNull(), d["document"]).alias("document"), d["fault"].alias("fault")))
+
+
 def html_document(text: Column) -> Column:
-    """The one document in a text, from its doctype or root to the root's end, or null."""
-    found = F.regexp_extract(text, r"(?is)((?:<!doctype\s+html[^>]*>\s*)?<html\b.*</html\s*>)", 1)
-    one = F.regexp_count(text, F.lit(r"(?i)<html\b")) == 1
-    return F.when(one, F.nullif(found, F.lit("")))
+    """The one document in an answer, or null."""
+    return html_answer(text)["document"]
 
 
 def controls(html: Column) -> Column:

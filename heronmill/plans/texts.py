@@ -155,6 +155,35 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.visible_text(html).alias("visible"), H.controls(html).alias("counts"))
 
 
+_ANSWER_SQL = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Here:' || chr(10) || html || ' done' WHEN 1 THEN chr(10) || ' ' WHEN 2 THEN 'no page' || left(html, 5)
+    WHEN 3 THEN replace(replace(html, '</html>', ''), '</HTML>', '') WHEN 4 THEN '<!doctype html>' || html || '<!DOCTYPE html></html>' WHEN 5 THEN html || html
+    ELSE '```html' || chr(10) || html || chr(10) || '```' END AS a FROM pages)"""
+
+
+@query(
+    "h37_html_faults",
+    f"""WITH w AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS w), t AS (SELECT page_id, trim(a, w) AS a, w FROM {_ANSWER_SQL}, w),
+    f AS (SELECT page_id, w, CASE WHEN starts_with(a, '```') THEN trim(regexp_extract(regexp_replace(a, '^```[^\n]*\n?', ''), '(?s)^(.*)```', 1), w) ELSE a END AS a FROM t),
+    p AS (SELECT *, CASE WHEN strpos(lower(a), '<!doctype') > 0 THEN strpos(lower(a), '<!doctype') ELSE strpos(lower(a), '<html') END AS s,
+      CASE WHEN contains(lower(a), '</html>') THEN length(a) - strpos(reverse(lower(a)), '>lmth/<') + 1 ELSE 0 END AS e FROM f),
+    d AS (SELECT *, trim(substr(a, s, greatest(e - s + 1, 0)), w) AS d FROM p),
+    g AS (SELECT page_id, d, CASE WHEN a = '' THEN 'empty' WHEN s = 0 THEN 'no document' WHEN e < s THEN 'unfinished'
+      WHEN len(string_split(lower(d), '<!doctype')) > 2 THEN 'several doctypes' WHEN len(string_split(lower(d), '<html')) > 2 THEN 'several roots' END AS fault FROM d)
+    SELECT page_id, fault, CASE WHEN fault IS NULL THEN sha256(d) END AS document_sha256 FROM g""",
+)
+def html_faults(spark, sf_dir):
+    """Answers of all kinds around a page."""
+    html, kind = F.col("html"), F.col("page_id") % 7
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("Here:\n"), html, F.lit(" done"))).when(kind == 1, "\n ").when(kind == 2, F.concat(F.lit("no page"), F.left(html, F.lit(5))))
+        .when(kind == 3, F.replace(F.replace(html, F.lit("</html>"), F.lit("")), F.lit("</HTML>"), F.lit("")))
+        .when(kind == 4, F.concat(F.lit("<!doctype html>"), html, F.lit("<!DOCTYPE html></html>"))).when(kind == 5, F.concat(html, html))
+        .otherwise(F.concat(F.lit("```html\n"), html, F.lit("\n```")))
+    )
+    found = table(spark, sf_dir, "pages").select("page_id", H.html_answer(answer).alias("d"))
+    return found.select("page_id", "d.fault", F.sha2("d.document", 256).alias("document_sha256"))
+
+
 @query("h37_html_document")
 def html_documents(spark, sf_dir):
     answer = F.concat(F.lit("Here it is:\n```html\n"), F.col("html"), F.lit("\n```"))

@@ -106,6 +106,20 @@ def test_classify(spark, text, path, kind, language):
     assert (found.kind, found.language) == (kind, language)
 
 
+@pytest.mark.parametrize(
+    "text, document, fault",
+    [
+        (None, None, "empty"), (" \n", None, "empty"), ("words", None, "no document"), ("<html><body>", None, "unfinished"), ("</html> <html>", None, "unfinished"),
+        ("<!DOCTYPE html><html></html> <!doctype html></html>", None, "several doctypes"), ("<html></html><HTML></html>", None, "several roots"),
+        ("```html\n<html>a</html>\n```", "<html>a</html>", None), ("so: <!doctype html>\n<html>É</HTML>\nend", "<!doctype html>\n<html>É</HTML>", None),
+        ("```", None, "no document"), ("```<html>x</html>", None, "no document"),
+    ],
+)
+def test_html_answers(spark, text, document, fault):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert tuple(df.select(H.html_answer(F.col("t")).alias("d")).first().d) == (document, fault)
+
+
 def test_line_ratios_equal_a_loop(spark):
     rnd = random.Random(7)
     bits = ["if (x) {", "}", "  return a;", "# note", "// n", "text here", "", " ", "* x", "文。", "import b;", "#define y", "\tz", "} else {", "Func(a)"]
