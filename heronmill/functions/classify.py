@@ -30,6 +30,8 @@ KEYWORDS = (
 )
 #: The share of lines from which a feature votes, and its votes; stops of Chinese prose; votes that make code.
 VOTES = {"keyword": (0.2, 2), "brace": (0.2, 1), "indent": (0.3, 1), "comment": (0.1, 1), "semicolon": (0.2, 1)}
+#: A line with a feature besides its first word; without any the votes cannot suffice.
+CODE_LINE = r"(?m)^[ \t]|^\s*[}#*/]|[{;]\s*$"
 STOPS, MOST_STOPS, STOPS_VOTE, CODE_VOTES = "。！？；", 3, -2, 4
 
 
@@ -76,19 +78,31 @@ def signs(text: Column, *patterns: str) -> Column:
 
 def language_signs(text: Column) -> Column:
     """The first language whose signs suffice, or null."""
-    go = signs(text, r"^package [a-z]\w*\s*$", r"^func (?:\([^)]*\) )?\w+\(", r"^import (?:\(|\")", r"^type \w+ (?:struct|interface)\b")
-    python = signs(text, r"^(?:def|class) \w+[^\n]*:\s*$") * (
-        1 + signs(text, r"^(?:import|from) \w", r"^ {4}\S[^\n]*:\s*$", r"^if __name__ ==")
-    )
-    script = signs(text, r"\bfunction\b[^\n]*\(|=>") * (
-        1 + signs(text, r"^\s*(?:const|let|var) \w+ =", r"\bconsole\.log\(", r"^(?:import|export) ", r";\s*$")
-    )
-    java = signs(text, r"\b(?:class|interface|enum) \w+[^\n]*\{") * (
-        1 + signs(text, r"^import [\w.]+;", r"\bpublic (?:static|class|void)\b", r"^package [\w.]+;", r"\bSystem\.out\b")
-    )
-    rust = signs(text, r"\bfn \w+[^\n]*\{") * (1 + signs(text, r"\blet (?:mut )?\w+", r"^(?:use|mod|impl|pub) "))
-    shell = signs(text, r"^#!.*\bsh\b", r"^\s*(?:fi|done|esac)\b", r"\$\{?\w+", r"^\s*(?:echo|export|cd) ", r"\bthen\b")
-    sql = signs(text, r"(?i)\bselect\b[^;]+\bfrom\b") * (1 + signs(text, r"(?i)\b(?:where|group by|order by|join)\b"))
+
+    def led(first: str, *more: str) -> Column:
+        """One for the first pattern and one for each further one; nothing, and no further search, without the first."""
+        return F.when(text.rlike("(?m)" + first), 1 + signs(text, *more)).otherwise(0)
+
+    def some(any_of: str, *patterns: str) -> Column:
+        """How many of the patterns a text has that holds ``any_of``, which all of them need."""
+        return F.when(text.rlike("(?m)" + any_of), signs(text, *patterns)).otherwise(0)
+
+    go = some(
+        r"^(?:package|func|import|type) ",
+        r"^package [a-z]\w*\s*$", r"^func (?:\([^)]*\) )?\w+\(", r"^import (?:\(|\")", r"^type \w+ (?:struct|interface)\b",
+    )
+    python = led(r"^(?:def|class) \w+[^\n]*:\s*$", r"^(?:import|from) \w", r"^ {4}\S[^\n]*:\s*$", r"^if __name__ ==")
+    script = led(r"\bfunction\b[^\n]*\(|=>", r"^\s*(?:const|let|var) \w+ =", r"\bconsole\.log\(", r"^(?:import|export) ", r";\s*$")
+    java = led(
+        r"\b(?:class|interface|enum) \w+[^\n]*\{",
+        r"^import [\w.]+;", r"\bpublic (?:static|class|void)\b", r"^package [\w.]+;", r"\bSystem\.out\b",
+    )
+    rust = led(r"\bfn \w+[^\n]*\{", r"\blet (?:mut )?\w+", r"^(?:use|mod|impl|pub) ")
+    shell = some(
+        r"^#!|^\s*(?:fi|done|esac|echo|export|cd)\b|\$|\bthen\b",
+        r"^#!.*\bsh\b", r"^\s*(?:fi|done|esac)\b", r"\$\{?\w+", r"^\s*(?:echo|export|cd) ", r"\bthen\b",
+    )
+    sql = led(r"(?i)\bselect\b[^;]+\bfrom\b", r"(?i)\b(?:where|group by|order by|join)\b")
     return (
         F.when(go >= 2, "go").when(python >= 2, "python").when(script >= 2, "javascript").when(java >= 2, "java")
         .when(rust >= 2, "rust").when(shell >= 3, "shell").when(sql >= 2, "sql")
@@ -101,21 +115,26 @@ def classify(text: Column, path: Column) -> Column:
     by_extension = F.lit(None).cast("string")
     for name, language in LANGUAGES.items():
         by_extension = F.when(ext == name, language).otherwise(by_extension)
-    found = language_signs(text)
 
     def row(kind: str, language: Column, reason: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), language.alias("language"), F.lit(reason).alias("reason"))
 
     none = F.lit(None).cast("string")
+
+    def by_content(found: Column) -> Column:
+        return (
+            F.when(found == "go", row("code", found, "signs"))
+            .when(is_container(text), row("code", F.lit("json"), "json"))
+            .when(is_json_lines(text), row("code", F.lit("jsonl"), "json"))
+            .when(text.rlike(r"(?m)^[ \t]*(?:```|~~~)"), row("document", none, "fence"))
+            .when(found.isNotNull(), row("code", found, "signs"))
+            .when(text.rlike(CODE_LINE) & (code_score(text) >= CODE_VOTES), row("code", none, "score"))
+            .when(text.rlike(r"(?m)^#{1,6}(?:[ \t]|$)"), row("document", none, "heading"))
+            .otherwise(row("plain_text", none, "default"))
+        )
+
     return (
         F.when(ext.isin("md", "markdown"), row("document", none, "extension"))
         .when(by_extension.isNotNull(), row("code", by_extension, "extension"))
-        .when(found == "go", row("code", found, "signs"))
-        .when(is_container(text), row("code", F.lit("json"), "json"))
-        .when(is_json_lines(text), row("code", F.lit("jsonl"), "json"))
-        .when(text.rlike(r"(?m)^[ \t]*(?:```|~~~)"), row("document", none, "fence"))
-        .when(found.isNotNull(), row("code", found, "signs"))
-        .when(code_score(text) >= CODE_VOTES, row("code", none, "score"))
-        .when(text.rlike(r"(?m)^#{1,6}(?:[ \t]|$)"), row("document", none, "heading"))
-        .otherwise(row("plain_text", none, "default"))
+        .otherwise(let(language_signs(text), by_content))  # the signs are sought once
     )

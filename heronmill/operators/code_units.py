@@ -28,6 +28,7 @@ from heronmill.functions import text as X
 from heronmill.functions.folds import BLANKS, emitted, let, trimmed
 from heronmill.functions.json_values import is_container
 from heronmill.operators.chunks import GAP, MOST_HEADING, Limits, chunk_documents, none_of
+from heronmill.sources.storage import stored
 
 INDENTED = ("python", "yaml")
 HASH_COMMENTS = ("shell", "powershell", "batch", "ruby", "perl", "r", "yaml", "python")
@@ -348,7 +349,8 @@ def split_documents(docs: DataFrame, id_col: str, text_col: str, path_col: str,
     """Chunks of code and of documents by what a text is, with ``content_type``."""
     kind = K.classify(F.col(text_col), F.col(path_col))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kind.alias("class"))
-    found = found.withColumns({"language": F.col("class.language"), "kind": F.col("class.kind")})
+    # Both ways read what a text is, which is costly to tell.
+    found = stored(found.select("id", "text", "class.language", "class.kind"), "classified")
     code = code_chunks(found.where("kind = 'code'"), "id", "text", "language", limits)
     code = code.withColumns({"content_type": F.lit("code"), "heading": F.lit(""), "section_path": F.lit("")})
     # The id takes the kind along.
