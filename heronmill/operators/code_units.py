@@ -347,8 +347,11 @@ def chunks_of(pieces: DataFrame, gap: Column, limits: Limits) -> DataFrame:
 
 def split_documents(docs: DataFrame, id_col: str, text_col: str, path_col: str, limits: Limits | None = None) -> DataFrame:
     """Chunks of code and of documents by what a text is, with ``content_type``."""
-    kind = K.classify(F.col(text_col), F.col(path_col))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kind.alias("class"))
+    kind = K.classify(F.col("text"), F.col("path"))
+    # Telling what a text is costs more than moving it, and files may be few.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path")).repartition(parts)
+    found = rows.select("id", "text", kind.alias("class"))
     # Both ways read what a text is, which is costly to tell.
     found = stored(found.select("id", "text", "class.language", "class.kind"), "classified")
     code = code_chunks(found.where("kind = 'code'"), "id", "text", "language", limits)
