@@ -258,7 +258,9 @@ def page_levels(spark, sf_dir):
       || CASE WHEN bool_or(coalesce(needs >= position, false)) THEN 'forward_dependency' ELSE '' END AS broken FROM e GROUP BY plan_id""",
 )
 def plan_violations(spark, sf_dir):
-    return P.plan_violations(_plans(spark, sf_dir)).select("plan_id", F.array_join("broken", ",").alias("broken"))
+    """Rules as text: each is followed by a comma, but for the last one there is."""
+    told = F.transform("broken", lambda rule: F.when(rule == "forward_dependency", rule).otherwise(F.concat(rule, F.lit(","))))
+    return P.plan_violations(_plans(spark, sf_dir)).select("plan_id", F.array_join(told, "").alias("broken"))
 
 
 _HOLDS = """h AS (SELECT l_orderkey AS plan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS position,
