@@ -4,9 +4,10 @@ A question has an id, a vector and weighted terms. Either route may fail for a q
 what failed is told in columns of a status row, and nothing is raised (L01). Vectors of another size than the
 model's, without length or with components that are null or not finite, are refused before the search (L02).
 
-Questions are a stated set that is asked against all rows: ``BLOCK`` of them at a time go to all tasks,
-where vectors are one matrix product and texts are lowered once and tested once for each distinct term.
-Every partition keeps its best rows of each question before they move.
+Questions are a stated set that is asked against all rows. ``PASS`` vectors at a time go to all tasks, where ``BLOCK`` of them
+are one matrix product with a batch; of its scores only those move on that may be among a question's best. Texts are lowered once
+and tested once for each distinct term. Rows with the same terms have the same score in every question, so the first ones of each
+such class stand for all of it, and questions that ask for the same terms are answered once.
 
 Defined cases: questions without an id are not asked, and of those that repeat an id the one with the largest vector is;
 null contents and titles are empty; rows without a vector are found by words only, rows without an id not at all.
@@ -24,8 +25,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from heronmill.operators.retrieval import fuse, recall_limit, top, trim_overlap, windowed_text
+from heronmill.sources.storage import stored
 
-BLOCK = 512
+BLOCK, PASS = 512, 4096
 PER_HIT, TOTAL, REACH = 2000, 8000, 1
 
 
@@ -40,12 +42,12 @@ def vector_fault(vector: Column, dimensions: int) -> Column:
     )
 
 
-def blocks_of(questions: DataFrame, *columns: str) -> Iterator[list]:
+def blocks_of(questions: DataFrame, *columns: str, size: int = BLOCK) -> Iterator[list]:
     """The questions by blocks; one block at a time is on the driver."""
     held: list = []
     for row in questions.select(*columns).toLocalIterator():
         held.append(row)
-        if len(held) == BLOCK:
+        if len(held) == size:
             yield held
             held = []
     if held:
@@ -65,14 +67,16 @@ def vector_route(
     arrow = to_arrow_schema(schema)
     found = None
     columns = [F.col(id_col), F.col(vector_col), *([F.col(by)] if by else [])]
-    for rows in blocks_of(questions, "query_id", "vector", *([by] if by else [])):
+    for rows in blocks_of(questions, "query_id", "vector", *([by] if by else []), size=PASS):
         ids = np.array([r.query_id for r in rows], np.int64)
         of = np.array([r[by] for r in rows], object) if by else None
         asked = np.array([r.vector for r in rows], float)
         asked /= np.linalg.norm(asked, axis=1, keepdims=True)
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked, of=of) -> Iterator[pa.RecordBatch]:
-            best = None  # (question, id, similarity) of the partition so far
+            blocks = range(0, len(ids), BLOCK)
+            best = dict.fromkeys(blocks)  # (question, id, similarity) of the partition so far
+            least = np.full(len(ids), -np.inf)  # what a question's k-th best row has so far
             for batch in batches:
                 lists = batch.column(1)
                 keep = np.flatnonzero(np.diff(np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]) == asked.shape[1])
@@ -83,21 +87,31 @@ def vector_route(
                 norms = np.linalg.norm(x, axis=1)
                 fine = np.isfinite(norms) & (norms > 0)
                 x, kept = x[fine] / norms[fine, None], pa.array(keep[fine])
-                score = np.round(asked @ x.T, 9)
-                same = np.ones(score.shape, bool)
+                row_ids = batch.column(0).take(kept)
                 if of is not None:
                     own_of = np.array(batch.column(2).take(kept).to_pylist(), object)
-                    same = (of[:, None] == own_of) & np.not_equal(of, None)[:, None]
-                q, at = np.nonzero(same)
-                new = pa.table({"q": q, "id": batch.column(0).take(kept).take(pa.array(at)), "s": score[same]})
-                best = pa.concat_tables([best, new]) if best is not None else new
-                best = best.sort_by([("q", "ascending"), ("s", "descending"), ("id", "ascending")])
-                group = best.column("q").to_numpy()
-                place = np.arange(len(group)) - np.searchsorted(group, group, "left")
-                best = best.filter(pa.array(place < k))
-            if best is not None:
-                out = [ids[best.column("q").to_numpy()], best.column("id").combine_chunks(), best.column("s").combine_chunks()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
+                for at in blocks:
+                    part = slice(at, at + BLOCK)
+                    score = np.round(asked[part] @ x.T, 9)
+                    if of is not None:
+                        score[(of[part, None] != own_of) | np.equal(of[part], None)[:, None]] = -np.inf
+                    if score.shape[1] > k:
+                        least[part] = np.maximum(least[part], np.partition(score, -k, axis=1)[:, -k])
+                    q, row = np.nonzero((score >= least[part, None]) & (score > -np.inf))
+                    if not len(q):
+                        continue
+                    new = pa.table({"q": q + at, "id": row_ids.take(pa.array(row)), "s": score[q, row]})
+                    new = pa.concat_tables([best[at], new]) if best[at] is not None else new
+                    new = new.sort_by([("q", "ascending"), ("s", "descending"), ("id", "ascending")])
+                    group = new.column("q").to_numpy()
+                    place = np.arange(len(group)) - np.searchsorted(group, group, "left")
+                    best[at] = new.filter(pa.array(place < k))
+                    last = np.flatnonzero(place == k - 1)
+                    least[group[last]] = new.column("s").to_numpy()[last]
+            for found in best.values():
+                if found is not None:
+                    out = [ids[found.column("q").to_numpy()], found.column("id").combine_chunks(), found.column("s").combine_chunks()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
 
         own = chunks.select(*columns).where(F.col(id_col).isNotNull()).mapInArrow(search, schema)
         found = own if found is None else found.unionByName(own)
@@ -108,33 +122,34 @@ def vector_route(
 
 def lexical_route(questions: DataFrame, chunks: DataFrame, id_col: str, content: Column, title: Column, k: int) -> DataFrame | None:
     """(query_id, id, raw_score, rank): rows by the weights of the terms that the content or the title has, the larger sum."""
+    spark = chunks.sparkSession
+    keyed = questions.select("query_id", "terms", F.sha2(F.to_json(F.struct("terms")), 256).alias("set"))
+    lower = chunks.select(
+        F.col(id_col).alias("id"), *(F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((content, "content"), (title, "title")))
+    ).where("id IS NOT NULL")
     found = None
-    for rows in blocks_of(questions, "query_id", "terms"):
-        asked = [(r.query_id, t.text.strip().lower(), float(t.weight)) for r in rows for t in r.terms if t.text and t.text.strip() and t.weight > 0]
-        words = sorted({w for _, w, _ in asked})
-        spark = chunks.sparkSession
-        weights = spark.createDataFrame(sorted(set(asked)), "query_id long, term string, weight double")
-        listed = F.array(*map(F.lit, words)).cast("array<string>")
-        lower = chunks.select(
-            F.col(id_col).alias("id"), *(F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((content, "content"), (title, "title")))
-        ).where("id IS NOT NULL")
-        hits = lower.select(
-            "id",
-            F.explode(
-                F.filter(
-                    F.transform(listed, lambda w: F.struct(w.alias("term"), F.contains("content", w).alias("in_content"), F.contains("title", w).alias("in_title"))),
-                    lambda h: h["in_content"] | h["in_title"],
-                )
-            ).alias("h"),
-        ).select("id", "h.*")
-        # Some terms of one block of questions.
-        own = hits.join(F.broadcast(weights), "term").groupBy("query_id", "id").agg(
+    for sets in blocks_of(keyed.groupBy("set").agg(F.first("terms").alias("terms")), "set", "terms"):
+        asked = [(r["set"], t.text.strip().lower(), float(t.weight)) for r in sets for t in r.terms if t.text and t.text.strip() and t.weight > 0]
+        listed = F.array(*map(F.lit, sorted({w for _, w, _ in asked}))).cast("array<string>")
+        weights = spark.createDataFrame(sorted(set(asked)), "set string, term string, weight double")
+        has = F.filter(
+            F.transform(listed, lambda w: F.struct(w.alias("term"), F.contains("content", w).alias("in_content"), F.contains("title", w).alias("in_title"))),
+            lambda h: h["in_content"] | h["in_title"],
+        )
+        # An id has the terms of all its rows; those with the same ones are a class, of which no more than ``k`` can be asked for.
+        classes = lower.select("id", has.alias("has")).where(F.size("has") > 0).groupBy("id").agg(
+            F.array_sort(F.flatten(F.collect_list("has"))).alias("has")
+        )
+        first = top(classes, k, F.asc("id"), by=["has"]).select("id", F.explode("has").alias("h")).select("id", "h.*")
+        # Some terms of one block of sets.
+        own = first.join(F.broadcast(weights), "term").groupBy("set", "id").agg(
             F.greatest(*(F.sum(F.when(F.col(c), F.col("weight")).otherwise(0.0)) for c in ("in_content", "in_title"))).alias("raw_score")
         )
         found = own if found is None else found.unionByName(own)
     if found is None:
         return None
-    return top(found.withColumn("raw_score", F.round("raw_score", 9)), k, F.desc("raw_score"), F.asc("id"), by=["query_id"])
+    ranked = top(found.withColumn("raw_score", F.round("raw_score", 9)), k, F.desc("raw_score"), F.asc("id"), by=["set"])
+    return keyed.join(ranked, "set").select("query_id", "id", "raw_score", "rank")
 
 
 def retrieve(
@@ -153,13 +168,15 @@ def retrieve(
             "lexical_error": F.when(F.coalesce(F.size(usable), F.lit(0)) <= 0, "no terms"),
         }
     )
+    # The questions and what the routes found, some rows of each question, are read several times.
+    asked = stored(asked, "questions")
     vectors = vector_route(asked.where("vector_error IS NULL"), chunks, id_col, vector_col, limit)
     words = lexical_route(asked.where("lexical_error IS NULL"), chunks, id_col, content, title, limit)
     empty = chunks.select(F.col(id_col).alias("id")).where(F.lit(False)).withColumns(
         {"query_id": F.lit(0).cast("long"), "rank": F.lit(0), "similarity": F.lit(0.0), "raw_score": F.lit(0.0)}
     )
-    vectors = empty.drop("raw_score") if vectors is None else vectors
-    words = empty.drop("similarity") if words is None else words
+    vectors = empty.drop("raw_score") if vectors is None else stored(vectors, "vector-hits")
+    words = empty.drop("similarity") if words is None else stored(words, "lexical-hits")
     hits = fuse(vectors, words, ["id"], k, by=["query_id"])
     counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
     by_vector = vectors.groupBy("query_id").agg(F.count("*").alias("n_vectors"))
