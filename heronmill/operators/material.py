@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronmill.operators.tables import running_sum
+from heronmill.operators.tables import key_counts, running_sum
 
 TOTAL, SUMMARIES, OUTLINE, SMALL = 8000, 4000, 800, 6000
 MOST_SECTIONS, PER_CALL, MOST_CALLS = 40, 4, 12
@@ -46,13 +46,13 @@ def subtree_sizes(sections: DataFrame, document: str, path: str, size: str) -> D
 
 def narration_problems(blocks: DataFrame, narration: DataFrame, scene: str, key: str) -> DataFrame:
     """Blocks that a narration lacks, repeats or makes up."""
-    want = blocks.groupBy(scene, key).agg(F.count("*").alias("blocks"))
-    have = narration.groupBy(scene, key).agg(F.count("*").alias("told"))
-    both = want.join(have, [scene, key], "full")
-    problem = (
-        F.when(F.col("told").isNull(), "missing").when(F.col("blocks").isNull(), "unknown").when(F.col("told") > 1, "repeated")
-    )
-    return both.select(scene, key, problem.alias("problem")).where("problem IS NOT NULL")
+    both = key_counts(blocks, narration, [scene, key])
+    wanted, told = F.col("n_left") > 0, F.col("n_right") > 0
+    known = F.col(scene).isNotNull() & F.col(key).isNotNull()
+    # What lacks a part of its key is never the same as another.
+    apart = F.array_compact(F.array(F.when(wanted, "missing"), F.when(told, "unknown")))
+    one = F.array_compact(F.array(F.when(~told, "missing").when(~wanted, "unknown").when(F.col("n_right") > 1, "repeated")))
+    return both.select(scene, key, F.explode(F.when(known, one).otherwise(apart)).alias("problem"))
 
 
 def propagated(children: DataFrame, parents: DataFrame, child: str, parent: str, column: str) -> DataFrame:

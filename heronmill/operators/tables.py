@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from heronmill.sources.storage import stored
 
+#: Tasks at least for keys of whole tables.
+LEAST_PARTS = 128
+
 
 def normalize_page(page: int, size: int, default: int = 20, most: int = 100) -> tuple[int, int]:
     """Page from 1, page size from 1 to ``most``."""
@@ -150,6 +153,22 @@ def running_sum(df: DataFrame, size: Column, name: str, *order: Column, by: Sequ
     return joined.withColumn(name, F.col(name) + F.col("_before")).drop(keys, at, own, "_k", "_r", "_before")
 
 
+def dealt_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` dealt by its keys to a number of tasks that adaptive execution does not lessen.
+
+    Numbers shrink so much in a shuffle that tasks joined by their bytes would hold many millions of keys.
+    """
+    parts = max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
+def key_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_left, n_right): rows of either side with the keys, by one shuffle and without a join; nulls are a key."""
+    one, other = (df.select(*keys, F.lit(n).alias("_left")) for df, n in ((left, True), (right, False)))
+    rows = dealt_by(one.unionByName(other), keys)
+    return rows.groupBy(*keys).agg(F.count_if("_left").alias("n_left"), F.count_if(~F.col("_left")).alias("n_right"))
+
+
 def new_column(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
