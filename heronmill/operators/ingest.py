@@ -89,9 +89,11 @@ def ingest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def vector_violations(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """What must be empty before documents become ready: chunks and vectors that do not match."""
     keys = ["document_id", "chunk_index"]
-    lacking = chunks.select(*keys).join(vectors.select(*keys), keys, "left_anti").withColumn("problem", F.lit("no vector"))
-    foreign = vectors.select(*keys).join(chunks.select(*keys), keys, "left_anti").withColumn("problem", F.lit("no chunk"))
-    return lacking.unionByName(foreign)
+    both = tables.key_counts(chunks, vectors, keys)
+    matched = (F.col("n_left") > 0) & (F.col("n_right") > 0) & F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()
+    told = lambda n, problem: F.array_repeat(F.lit(problem), F.col(n).cast("int"))
+    problems = F.concat(told("n_left", "no vector"), told("n_right", "no chunk"))
+    return both.where(~matched).select(*keys, F.explode(problems).alias("problem"))
 
 
 def write_chunks(spark: SparkSession, chunks: DataFrame, path: str) -> None:

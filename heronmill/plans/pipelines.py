@@ -10,7 +10,7 @@ from heronmill.operators import ingest as I
 from heronmill.operators import pages as P
 from heronmill.operators.chunks import Limits, chunk_documents
 from heronmill.operators.sections import section_tree
-from heronmill.operators.tables import violations
+from heronmill.operators.tables import dealt_by, violations
 from heronmill.plans.registry import query, table
 from heronmill.streaming import events as S
 
@@ -223,19 +223,23 @@ def chunk_vectors(spark, sf_dir):
 )
 def vector_violations(spark, sf_dir):
     """Lines as chunks; some have no vector, some vectors have an index of no chunk."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"))
+    lines = dealt_by(lines, lines.columns).distinct()
     moved = F.when(F.col("document_id") % 40 == 1, F.col("chunk_index") + 100).otherwise(F.col("chunk_index"))
     vectors = lines.where("(document_id + chunk_index) % 9 <> 0").withColumn("chunk_index", moved)
     return I.vector_violations(lines, vectors)
 
 
-def _plans(spark, sf_dir):
-    """Orders as plans and their lines as pages; a page needs the one at half its place."""
+def _plans(spark, sf_dir, **more):
+    """Orders as plans and their lines as pages; a page needs the one at half its place. ``more`` are columns made of a line."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, sf_dir, "lineitem").withColumn("position", (F.row_number().over(w) - 1).cast("int"))
     needs = F.when(F.col("position") > 0, F.array((F.col("position") / 2).cast("int").cast("string"))).otherwise(F.array().cast("array<string>"))
     needs = F.when((F.col("l_orderkey") % 50 == 0) & (F.col("position") == 1), F.array(F.lit("1"))).otherwise(needs)
-    return rows.select(F.col("l_orderkey").alias("plan_id"), F.col("position").cast("string").alias("page_id"), "position", needs.alias("prerequisites"))
+    return rows.select(
+        F.col("l_orderkey").alias("plan_id"), F.col("position").cast("string").alias("page_id"), "position", needs.alias("prerequisites"),
+        *(column.alias(name) for name, column in more.items()),
+    )
 
 
 _PAGES = """p AS (SELECT l_orderkey AS plan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM lineitem),

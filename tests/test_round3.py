@@ -5,6 +5,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heronmill.operators import facade as A
+from heronmill.operators import ingest as I
+from heronmill.operators import material as M
+from heronmill.operators import tables as T
 from heronmill.plans import load_plans
 from heronmill.plans.registry import ORACLES, QUERIES
 
@@ -64,3 +67,18 @@ def test_many_questions_are_asked_in_one_pass(spark):
     got_vectors = [(r.query_id, r.id, r.similarity) for r in by_vector.collect()]
     assert sorted((q, round(s, 6)) for q, _, s in got_vectors) == sorted((q, round(s, 6)) for q, _, s in want_vectors)
     assert sorted((r.query_id, r.id, r.raw_score) for r in by_words.collect()) == sorted(want_words)
+
+
+def test_keys_of_two_tables_meet_without_joins_or_joined_tasks(spark):
+    """Repeated rows, rows of one side and nulls, as the joins of before gave them; as many tasks as are stated."""
+    left = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (None, 1)], "document_id long, chunk_index int")
+    right = spark.createDataFrame([(1, 1), (3, 1), (3, 1), (2, 1), (2, 1), (None, 1)], "document_id long, chunk_index int")
+    lacking = [(None, 1, "no chunk"), (None, 1, "no vector"), (1, 2, "no vector"), (3, 1, "no chunk"), (3, 1, "no chunk")]
+    found = I.vector_violations(left, right)
+    assert rows_of(found) == sorted(lacking, key=repr)
+    told = [(None, 1, "missing"), (None, 1, "unknown"), (1, 2, "missing"), (2, 1, "repeated"), (3, 1, "unknown")]
+    problems = M.narration_problems(left, right, "document_id", "chunk_index")
+    assert rows_of(problems) == sorted(told, key=repr)
+    for df in (found, problems):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.rdd.getNumPartitions() >= T.LEAST_PARTS
