@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronmill.functions.folds import let
 from heronmill.operators.pages import MOST_PAGES
 from heronmill.sources.storage import stored
 
@@ -42,7 +43,8 @@ def steps_signature(steps: Column) -> Column:
 
 def restorable(version: Column, saved_hash: Column, node: Column, current_hash: Column) -> Column:
     """Whether a checkpoint can be gone on with."""
-    same = (version == VERSION) & (saved_hash != "") & (saved_hash == current_hash) & node.isin(*NODES)
+    # Hashes are the costly part: each is taken once, and none where a cheaper sign tells.
+    same = (version == VERSION) & node.isin(*NODES) & (F.nullif(saved_hash, F.lit("")) == current_hash)
     return F.coalesce(same, F.lit(False))
 
 
@@ -52,21 +54,27 @@ def kept_pages(pages: DataFrame) -> DataFrame:
     A plan has ``MOST_PAGES`` pages by rule and is settled in one fold; larger ones lose pages round by round together.
     """
     rows = pages.select("plan_id", "page_id", "prerequisites", F.coalesce("holds", F.lit(False)).alias("holds"))
-    sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy("plan_id")))
-    small = sized.where(F.col("_n") <= MOST_PAGES).groupBy("plan_id").agg(
-        F.collect_list(F.when(F.col("holds"), F.struct("page_id", "prerequisites"))).alias("pages"), F.max("_n").alias("n")
-    )
-
-    def stay(kept: Column, _: Column) -> Column:
-        ids = F.transform(kept, lambda p: p["page_id"])
-        return F.filter(kept, lambda p: F.size(F.array_except(p["prerequisites"], ids)) == 0)
-
-    settled = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.col("pages"), stay)
+    # Stored, so that what a page holds by is looked at once.
+    rows = stored(rows, "pages")
+    large = stored(rows.groupBy("plan_id").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_PAGES).select("plan_id"), "large-plans")
+    any_large = not large.isEmpty()
+    own = rows.join(large, rows["plan_id"].eqNullSafe(large["plan_id"]), "left_anti") if any_large else rows
+    small = own.groupBy("plan_id").agg(F.collect_list(F.when(F.col("holds"), F.struct("page_id", "prerequisites"))).alias("pages"))
+    kind = "struct<pages: array<struct<page_id: string, prerequisites: array<string>>>, stays: boolean>"
+
+    def stay(held: Column, _: Column) -> Column:
+        ids = F.transform(held["pages"], lambda p: p["page_id"])
+        left = F.filter(held["pages"], lambda p: F.size(F.array_except(p["prerequisites"], ids)) == 0)
+        after = let(left, lambda pages: F.struct(pages, F.size(pages) == F.size(held["pages"])).cast(kind))
+        return F.when(held["stays"], held).otherwise(after)
+
+    start = F.struct(F.col("pages"), F.size("pages") == 0).cast(kind)
+    settled = F.aggregate(F.sequence(F.lit(0), F.size("pages")), start, stay)["pages"]
     out = small.select("plan_id", F.explode(settled).alias("p")).select("plan_id", "p.page_id")
-    kept = stored(sized.where((F.col("_n") > MOST_PAGES) & F.col("holds")).drop("_n", "holds"), "kept-pages")
-    count = kept.count()
-    if not count:
+    if not any_large:
         return out
+    kept = stored(rows.where("holds").drop("holds").join(large, rows["plan_id"].eqNullSafe(large["plan_id"]), "left_semi"), "kept-pages")
+    count = kept.count()
     while True:
         needs = kept.select("plan_id", "page_id", F.explode("prerequisites").alias("needs"))
         have = kept.select("plan_id", F.col("page_id").alias("needs"))

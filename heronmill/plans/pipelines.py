@@ -279,8 +279,6 @@ _HOLDS = """h AS (SELECT l_orderkey AS plan_id, row_number() OVER (PARTITION BY
 )
 def kept_pages(spark, sf_dir):
     """Lines as pages whose saved form has its members in another order; some titles, versions and nodes have changed."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").withColumn("position", (F.row_number().over(w) - 1).cast("int"))
     part, key = F.col("l_partkey").cast("string"), F.col("l_orderkey").cast("string")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     planned = text('{"id":', key, ',"at":{"part":', part, ',"kind":"line"}}')
@@ -288,8 +286,7 @@ def kept_pages(spark, sf_dir):
     version = F.when(F.col("l_suppkey") % 17 == 0, 2).otherwise(1)
     node = F.when(F.col("l_partkey") % 23 == 5, "nowhere").otherwise("review")
     holds = K.restorable(version, K.content_hash(page=saved), node, K.content_hash(page=planned))
-    own = rows.select(F.col("l_orderkey").alias("plan_id"), F.col("position").cast("string").alias("page_id"), holds.alias("holds"))
-    return K.kept_pages(_plans(spark, sf_dir).join(own, ["plan_id", "page_id"]))
+    return K.kept_pages(_plans(spark, sf_dir, holds=holds))
 
 
 def _events(spark, sf_dir, files_per_batch=None):

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from heronmill.operators import checkpoints as K
 from heronmill.operators import facade as A
 from heronmill.operators import ingest as I
 from heronmill.operators import material as M
@@ -82,3 +83,20 @@ def test_keys_of_two_tables_meet_without_joins_or_joined_tasks(spark):
     for df in (found, problems):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.rdd.getNumPartitions() >= T.LEAST_PARTS
+
+
+def test_what_holds_is_asked_once_of_a_page(spark):
+    """A plan of 17 pages, settled by rounds, beside small ones."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def looked_at(page):
+        seen.add(1)
+        return page != "p0"
+
+    needs = lambda p: [] if p == 0 else [f"p{p - 1}" if p < 3 else f"p{p}"]
+    rows = [(k, f"p{p}", needs(p)) for k, n in ((1, 17), *((k, 4) for k in range(2, 30))) for p in range(n)]
+    pages = spark.createDataFrame(rows, "plan_id long, page_id string, prerequisites array<string>")
+    got = rows_of(K.kept_pages(pages.withColumn("holds", looked_at("page_id"))))
+    assert got == sorted(((k, f"p{p}") for k, n in ((1, 17), *((k, 4) for k in range(2, 30))) for p in range(3, n)), key=repr)
+    assert seen.value == len(rows)
