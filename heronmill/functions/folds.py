@@ -18,8 +18,12 @@ def trimmed(text: Column) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with the value computed once.
+
+    An aggregate over nothing binds its start and finishes. An array of one transformed would do too, but
+    taking its element works out the type of the whole body for every value, and the result is copied.
+    """
+    return F.aggregate(F.array(), value, lambda bound, _: bound, body)
 
 
 def emitted(

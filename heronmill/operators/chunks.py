@@ -34,6 +34,8 @@ PIECE = "struct<text: string, gap: string>"
 #: ``text`` is the content: the seed, an empty line and the body, without white space at the ends.
 CHUNK = "struct<heading: string, path: string, seed: string, body: string, text: string>"
 CHUNKS = f"array<{CHUNK}>"
+#: Chunks with the place of their first block and the sections that they have still to be joined at, from the top.
+GROUP = f"struct<at: bigint, chain: array<bigint>, chunks: {CHUNKS}>"
 GAP = "\n\n"
 
 
@@ -88,17 +90,15 @@ def split_block(block: Column, limits: Limits) -> Column:
     """A block as texts that fit: whole, or sentences packed together; whole blocks may have twice the size."""
     text = block["text"]
     size = F.char_length(text)
-    sentences = F.regexp_extract_all(text, F.lit(f"(?s)[^{ENDS}]*[{ENDS}]|[^{ENDS}]+$"), F.lit(0))
-
-    def step(held: Column, s: Column) -> tuple[Column, Column]:
-        n = F.char_length(s)
-        over = (held != "") & (F.char_length(held) + n > limits.fill)
-        out = F.when(over, F.array(held)).otherwise(none_of("string"))
-        long = n > limits.fill
-        kept = F.when(over, s).otherwise(F.concat(held, s))
-        return F.when(long, F.lit("")).otherwise(kept), F.when(long, F.concat(out, hard_pieces(s, limits.fill))).otherwise(out)
-
-    cut = emitted(sentences, "string", F.lit(""), "string", step, lambda held: F.array(held))
+    # What is left if it fits, else the longest row of sentences that does, else a sentence that is too long.
+    rows = F.regexp_extract_all(
+        text, F.lit(f"(?s).{{1,{limits.fill}}}\\z|.{{0,{limits.fill - 1}}}[{ENDS}]|[^{ENDS}]*+[{ENDS}]?+"), F.lit(0)
+    )
+    each = F.transform(
+        F.filter(rows, lambda s: s != ""),
+        lambda s: F.when(F.char_length(s) > limits.fill, hard_pieces(s, limits.fill)).otherwise(F.array(s)),
+    )
+    cut = F.flatten(each)
     fits = (size <= limits.fill) | (block["whole"] & (size <= 2 * limits.most))
     return F.filter(F.when(fits, F.array(text)).otherwise(cut), lambda t: trimmed(t) != "")
 
@@ -232,16 +232,44 @@ def joined(groups: Column, limits: Limits, inside: bool) -> Column:
     return emitted(let(merged, headed), CHUNK, F.lit(None), CHUNK, seeded)
 
 
+def met(groups: Column, depth: int, limits: Limits) -> Column:
+    """Groups of one text in order, of which those that meet at a section of ``depth`` are one group.
+
+    They stand next to each other, since a section is a stretch of its text.
+    """
+
+    def section(g: Column) -> Column:
+        return F.when(F.size(g["chain"]) == depth, F.get(g["chain"], F.lit(depth - 1)))
+
+    def runs(all_of: Column) -> Column:
+        goes_on = lambda i: F.coalesce(section(F.get(all_of, i)) == section(F.get(all_of, i - 1)), F.lit(False))
+        starts = F.filter(F.sequence(F.lit(0), F.size(all_of) - 1), lambda i: ~goes_on(i))
+
+        def one(run: Column) -> Column:
+            first = F.get(run, F.lit(0))
+            chunks = joined(F.transform(run, lambda g: g["chunks"]), limits, True)
+            chain = F.slice(first["chain"], F.lit(1), F.least(F.size(first["chain"]), F.lit(depth - 1)))
+            return F.struct(first["at"], chain, F.when(F.size(run) == 1, first["chunks"]).otherwise(chunks)).cast(GROUP)
+
+        def cut(at: Column) -> Column:
+            upto = lambda k: F.coalesce(F.get(at, k + 1), F.size(all_of))
+            return F.transform(at, lambda i, k: let(F.slice(all_of, i + 1, upto(k) - i), one))
+
+        return F.when(F.exists(all_of, lambda g: F.size(g["chain"]) == depth), let(starts, cut)).otherwise(all_of)
+
+    return let(groups.cast(f"array<{GROUP}>"), runs)
+
+
 @cache
-def steps(limits: Limits) -> tuple[Column, Column, Column]:
-    """Chunks of a section's own ``blocks``, of the ``groups`` that meet at a section, and of those of a whole text.
+def steps(limits: Limits) -> tuple[Column, list[Column], Column]:
+    """Chunks of a section's own ``blocks``, the ``groups`` of a text joined at each level from the deepest up, and all its chunks.
 
     They are the same for all tables, and large, so they are kept.
     """
     own = packed(pieces_of(F.col("blocks"), limits), F.col("heading"), F.col("path"), limits)
+    levels = [met(F.col("groups"), depth, limits) for depth in reversed(LEVELS)]
     each = F.transform("groups", lambda g: g["chunks"])
-    inner = F.when(F.size("groups") == 1, F.get(each, F.lit(0))).otherwise(joined(each, limits, True))
-    return own, inner, F.filter(joined(each, limits, False), lambda c: c["text"] != "")
+    return own, levels, F.filter(joined(each, limits, False), lambda c: c["text"] != "")
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, limits: Limits | None = None) -> DataFrame:
@@ -275,22 +303,14 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, limits: Limits
     whole = F.array(
         chunk_of(F.col("heading"), F.col("path"), F.lit(""), F.array_join(F.transform("blocks", lambda b: b["text"]), GAP))
     )
-    own, inner, outer = steps(limits)
+    own, levels, outer = steps(limits)
     groups = sections.select("row", "document_id", "at", "chain", F.when(F.col("fits"), whole).otherwise(own).alias("chunks"))
-    for depth in reversed(LEVELS):
-        met = F.when(F.size("chain") == depth, F.get("chain", F.lit(depth - 1))).otherwise(-F.col("at") - 1)
-        level = groups.groupBy("row", met.alias("met")).agg(
-            F.first("document_id").alias("document_id"),
-            F.min("at").alias("at"),
-            F.first("chain").alias("chain"),
-            F.array_sort(F.collect_list(F.struct("at", "chunks"))).alias("groups"),
-        )
-        groups = level.select(
-            "row", "document_id", "at",
-            F.slice("chain", F.lit(1), F.least(F.size("chain"), F.lit(depth - 1))).alias("chain"),
-            inner.alias("chunks"),
-        )
-    texts = groups.groupBy("row", "document_id").agg(F.array_sort(F.collect_list(F.struct("at", "chunks"))).alias("groups"))
+    # All levels are joined inside of one group for each text, which holds no more than that text.
+    texts = groups.groupBy("row").agg(
+        F.first("document_id").alias("document_id"), F.array_sort(F.collect_list(F.struct("at", "chain", "chunks"))).alias("groups")
+    )
+    for level in levels:
+        texts = texts.withColumn("groups", level)
     flat = texts.select("document_id", F.posexplode(outer).alias("chunk_index", "c"))
     cut = lambda c: F.left(trimmed(F.col(f"c.{c}")), F.lit(MOST_HEADING))
     return flat.select(
