@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronmill.functions import text as X
-from heronmill.functions.folds import BLANKS, emitted, let, trimmed
+from heronmill.functions.folds import emitted, let, trimmed
 
 LEVELS = range(1, 7)
 FENCE = r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]|$)"
 TITLE = r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 ITEM = r"^ {0,3}([-+*]|[0-9]{1,9}[.)])(?:[ \t]|$)"
+#: More characters than a heading's or an item's sign has with what stands around it.
+HEAD = 16
 
 
 def fence_turns(lines: Column) -> Column:
@@ -31,7 +33,8 @@ def fence_turns(lines: Column) -> Column:
 
     A fence is closed by one of the same sign that is as long at least and has nothing behind it.
     """
-    mark = lambda line: F.when(line.rlike("^ {0,3}[`~]"), F.regexp_extract(line, FENCE, 1)).otherwise("")
+    may_be = lambda line: F.contains(line, F.lit("```")) | F.contains(line, F.lit("~~~"))
+    mark = lambda line: F.when(may_be(line), F.regexp_extract(line, FENCE, 1)).otherwise("")
     each = F.transform(lines, lambda line, i: F.struct(i.alias("i"), mark(line).alias("mark"), line.alias("line")))
     found = F.transform(
         F.filter(each, lambda f: f["mark"] != ""),
@@ -85,7 +88,7 @@ def ruled_cells(line: Column) -> Column:
     bare = F.translate(line, " \t", "")
     inner = F.split(F.regexp_replace(bare, r"^\||\|$", ""), r"\|")
     ok = F.contains(bare, F.lit("|")) & F.forall(inner, lambda c: c.rlike("^:?-+:?$"))
-    return F.when(line.rlike(r"^[ \t|:-]+$"), F.when(ok, F.size(inner)).otherwise(0)).otherwise(0)
+    return F.when(F.contains(line, F.lit("|")) & line.rlike(r"^[ \t|:-]+$"), F.when(ok, F.size(inner)).otherwise(0)).otherwise(0)
 
 
 def units_of(lines: DataFrame) -> DataFrame:
@@ -94,25 +97,30 @@ def units_of(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("row").orderBy("at")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     bare = F.translate(line, " \t", "")
+    # Most patterns look no further, and Java tries one that is tied to the beginning at every place of what it is given.
+    head = F.left(line, F.lit(HEAD))
+    marked = head.rlike("^ {0,3}[-*_=]")
     text = ~F.col("code") & ~F.col("blank")
     seen = lines.withColumns(
         {
-            "indent": F.char_length(F.replace(F.regexp_extract(line, "^[ \t]*", 0), F.lit("\t"), F.lit("    "))),
-            "blank": ~F.col("code") & ~line.rlike(f"[^{BLANKS}]"),
-            "level": F.when(F.col("code"), 0).otherwise(F.char_length(F.regexp_extract(line, HEADING, 1))),
-            "item": F.when(F.col("code"), "").otherwise(F.regexp_extract(line, ITEM, 1)),
-            "quote": ~F.col("code") & line.rlike("^ {0,3}>"),
+            "indent": F.when(
+                head.rlike("^[ \t]"), F.char_length(F.replace(F.regexp_extract(line, "^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
+            ).otherwise(0),
+            "blank": ~F.col("code") & (trimmed(line) == ""),
+            "level": F.when(F.col("code"), 0).otherwise(F.char_length(F.regexp_extract(head, HEADING, 1))),
+            "item": F.when(F.col("code"), "").otherwise(F.regexp_extract(head, ITEM, 1)),
+            "quote": ~F.col("code") & head.rlike("^ {0,3}>"),
             "ruled": F.when(
-                ~F.col("code") & line.rlike(r"^ {0,3}[-*_][-*_ \t]*$"), bare.rlike(r"^(\*{3,}|-{3,}|_{3,})$")
+                ~F.col("code") & marked & line.rlike(r"^ {0,3}[-*_][-*_ \t]*$"), bare.rlike(r"^(\*{3,}|-{3,}|_{3,})$")
             ).otherwise(False),
-            "under": ~F.col("code") & line.rlike(r"^ {0,3}(=+|-+)[ \t]*$"),
+            "under": ~F.col("code") & marked & line.rlike(r"^ {0,3}(=+|-+)[ \t]*$"),
             "cells": F.when(F.col("code"), 0).otherwise(cells(line)),
             "ruled_cells": F.when(F.col("code"), 0).otherwise(ruled_cells(line)),
         }
     ).withColumns(
         {
             "item": F.when(F.col("ruled"), "").otherwise(F.right("item", F.lit(1))),
-            "first": F.regexp_extract(line, r"^ {0,3}(?:[-+*]|0{0,8}1[.)])(?:[ \t]|$)", 0) != "",
+            "first": F.regexp_extract(head, r"^ {0,3}(?:[-+*]|0{0,8}1[.)])(?:[ \t]|$)", 0) != "",
         }
     )
     # The sign of the list that goes on here: that of the last line at the margin.
@@ -161,11 +169,11 @@ def units_of(lines: DataFrame) -> DataFrame:
         .when(was["blank"], ~(F.col("set_in") & F.col("was_set_in")))
         .otherwise(starts_item | (F.col("quote") & ~was["quote"]) | (F.col("was_code") & ~F.col("set_in")))
     )
-    marked = kept.withColumns({"begins": begins, "table": table})
-    marked = marked.withColumn("unit", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    told = kept.withColumns({"begins": begins, "table": table})
+    told = told.withColumn("unit", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     shown = ~F.col("rule") & ~F.col("lined") & (F.col("level") == 0)
     own = F.array_sort(F.collect_list(F.when(shown, F.struct("at", "line"))))
-    grouped = marked.groupBy("row", "unit").agg(
+    grouped = told.groupBy("row", "unit").agg(
         F.first("document_id").alias("document_id"),
         F.max("level").alias("level"),
         F.max(F.when(F.col("level") > 0, trimmed(F.regexp_extract("line", TITLE, 1)))).alias("title"),
