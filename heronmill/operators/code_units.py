@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from heronmill.functions import classify as K
 from heronmill.functions import text as X
-from heronmill.functions.folds import BLANKS, emitted, let, trimmed
+from heronmill.functions.folds import emitted, let, trimmed
 from heronmill.functions.json_values import is_container
 from heronmill.operators.chunks import GAP, MOST_HEADING, Limits, chunk_documents, none_of
 from heronmill.sources.storage import stored
@@ -113,7 +113,7 @@ def symbol_of(text: Column, language: Column) -> Column:
 
 
 def blank(line: Column) -> Column:
-    return ~line.rlike(f"[^{BLANKS}]")
+    return trimmed(line) == ""
 
 
 def units_of(sources: DataFrame, id_col: str, text_col: str, language_col: str) -> DataFrame:
@@ -345,15 +345,22 @@ def chunks_of(pieces: DataFrame, gap: Column, limits: Limits) -> DataFrame:
     )
 
 
-def split_documents(docs: DataFrame, id_col: str, text_col: str, path_col: str, limits: Limits | None = None) -> DataFrame:
-    """Chunks of code and of documents by what a text is, with ``content_type``."""
-    kind = K.classify(F.col("text"), F.col("path"))
+def classified(docs: DataFrame, text_col: str, path_col: str) -> DataFrame:
+    """``docs`` with ``class``, what each text is, stored, since that is costly to tell."""
     # Telling what a text is costs more than moving it, and files may be few.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path")).repartition(parts)
-    found = rows.select("id", "text", kind.alias("class"))
-    # Both ways read what a text is, which is costly to tell.
-    found = stored(found.select("id", "text", "class.language", "class.kind"), "classified")
+    return stored(docs.repartition(parts).withColumn("class", K.classify(F.col(text_col), F.col(path_col))), "classified")
+
+
+def split_documents(docs: DataFrame, id_col: str, text_col: str, path_col: str, limits: Limits | None = None) -> DataFrame:
+    """Chunks of code and of documents by what a text is, with ``content_type``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
+    return split_classified(classified(rows, "text", "path"), limits)
+
+
+def split_classified(found: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Chunks of the rows (id, text, class) of a stored table, which both ways read."""
+    found = found.select("id", "text", "class.language", "class.kind")
     code = code_chunks(found.where("kind = 'code'"), "id", "text", "language", limits)
     code = code.withColumns({"content_type": F.lit("code"), "heading": F.lit(""), "section_path": F.lit("")})
     # The id takes the kind along.

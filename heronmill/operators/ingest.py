@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
 
-from heronmill.functions import classify
 from heronmill.functions import text as X
 from heronmill.operators import chunks as C
 from heronmill.operators import code_units as U
@@ -64,7 +63,9 @@ def recovery_stage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their state, their chunks, and the chunks' vectors."""
-    chunks = stored(U.split_documents(docs.withColumn("_path", F.lit(None).cast("string")), "doc_id", "text", "_path"), "chunks")
+    # What a text is, is told once for its chunks and its state.
+    docs = U.classified(docs.select("doc_id", "text", "source", F.lit("").alias("path")), "text", "path")
+    chunks = stored(U.split_classified(docs.withColumnRenamed("doc_id", "id")), "chunks")
     counts = chunks.groupBy("document_id").count()
     state = (
         docs.join(counts, F.col("doc_id") == F.col("document_id"), "left")
@@ -79,7 +80,7 @@ def ingest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             "error",
             "n_chunks",
             X.document_title(F.col("text"), F.col("source")).alias("title"),
-            classify.classify(F.col("text"), F.lit("")).alias("class"),
+            "class",
         )
     )
     vectors = chunks.select("document_id", "chunk_index", hash_embedding("content").alias("embedding"))
