@@ -2,12 +2,11 @@
 
 1. A pattern cuts texts into words, and one aggregation counts the distinct ones.
 2. ``encode_word`` folds ranked merges over a word's bytes: the state is an array
-   of token ids, one for each byte at first. Each step looks up the rank of every
-   adjacent pair in a literal map, takes the lowest, and merges it, until no pair is
-   in the map. The rank of a pair is the id of its concatenation, so what is left
-   is the encoding.
-3. Distinct words are dealt to ``memo_slots`` slots by their hash. The most frequent
-   word of each slot is encoded once, and the slots form one row of arrays, which is a
+   of token ids, one for each byte at first. Each step takes the lowest rank of all
+   adjacent pairs and merges that pair, until no pair is in the map. The rank of a pair
+   is the id of its concatenation, so what is left is the encoding.
+3. Distinct words are dealt to ``memo_slots`` slots by their hash. The ``WAYS`` most frequent
+   words of each slot are encoded once, and the slots form one row of arrays, which is a
    table of a proven size (words have at most ``MEMO_CHARS`` code points). Texts look
    their words up there and fold the others where they stand, so texts are never
    shuffled and no word is left out.
@@ -16,7 +15,9 @@
 The literal maps are perfect hash tables in arrays, since Spark searches its own maps
 from end to end. A slot names its key, so a look-up that meets another one's is known.
 The fold's state holds the entries of the adjacent pairs too, and a merge looks up the
-two new ones only.
+two new ones only. In words of up to ``SHORT`` bytes a place is one number, of the entry of
+its pair, where it began and its token, so that the least number is the leftmost place of
+the lowest pair.
 
 Words of more than ``SHORT`` bytes are cut first wherever no token of the vocabulary
 reaches across, which the four bytes around a place tell: no merge can either. Parts that
@@ -36,11 +37,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronmill.llm.shared import new_name, stored
@@ -59,6 +60,13 @@ MIXES = (1_000_003, 998_244_353, 2_147_483_647, 1_000_000_007)
 #: Stands before the first and after the last byte, and is in no pair.
 EDGE = (1 << ID_BITS) - 1
 FREE = 1 << 60
+#: Words that a slot of the table of frequent words holds, a power of two.
+WAYS = 2
+#: A place of a short word is ``entry << PLACE_BITS | byte << ID_BITS | token``; the entry is ``NO_PAIR`` if there is none.
+PLACE_BITS = ID_BITS + 6
+NO_PAIR = 1 << RANK_BITS
+#: The two edges of a word as the code of a byte.
+EDGE_CODE = ord(GAP)
 
 
 def java_pattern(pattern: str) -> str:
@@ -145,6 +153,7 @@ class Vocabulary:
     pairs: Table
     spans: Table
     byte_ids: list[int]
+    starts: np.ndarray
     pieces: Column
     little_endian: Column
     pattern: str
@@ -168,13 +177,22 @@ class Vocabulary:
         for (left, right), rank in pairs.items():
             key = left << ID_BITS | right
             entries[key] = key << RANK_BITS | rank << 1 | (onward.get(rank, rank) < rank)
+        byte_ids = [ranks[bytes([b])] for b in range(256)]
+        starts = np.full((EDGE_CODE + 1, EDGE_CODE + 1), NO_PAIR << PLACE_BITS)
+        for left, one in enumerate(byte_ids):
+            for right, other in enumerate(byte_ids):
+                key = one << ID_BITS | other
+                if key in entries:
+                    starts[left, right] = (entries[key] ^ key << RANK_BITS) << PLACE_BITS
+        starts |= np.array([*byte_ids, EDGE])[:, None]
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.decode("latin-1")
         return Vocabulary(
             Table.of(entries),
             Table.of(spans_of(list(ranks))),
-            [ranks[bytes([b])] for b in range(256)],
+            byte_ids,
+            starts.ravel(),
             F.split(F.lit(GAP.join(pieces)), GAP),
             F.split(F.lit(GAP.join(r.to_bytes(4, "little").decode("latin-1") for r in range(len(pieces)))), GAP),
             java_pattern(pattern),
@@ -188,13 +206,13 @@ def constants(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
     """The rank map and the other tables of numbers as one row, whose arrays are flat memory in plans and tasks."""
     key = spark.sparkContext.applicationId, id(vocab)
     if key not in _ROWS:
-        arrays = (vocab.pairs.shifts, vocab.pairs.slots, vocab.spans.shifts, vocab.spans.slots, vocab.byte_ids)
+        arrays = (vocab.pairs.shifts, vocab.pairs.slots, vocab.spans.shifts, vocab.spans.slots, vocab.byte_ids, vocab.starts)
         row = pa.table({name: pa.array([a], pa.list_(pa.int64())) for name, a in zip(CONSTANTS, arrays)})
         _ROWS[key] = stored(spark.createDataFrame(row), "bpe-constants")
     return _ROWS[key]
 
 
-CONSTANTS = ("pair_shifts", "pair_slots", "span_shifts", "span_slots", "byte_ids")
+CONSTANTS = ("pair_shifts", "pair_slots", "span_shifts", "span_slots", "byte_ids", "starts")
 
 
 def with_one_row(df: DataFrame, *tables: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -235,21 +253,24 @@ class Bound:
     pairs: Table
     spans: Table
     byte_ids: Column
+    starts: Column
 
     @staticmethod
     def within(vocab: Vocabulary, names: list[str], body: Callable[[Bound], Column]) -> Column:
         """``body`` of the constants in the columns ``names``."""
         return lets(
             names,
-            lambda a, b, c, d, e: body(
-                Bound(replace(vocab.pairs, shifts=a, slots=b), replace(vocab.spans, shifts=c, slots=d), e)
+            lambda a, b, c, d, e, f: body(
+                Bound(replace(vocab.pairs, shifts=a, slots=b), replace(vocab.spans, shifts=c, slots=d), e, f)
             ),
         )
 
     def entry(self, left: Column, right: Column) -> Column:
         """``rank << 1 | unsafe`` of a pair; more than any rank, or null, if it is none."""
-        key = F.shiftleft(left, ID_BITS) + right
-        return self.pairs.slot(key).bitwiseXOR(F.shiftleft(key, RANK_BITS))
+        return let(
+            F.shiftleft(left, ID_BITS) + right,
+            lambda key: self.pairs.slot(key).bitwiseXOR(F.shiftleft(key, RANK_BITS)),
+        )
 
     def entries(self, ids: Column) -> Column:
         lefts = F.slice(ids, F.lit(1), F.size(ids) - 1)
@@ -271,22 +292,66 @@ def state_of(ids: Column, entries: Column) -> Column:
     return F.struct(ids.alias("ids"), entries.alias("entries"))
 
 
-def merge_one(ids: Column, entries: Column, least: Column, bound: Bound) -> Column:
-    """The leftmost pair of the lowest entry becomes one token."""
+def place_of(entry: Column, rest: Column) -> Column:
+    """A place of a short word; ``rest`` is where it began and its token."""
+    return let(
+        entry,
+        lambda e: F.when(e < NO_PAIR, F.shiftleft(e, PLACE_BITS) + rest).otherwise(rest + (NO_PAIR << PLACE_BITS)),
+    )
+
+
+def token_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(EDGE).cast("bigint"))
 
-    def at_place(at: Column, token: Column) -> Column:
-        more = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(token), F.slice(ids, at + 2, F.size(ids) - at - 1))
-        new = F.array(bound.entry(F.get(ids, at - 2), token), bound.entry(token, F.get(ids, at + 1)))
-        return state_of(
-            more, F.concat(F.slice(entries, F.lit(1), at - 2), new, F.slice(entries, at + 2, F.size(entries) - at - 1))
-        )
+
+def merge_least(places: Column, least: Column, bound: Bound) -> Column:
+    """The leftmost pair of the lowest entry becomes one token; the edges are in no pair, so it has neighbours."""
+
+    def put(before: Column, gone: Column, new_before: Column, new: Column) -> Column:
+        # No two places are equal. Spark's slices and concatenations of arrays take several times as long as this.
+        more = F.transform(places, lambda x: F.when(x == before, new_before).when(x == least, new).otherwise(x))
+        return F.array_remove(more, gone)
+
+    def at_place(at: Column, token: Column, before: Column) -> Column:
+        rest = F.lit((1 << PLACE_BITS) - 1).cast("bigint")
+        began = F.lit((1 << PLACE_BITS) - 1 - EDGE).cast("bigint")
+        new_before = place_of(bound.entry(token_of(before), token), before.bitwiseAND(rest))
+        new = place_of(bound.entry(token, token_of(F.get(places, at + 1))), least.bitwiseAND(began) + token)
+        return let(F.get(places, at), lambda x: let(new_before, lambda y: let(new, lambda z: put(before, x, y, z))))
 
     return let(
-        F.array_position(entries, least).cast("int"),
-        lambda at: let(F.shiftright(least, 1), lambda token: at_place(at, token)),
+        F.array_position(places, least),
+        lambda at: let(
+            F.shiftright(least, PLACE_BITS + 1),
+            lambda token: let(F.get(places, at - 2), lambda before: at_place(at, token, before)),
+        ),
     )
 
 
+def fold_short(part: Column, bound: Bound) -> Column:
+    """Token ids of at most ``SHORT`` bytes given as characters."""
+    def start(codes: Column) -> Column:
+        return F.transform(
+            codes,
+            lambda c, i: F.get(bound.starts, c * (EDGE_CODE + 1) + F.coalesce(F.get(codes, i + 1), F.lit(EDGE_CODE)))
+            + F.shiftleft(i, ID_BITS),
+        )
+
+    def step(places: Column, _: Column) -> Column:
+        return let(
+            F.array_min(places),
+            lambda least: F.when(least >= NO_PAIR << PLACE_BITS, places).otherwise(merge_least(places, least, bound)),
+        )
+
+    def merged(letters: Column) -> Column:
+        # One step for each merge there can be, and three more.
+        states = let(F.transform(letters, F.ascii), lambda codes: F.aggregate(letters, start(codes), step))
+        return F.array_remove(F.transform(states, token_of), EDGE)
+
+    # The edges' code is that of GAP.
+    return let(F.split(F.concat(F.lit(GAP), part, F.lit(GAP)), ""), merged)
+
+
 def merge_all(ids: Column, entries: Column, least: Column, bound: Bound) -> Column:
     """Every place of the lowest entry merges, or the leftmost if the token is unsafe."""
     flags = F.array_join(F.transform(entries, lambda e: F.when(e.eqNullSafe(least), "1").otherwise("0")), "")
@@ -310,11 +375,12 @@ def merge_all(ids: Column, entries: Column, least: Column, bound: Bound) -> Colu
 
 def latin(text: Column) -> Column:
     """The bytes of ``text`` as characters."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, text).otherwise(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
 
 
 def parts_of(word: Column, bound: Bound) -> Column:
-    """The bytes of a word as characters, cut where no token can reach across if it is long."""
+    """The bytes of a long word as characters, cut where no token can reach across."""
 
     def cut(letters: Column) -> Column:
         return let(
@@ -328,51 +394,46 @@ def parts_of(word: Column, bound: Bound) -> Column:
             ),
         )
 
-    short = F.octet_length(word) <= SHORT
-    return F.when(short, F.array(latin(word))).otherwise(F.split(let(F.split(latin(word), ""), cut), GAP))
+    return F.split(let(F.split(latin(word), ""), cut), GAP)
 
 
-def fold(part: Column, bound: Bound) -> Column:
-    """Token ids of bytes given as characters."""
+def fold_long(part: Column, bound: Bound) -> Column:
+    """Token ids of any number of bytes given as characters."""
     edge = F.array(F.lit(EDGE).cast("bigint"))
     start = F.concat(edge, F.transform(F.split(part, ""), lambda c: F.get(bound.byte_ids, F.ascii(c))), edge)
 
     def least_of(state: Column) -> Column:
         return F.coalesce(F.array_min(state["entries"]), F.lit(FREE))
 
-    def step(state: Column, merge: Callable) -> Column:
+    def step(state: Column) -> Column:
         return let(
             least_of(state),
-            lambda least: F.when(least >= 1 << RANK_BITS, state).otherwise(
-                merge(state["ids"], state["entries"], least, bound)
+            lambda least: F.when(least >= NO_PAIR, state).otherwise(
+                merge_all(state["ids"], state["entries"], least, bound)
             ),
         )
 
-    def short(ids: Column) -> Column:
-        # One step for each merge there can be.
-        turns = F.slice(ids, F.lit(1), F.size(ids) - 3)
-        return F.aggregate(turns, state_of(ids, bound.entries(ids)), lambda s, _: step(s, merge_one), lambda s: s["ids"])
-
-    def long(ids: Column) -> Column:
+    def merged(ids: Column) -> Column:
         turns = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(ids))).cast("int"))
         return F.aggregate(
             turns,
             state_of(ids, bound.entries(ids)),
-            lambda s, _: F.when(least_of(s) >= 1 << RANK_BITS, s).otherwise(
-                F.aggregate(turns, s, lambda t, _: step(t, merge_all))
-            ),
+            lambda s, _: F.when(least_of(s) >= NO_PAIR, s).otherwise(F.aggregate(turns, s, lambda t, _: step(t))),
             lambda s: s["ids"],
         )
 
-    return let(
-        let(start, lambda ids: F.when(F.size(ids) <= SHORT + 2, short(ids)).otherwise(long(ids))),
-        lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2),
-    )
+    return let(let(start, merged), lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2))
+
+
+def fold(part: Column, bound: Bound) -> Column:
+    """Token ids of bytes given as characters."""
+    return F.when(F.char_length(part) <= SHORT, fold_short(part, bound)).otherwise(fold_long(part, bound))
 
 
 def encode_word(word: Column, bound: Bound) -> Column:
     """Token ids of one word."""
-    return F.flatten(F.transform(parts_of(word, bound), lambda part: fold(part, bound))).cast("array<int>")
+    long = F.flatten(F.transform(parts_of(word, bound), lambda part: fold(part, bound)))
+    return F.when(F.octet_length(word) <= SHORT, fold_short(latin(word), bound)).otherwise(long).cast("array<int>")
 
 
 def words_of(text: Column, vocab: Vocabulary) -> Column:
@@ -380,27 +441,31 @@ def words_of(text: Column, vocab: Vocabulary) -> Column:
 
 
 def slot_of(word: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+    """The first place of a word's slot; slots are a power of two, as are their places."""
+    return F.xxhash64(word).bitwiseAND(F.lit((slots - 1) * WAYS).cast("bigint")).cast("int")
 
 
 def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) -> tuple[int, DataFrame]:
-    """The number of slots, a power of two, and one row with their words and ids."""
+    """The number of slots, a power of two, and one row with the words and ids of ``WAYS`` places for each."""
     counts = docs.select(F.explode(words_of(F.col(text_col), vocab)).alias("word")).groupBy("word").count()
 
     def leaders(rows: DataFrame, slots: int) -> DataFrame:
-        best = rows.groupBy(slot_of(F.col("word"), slots).alias("slot")).agg(F.max(F.struct("count", "word")).alias("best"))
-        return best.select("slot", "best.word", "best.count")
+        first = Window.partitionBy("slot").orderBy(F.desc("count"), F.desc("word"))
+        ranked = rows.withColumn("slot", slot_of(F.col("word"), slots)).withColumn("way", F.row_number().over(first) - 1)
+        return ranked.where(F.col("way") < WAYS).select("slot", "way", "word", "count")
 
-    # One word a slot at most, so this is bounded however many words there are.
+    # ``WAYS`` words a slot at most, so this is bounded however many words there are.
     best = stored(leaders(counts.where(F.char_length("word") <= MEMO_CHARS), memo_slots), "frequent-words")
-    slots = min(memo_slots, 1 << (2 * best.count()).bit_length())
+    slots = min(memo_slots, 1 << best.count().bit_length())
     dealt, names = with_one_row(
         leaders(best, slots).repartition(max(1, slots >> 14), "slot"), constants(docs.sparkSession, vocab)
     )
     ids = Bound.within(vocab, names, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
-    encoded = stored(dealt.select("slot", "word", ids), "encoded-words")
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(encoded, "slot", "left")
-    rows = every.agg(F.sort_array(F.collect_list(F.struct("slot", "word", "ids"))).alias("rows"))  # one row of all slots
+    place = (F.col("slot") + F.col("way")).alias("place")
+    encoded = stored(dealt.select(place, "word", ids), "encoded-words")
+    every = docs.sparkSession.range(slots * WAYS).select(F.col("id").cast("int").alias("place"))
+    every = every.join(encoded, "place", "left")
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("place", "word", "ids"))).alias("rows"))  # one row of all slots
     table = rows.select(
         F.transform("rows", lambda r: r["word"]).alias("words"), F.transform("rows", lambda r: r["ids"]).alias("ids")
     )
@@ -416,7 +481,11 @@ def encode(
     def ids_of(word: Column, words: Column, known: Column, bound: Bound) -> Column:
         return let(
             slot_of(word, slots),
-            lambda at: F.when(F.get(words, at) == word, F.get(known, at)).otherwise(encode_word(word, bound)),
+            lambda at: reduce(
+                lambda rest, way: F.when(F.get(words, at + way) == word, F.get(known, at + way)).otherwise(rest),
+                reversed(range(WAYS)),
+                encode_word(word, bound),
+            ),
         )
 
     own = words_of(F.col(text_col), vocab)

@@ -72,6 +72,26 @@ def test_bpe_equals_tiktoken(spark):
     assert byte_bpe.digest(documents(spark, TEXTS).limit(0), vocab).count() == 0
 
 
+def test_bpe_table_holds_two_words_of_a_slot(spark):
+    vocab = byte_bpe.Vocabulary.load(PATH, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(PATH), special_tokens={}
+    )
+    slots, table = byte_bpe.memo(documents(spark, [" one one one two two three", None]), "text", vocab, 1)
+    row = table.first()
+    assert (slots, row.words) == (1, [" one", " two"])
+    assert row.ids == [own.encode_ordinary(w) for w in row.words]
+    # All other words are folded where they stand, of one byte to more than SHORT.
+    letters = "etaoinsh" * 4 + "zq" + "é\u0100日🙂"
+    rnd = random.Random(8)
+    texts = [
+        " ".join("".join(rnd.choice(letters) for _ in range(rnd.choice((1, 2, 3, 7, 12, 30, 47, 48, 49)))) for _ in range(60))
+        for _ in range(5)
+    ]
+    got = byte_bpe.encode(documents(spark, texts), vocab, memo_slots=1).collect()
+    assert [r.ids for r in got] == [own.encode_ordinary(texts[r.doc_id]) for r in got]
+
+
 # 2 n-gram Jaccard join
 
 
