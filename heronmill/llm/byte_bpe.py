@@ -61,7 +61,7 @@ MIXES = (1_000_003, 998_244_353, 2_147_483_647, 1_000_000_007)
 EDGE = (1 << ID_BITS) - 1
 FREE = 1 << 60
 #: Words that a slot of the table of frequent words holds, a power of two.
-WAYS = 2
+WAYS = 4
 #: A place of a short word is ``entry << PLACE_BITS | byte << ID_BITS | token``; the entry is ``NO_PAIR`` if there is none.
 PLACE_BITS = ID_BITS + 6
 NO_PAIR = 1 << RANK_BITS
@@ -456,9 +456,9 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
 
     # ``WAYS`` words a slot at most, so this is bounded however many words there are.
     best = stored(leaders(counts.where(F.char_length("word") <= MEMO_CHARS), memo_slots), "frequent-words")
-    slots = min(memo_slots, 1 << best.count().bit_length())
+    slots = min(memo_slots, 1 << (2 * best.count() // WAYS).bit_length())
     dealt, names = with_one_row(
-        leaders(best, slots).repartition(max(1, slots >> 14), "slot"), constants(docs.sparkSession, vocab)
+        leaders(best, slots).repartition(max(1, slots * WAYS >> 14), "slot"), constants(docs.sparkSession, vocab)
     )
     ids = Bound.within(vocab, names, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
     place = (F.col("slot") + F.col("way")).alias("place")
@@ -473,7 +473,7 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
 
 
 def encode(
-    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 18
+    docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "ids", memo_slots: int = 1 << 17
 ) -> DataFrame:
     """``docs`` with the token ids of each whole text in column ``out``."""
     slots, table = memo(docs, text_col, vocab, memo_slots)

@@ -72,14 +72,15 @@ def test_bpe_equals_tiktoken(spark):
     assert byte_bpe.digest(documents(spark, TEXTS).limit(0), vocab).count() == 0
 
 
-def test_bpe_table_holds_two_words_of_a_slot(spark):
+def test_bpe_table_holds_several_words_of_a_slot(spark):
     vocab = byte_bpe.Vocabulary.load(PATH, public_tokenizers.PATTERN)
     own = tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(PATH), special_tokens={}
     )
-    slots, table = byte_bpe.memo(documents(spark, [" one one one two two three", None]), "text", vocab, 1)
+    slots, table = byte_bpe.memo(documents(spark, [" one one one one two two two three three four", None]), "text", vocab, 1)
     row = table.first()
-    assert (slots, row.words) == (1, [" one", " two"])
+    assert (slots, row.words) == (1, [" one", " two", " three", " four"][: byte_bpe.WAYS])
+    assert byte_bpe.WAYS > 1
     assert row.ids == [own.encode_ordinary(w) for w in row.words]
     # All other words are folded where they stand, of one byte to more than SHORT.
     letters = "etaoinsh" * 4 + "zq" + "é\u0100日🙂"
