@@ -216,15 +216,15 @@ CONSTANTS = ("pair_shifts", "pair_slots", "span_shifts", "span_slots", "byte_ids
 
 
 def with_one_row(df: DataFrame, *tables: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``df`` with the columns of tables of one row as subqueries, and their names.
+    """``df`` with each table of one row as a subquery of one struct, and the names of these columns.
 
-    Spark puts each where it is used, if that is one place: then it never becomes part of a row.
+    Spark puts each where it is used, if that is one place: then it never becomes part of a row. Subqueries
+    for single columns would be merged, and tasks would then get the whole row once for each of its columns.
     """
     names, columns = [], {}
     for table in tables:
-        for c in table.columns:
-            names.append(new_name(df, "one_" + c))
-            columns[names[-1]] = table.select(c).scalar()
+        names.append(new_name(df, f"one_{len(names)}"))
+        columns[names[-1]] = table.select(F.struct(*table.columns)).scalar()
     return df.withColumns(columns), names
 
 
@@ -237,13 +237,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array(), value, lambda bound, _: bound, body)
 
 
-def lets(names: list[str], body: Callable[..., Column]) -> Column:
-    """``body`` of columns, each computed once."""
+def lets(row: Column, names: list[str] | tuple[str, ...], body: Callable[..., Column]) -> Column:
+    """``body`` of the fields ``names`` of ``row``, each computed once."""
 
-    def rest(k: int, *got: Column) -> Column:
-        return body(*got) if k == len(names) else let(F.col(names[k]), lambda x: rest(k + 1, *got, x))
+    def rest(bound: Column, *got: Column) -> Column:
+        if len(got) == len(names):
+            return body(*got)
+        return let(bound[names[len(got)]], lambda x: rest(bound, *got, x))
 
-    return rest(0)
+    return let(row, lambda bound: rest(bound))
 
 
 @dataclass(frozen=True)
@@ -256,10 +258,11 @@ class Bound:
     starts: Column
 
     @staticmethod
-    def within(vocab: Vocabulary, names: list[str], body: Callable[[Bound], Column]) -> Column:
-        """``body`` of the constants in the columns ``names``."""
+    def within(vocab: Vocabulary, row: Column, body: Callable[[Bound], Column]) -> Column:
+        """``body`` of the constants in ``row``."""
         return lets(
-            names,
+            row,
+            CONSTANTS,
             lambda a, b, c, d, e, f: body(
                 Bound(replace(vocab.pairs, shifts=a, slots=b), replace(vocab.spans, shifts=c, slots=d), e, f)
             ),
@@ -457,10 +460,10 @@ def memo(docs: DataFrame, text_col: str, vocab: Vocabulary, memo_slots: int) ->
     # ``WAYS`` words a slot at most, so this is bounded however many words there are.
     best = stored(leaders(counts.where(F.char_length("word") <= MEMO_CHARS), memo_slots), "frequent-words")
     slots = min(memo_slots, 1 << (2 * best.count() // WAYS).bit_length())
-    dealt, names = with_one_row(
+    dealt, (constant,) = with_one_row(
         leaders(best, slots).repartition(max(1, slots * WAYS >> 14), "slot"), constants(docs.sparkSession, vocab)
     )
-    ids = Bound.within(vocab, names, lambda bound: encode_word(F.col("word"), bound)).alias("ids")
+    ids = Bound.within(vocab, F.col(constant), lambda bound: encode_word(F.col("word"), bound)).alias("ids")
     place = (F.col("slot") + F.col("way")).alias("place")
     encoded = stored(dealt.select(place, "word", ids), "encoded-words")
     every = docs.sparkSession.range(slots * WAYS).select(F.col("id").cast("int").alias("place"))
@@ -492,9 +495,9 @@ def encode(
     rows, names = with_one_row(docs, table, constants(docs.sparkSession, vocab))
 
     def with_memo(words: Column, known: Column) -> Column:
-        return Bound.within(vocab, names[2:], lambda b: F.transform(own, lambda w: ids_of(w, words, known, b)))
+        return Bound.within(vocab, F.col(names[1]), lambda b: F.transform(own, lambda w: ids_of(w, words, known, b)))
 
-    return rows.withColumn(out, F.flatten(lets(names[:2], with_memo))).drop(*names)
+    return rows.withColumn(out, F.flatten(lets(F.col(names[0]), table.columns, with_memo))).drop(*names)
 
 
 def looked_up(ids: Column, table: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -93,6 +94,14 @@ def test_bpe_table_holds_several_words_of_a_slot(spark):
     assert [r.ids for r in got] == [own.encode_ordinary(texts[r.doc_id]) for r in got]
 
 
+def test_bpe_tasks_get_each_table_once(spark):
+    vocab = byte_bpe.Vocabulary.load(PATH, public_tokenizers.PATTERN)
+    plan = byte_bpe.encode(documents(spark, TEXTS), vocab)._jdf.queryExecution().executedPlan().toString()
+    # The word table and the constants: two subqueries, and none that repeats a whole row.
+    assert "ReusedSubquery" not in plan
+    assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 2
+
+
 # 2 n-gram Jaccard join
 
 
